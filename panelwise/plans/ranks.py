@@ -1,18 +1,28 @@
 """Exact ranks, quantiles and running totals over a global order, without one-task windows.
 
 ``Window.orderBy(x)`` with no partition, or ``percentile`` on a group that holds a third
-of the table, both end in a single task holding everything.  Here the data is range
-partitioned on the ordering columns (``repartitionByRange`` samples the keys, so a hot
-group spreads over many partitions), each partition is scanned locally, and a tiny
-per-partition summary supplies the offsets.
+of the table, both end in a single task holding everything.  Here the ordered key space
+is cut into ``parts`` buckets; each bucket is scanned locally and a tiny per-bucket
+summary supplies the offsets.
+
+The bucket of a row must be a pure function of its key (the frame is evaluated more than
+once: once for the bucket totals, once for the local scan).  ``repartitionByRange``
+samples whatever order rows arrive in, so two evaluations may cut differently; the
+bounds here come from a sample chosen by a hash of the key, which is the same every
+time.  Callers pass keys that are unique (duplicates aggregated first, with a weight),
+so no bucket can hold more than about ``rows / parts`` rows.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PID = "_pid"
+_SAMPLES_PER_PART = 64
+_HASH_RANGE = 1 << 30
 
 
 def _parts(df: DataFrame, parts: int | None) -> int:
@@ -21,19 +31,68 @@ def _parts(df: DataFrame, parts: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _lit(v, dtype) -> Column:
+    if isinstance(v, (_dt.datetime, _dt.date)):
+        return F.lit(str(v)).cast(dtype)
+    return F.lit(v).cast(dtype)
+
+
+def _less(cols: list[str], types, bound: tuple) -> Column:
+    """Lexicographic ``key < bound``."""
+    expr = None
+    for c, t, b in reversed(list(zip(cols, types, bound))):
+        x, lb = F.col(c), _lit(b, t)
+        expr = (x < lb) if expr is None else ((x < lb) | ((x == lb) & expr))
+    return expr
+
+
+def _bucket(cols, types, bounds, lo, hi) -> Column:
+    """Bucket id in [lo, hi] by binary search over ``bounds`` (depth log2(parts))."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_less(cols, types, bounds[mid]), _bucket(cols, types, bounds, lo, mid)).otherwise(
+        _bucket(cols, types, bounds, mid + 1, hi))
+
+
+def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Column:
+    """Deterministic range bucket of each row over ``order`` (non-null keys).
+
+    One count and one sample of ``parts * 64`` keys (chosen by key hash) reach the
+    driver; the bucket expression is a comparison tree over ``parts - 1`` bounds.
+    """
+    p = _parts(df, parts)
+    keys = df.select(*order)
+    n = keys.count()
+    if n == 0 or p <= 1:
+        return F.lit(0)
+    rate = min(1.0, p * _SAMPLES_PER_PART / n)
+    h = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(_HASH_RANGE))
+    picked = keys.filter(h < F.lit(int(rate * _HASH_RANGE)))
+    for c in order:  # NULL keys all land in the last bucket; bounds are non-null
+        picked = picked.filter(F.col(c).isNotNull())
+    sample = sorted(tuple(r) for r in picked.collect())
+    if not sample:
+        return F.lit(0)
+    bounds = []
+    for i in range(1, p):
+        b = sample[(i * len(sample)) // p]
+        if not bounds or b > bounds[-1]:
+            bounds.append(b)
+    types = [df.schema[c].dataType for c in order]
+    return _bucket(order, types, bounds, 0, len(bounds))
+
+
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column],
                    parts: int | None = None) -> DataFrame:
     """Add, for each ``name -> expr`` in ``sums``, the running total of ``expr`` over the
-    global ``order`` (inclusive of the current row).  Rows with equal keys stay in one
-    range partition; their relative order is by the remaining columns of ``order``.
-    """
-    r = (df.repartitionByRange(_parts(df, parts), *order)
-         .withColumn(PID, F.spark_partition_id()))
+    global ``order`` (current row included).  ``order`` should be unique per row."""
+    r = df.withColumn(PID, bucket_of(df, order, parts))
     totals = r.groupBy(PID).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(PID, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}")
                                    for k in sums])
-    # one row per range partition: bounded by the partition count
+    # one row per bucket: bounded by the partition count
     offsets = F.broadcast(offsets)
     local = Window.partitionBy(PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = r.select("*", *[F.sum(v).over(local).alias(f"_loc_{k}") for k, v in sums.items()])
@@ -47,47 +106,43 @@ def group_quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str,
     """Exact linearly interpolated quantiles (``quantile_cont`` / ``percentile``) per group.
 
     NULL and NaN values are ignored; a group with no values is absent from the result.
-    Output: ``groups`` + one double column per entry of ``qs``.
+    Equal values are first counted (partial aggregation), then positions come from a
+    bucketed running count that restarts per group.  Output: ``groups`` + one double
+    column per entry of ``qs``.
     """
     v = (df.select(*groups, F.col(value).cast("double").alias("_v"))
          .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    r = (v.repartitionByRange(_parts(df, parts), *groups, "_v")
-         .withColumn(PID, F.spark_partition_id()))
-    # per (partition, group) counts: at most groups + partitions rows
-    tot = r.groupBy(PID, *groups).agg(F.count(F.lit(1)).alias("_c"))
+    d = v.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    r = d.withColumn(PID, bucket_of(d, [*groups, "_v"], parts))
+    w = Window.partitionBy(PID, *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    r2 = r.withColumn("_lc", F.sum("_c").over(w))
+    # per (bucket, group) totals: at most groups + buckets rows
+    tot = r.groupBy(PID, *groups).agg(F.sum("_c").alias("_t"))
     g = Window.partitionBy(*groups)
-    tot = (tot.withColumn("_off", F.coalesce(F.sum("_c").over(
+    tot = (tot.withColumn("_off", F.coalesce(F.sum("_t").over(
                 g.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-           .withColumn("_n", F.sum("_c").over(g)))
-    targets = []
+           .withColumn("_n", F.sum("_t").over(g))
+           .drop("_t"))
+    j = r2.join(tot, [PID, *groups])
+    hi = F.col("_off") + F.col("_lc")          # rows with value <= _v in the group
+    lo = hi - F.col("_c")                      # rows with value <  _v
+    aggs = []
     for i, q in enumerate(qs.values()):
         h = F.lit(float(q)) * (F.col("_n") - 1)
         for end, k in ((0, F.floor(h)), (1, F.ceil(h))):
-            lr = k + 1 - F.col("_off")
-            targets.append(F.when((lr >= 1) & (lr <= F.col("_c")),
-                                  F.struct(F.lit(i).alias("qi"), F.lit(end).alias("end"),
-                                           lr.cast("long").alias("lr"), h.alias("h"))))
-    tot = tot.select(PID, *groups, F.filter(F.array(*targets), lambda x: x.isNotNull()).alias("_t"))
-    tot = tot.filter(F.size("_t") > 0)
-    w = Window.partitionBy(PID, *groups).orderBy("_v")
-    hit = lambda t: t["lr"] == F.col("_lr")
-    hits = (r.join(tot, [PID, *groups])
-            .withColumn("_lr", F.row_number().over(w))
-            .filter(F.exists("_t", hit))
-            .select(*groups, "_v", F.explode(F.filter("_t", hit)).alias("t")))
-    per_q = (hits.groupBy(*groups, F.col("t.qi").alias("qi"))
-             .agg(F.max(F.when(F.col("t.end") == 0, F.col("_v"))).alias("x0"),
-                  F.max(F.when(F.col("t.end") == 1, F.col("_v"))).alias("x1"),
-                  F.max("t.h").alias("h")))
-    per_q = per_q.withColumn(
-        "_q", F.col("x0") + (F.col("h") - F.floor("h")) * (F.col("x1") - F.col("x0")))
-    return per_q.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("qi") == i, F.col("_q"))).alias(name) for i, name in enumerate(qs)])
+            aggs.append(F.max(F.when((lo <= k) & (k < hi), F.col("_v"))).alias(f"_x{i}_{end}"))
+        aggs.append(F.max(h).alias(f"_h{i}"))
+    per = j.groupBy(*groups).agg(*aggs)
+    out = []
+    for i, name in enumerate(qs):
+        x0, x1, h = F.col(f"_x{i}_0"), F.col(f"_x{i}_1"), F.col(f"_h{i}")
+        out.append((x0 + (h - F.floor(h)) * (x1 - x0)).alias(name))
+    return per.select(*groups, *out)
 
 
 def global_quantiles(df: DataFrame, value: str, qs: dict[str, float],
                      parts: int | None = None) -> DataFrame:
-    """One-row frame of exact quantiles over the whole column."""
+    """One-row frame of exact quantiles over the whole column (NULLs when empty)."""
     one = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, parts)
     base = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
     return base.join(one, "_all", "left").drop("_all")
