@@ -1 +1,90 @@
-"""Registered queries."""
+"""Report flattening (SRC5), incremental features (STR1), alerts (STR3), stream scoring (STR2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features as fe
+from ..sources.reports import parse_reports, to_reports
+from ..sources.tables import EVENT_SPEC, event_panel
+from ..streaming.alerts import cooldown_alerts
+from ..streaming.incremental import fresh_dir, incremental_features, score_stream
+from . import register
+from .common import E, P1, TS, rounded, sql_frame, sql_r6, sql_w  # noqa: F401
+from .scoring import P3, scored
+
+
+@register("flatten_report", f"{P1} SELECT {E}, {TS}, 'UNKNOWN' AS model, CAST(0 AS BIGINT) AS capacity_bytes, "
+          "CAST(n_events AS DOUBLE) AS smart_5_raw, CAST(round(m_purchase * 100) AS DOUBLE) AS smart_187_raw, "
+          "CAST(NULL AS DOUBLE) AS smart_1_raw FROM p")
+def flatten_report(spark, sf_dir):
+    """P1 rows -> JSON device reports (ids 5, 187 and an unknown 999) -> flat readings."""
+    p = event_panel(spark, sf_dir)
+    lines = to_reports(p, {5: F.col("n_events"), 187: F.round(F.col("m_purchase") * 100),
+                           999: F.col("failure")})
+    readings, _rejected = parse_reports(lines)
+    return readings.select(E, "timestamp", "model", "capacity_bytes", "smart_5_raw", "smart_187_raw", "smart_1_raw")
+
+
+_GROUPS = [fe.rolling(("mean", "std"), (7, 30)), fe.deltas((30,)), fe.lags((1, 7)), fe.slope(7, 3)]
+_INC_COLS = (["m_value_mean_7d", "m_value_std_7d", "m_value_mean_30d", "m_value_std_30d", "m_value_delta_30d",
+              "m_value_lag_1d", "m_value_lag_7d", "m_value_slope_7d"])
+_INC_SQL = (f"{P1}, r AS (SELECT *, CAST(row_number() {sql_w()} AS DOUBLE) AS rn FROM p), "
+            f"f AS (SELECT {E}, {TS}, m_value, "
+            f"coalesce(avg(m_value) {sql_frame(7)}, 0) AS m_value_mean_7d, coalesce(stddev_samp(m_value) {sql_frame(7)}, 0) AS m_value_std_7d, "
+            f"coalesce(avg(m_value) {sql_frame(30)}, 0) AS m_value_mean_30d, coalesce(stddev_samp(m_value) {sql_frame(30)}, 0) AS m_value_std_30d, "
+            f"coalesce(m_value - lag(m_value, 30) {sql_w()}, 0) AS m_value_delta_30d, "
+            f"coalesce(lag(m_value, 1) {sql_w()}, 0) AS m_value_lag_1d, coalesce(lag(m_value, 7) {sql_w()}, 0) AS m_value_lag_7d, "
+            f"CASE WHEN count(m_value) {sql_frame(7)} >= 3 THEN coalesce(regr_slope(m_value, rn) {sql_frame(7)}, 0) ELSE 0 END AS m_value_slope_7d "
+            f"FROM r) SELECT {E}, {TS}, {sql_r6('m_value')} AS m_value, " + ", ".join(f"{sql_r6(c)} AS {c}" for c in _INC_COLS)
+            + f" FROM f WHERE {TS} >= (SELECT max({TS}) - INTERVAL 2 DAY FROM p)")
+
+
+@register("incremental_features", _INC_SQL)
+def incremental(spark, sf_dir):
+    """Features of the last three days computed from those rows plus the last 30 rows of
+    each entity's history; must equal the full computation restricted to those days."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "m_value")
+    cut = p.select(F.max("timestamp") - F.expr("INTERVAL 2 DAYS")).scalar()
+    hist, new = p.filter(F.col("timestamp") < cut), p.filter(F.col("timestamp") >= cut)
+    out = incremental_features(hist, new, EVENT_SPEC, _GROUPS, measures=["m_value"])
+    return rounded(out.select(E, "timestamp", "m_value", *_INC_COLS))
+
+
+_COOLDOWN_MIN = 2 * 24 * 60
+_ALERT_SQL = (P3 + f", a AS (SELECT {E}, {TS}, failure_probability, row_number() {sql_w()} AS rn FROM b WHERE risk_level = 'high'), "
+              f"r AS (SELECT {E}, rn, {TS} AS last_sent, TRUE AS sent FROM a WHERE rn = 1 "
+              f"UNION ALL SELECT a.{E}, a.rn, CASE WHEN a.{TS} - r.last_sent >= INTERVAL {_COOLDOWN_MIN} MINUTE THEN a.{TS} ELSE r.last_sent END, "
+              f"a.{TS} - r.last_sent >= INTERVAL {_COOLDOWN_MIN} MINUTE FROM r JOIN a ON a.{E} = r.{E} AND a.rn = r.rn + 1) "
+              f"SELECT a.{E}, a.{TS}, {sql_r6('a.failure_probability')} AS failure_probability FROM r JOIN a USING ({E}, rn) WHERE r.sent")
+_ALERT_SQL = _ALERT_SQL.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
+
+
+@register("alert_cooldown", _ALERT_SQL)
+def alert_cooldown(spark, sf_dir):
+    """High-risk rows of the fixed scores, one alert per disk per two days at most."""
+    s = scored(spark, sf_dir).filter(F.col("risk_level") == "high")
+    sent = cooldown_alerts(s, EVENT_SPEC, _COOLDOWN_MIN)
+    return rounded(sent.select(E, "timestamp", "failure_probability"))
+
+
+@register("stream_scores")
+def stream_scores(spark, sf_dir):
+    """P1 split into one Parquet file per day, read back as a file stream (availableNow);
+    each micro-batch gets incremental features against the stored history and fixed
+    scores.  Rows-only check: one scored row per panel row."""
+    p = event_panel(spark, sf_dir)
+    base = fresh_dir(spark, "stream")
+    src = f"{base}/input"
+    p.withColumn("day", F.to_date("timestamp")).repartition("day").write.partitionBy("day").parquet(src)
+    schema = spark.read.parquet(src).schema
+
+    def score(feats):
+        z = F.lit(-3.0) + F.lit(0.02) * F.col("m_value") + F.lit(0.7) * F.col("n_events")
+        prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return feats.select(E, "timestamp", "m_value_mean_7d", prob.alias("failure_probability"))
+
+
+    score_stream(spark, src, schema, EVENT_SPEC, [fe.rolling(("mean",), (7,))], score,
+                 f"{base}/scores", f"{base}/history", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/scores")
