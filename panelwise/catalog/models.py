@@ -1 +1,152 @@
-"""Registered queries."""
+"""Model queries on P1 (rows-only checks): training, search, voting, importance, sampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean, ml, split
+from ..operators import features as fe
+from ..sources.tables import EVENT_SPEC, event_panel
+from ..streaming.incremental import fresh_dir
+from . import register
+from .common import E
+
+SMALL_RF = dict(numTrees=20, maxDepth=5, minInstancesPerNode=5, maxBins=32)
+SMALL_GBT = dict(maxIter=10, maxDepth=3)
+KEYS = [E, "timestamp", "failure"]
+
+
+def training_frame(spark, sf_dir):
+    """P1 -> imputation -> features for the measures -> time split column."""
+    p = event_panel(spark, sf_dir)
+    p = clean.impute(p, EVENT_SPEC)
+    groups = [fe.rolling(("mean", "max", "std"), (7,)), fe.deltas((7,)), fe.lags((1,)), fe.slope(7, 3)]
+    f = fe.add_features(p, EVENT_SPEC, groups)
+    f = f.withColumn("n_events", F.col("n_events").cast("double"))
+    feats = EVENT_SPEC.feature_columns(f)
+    return split.time_split(f, EVENT_SPEC, 0.8), feats
+
+
+def _train_test(spark, sf_dir):
+    f, feats = training_frame(spark, sf_dir)
+    return f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test"), feats
+
+
+def _scores(spark, sf_dir, kind, params):
+    train, test, feats = _train_test(spark, sf_dir)
+    model = ml.pipeline(feats, ml.estimator(kind, **params)).fit(train)
+    return ml.score(model, test, KEYS)
+
+
+@register("rf_scores")
+def rf_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "rf", SMALL_RF)
+
+
+@register("gbt_scores")
+def gbt_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "gbt", SMALL_GBT)
+
+
+@register("lr_scores")
+def lr_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "lr", dict(maxIter=20))
+
+
+@register("best_model")
+def best_model(spark, sf_dir):
+    train, test, feats = _train_test(spark, sf_dir)
+    _, metrics = ml.fit_best(train, test, feats, {"rf": SMALL_RF, "gbt": SMALL_GBT, "lr": dict(maxIter=20)})
+    return metrics
+
+
+@register("soft_vote")
+def soft_vote(spark, sf_dir):
+    train, test, feats = _train_test(spark, sf_dir)
+    models = {k: ml.pipeline(feats, ml.estimator(k, **p)).fit(train)
+              for k, p in {"rf": SMALL_RF, "gbt": SMALL_GBT, "lr": dict(maxIter=20)}.items()}
+    return ml.soft_vote(models, test, [E, "timestamp"])
+
+
+@register("grid_search")
+def grid_search(spark, sf_dir):
+    train, _, feats = _train_test(spark, sf_dir)
+    _, best = ml.grid_search(train, feats, "rf", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=3,
+                             parallelism=2, minInstancesPerNode=5, maxBins=32)
+    return spark.range(1).select(F.lit(best).alias("best_cv_auc"))
+
+
+@register("random_search")
+def random_search(spark, sf_dir):
+    train, _, feats = _train_test(spark, sf_dir)
+    bounds = {"maxDepth": (2, 4), "stepSize": (0.05, 0.3), "subsamplingRate": (0.6, 1.0), "maxIter": (5, 10)}
+    _, best = ml.random_search(train, feats, n=3, parallelism=2, bounds=bounds)
+    return spark.range(1).select(F.lit(best).alias("best_validation_auc"))
+
+
+@register("early_stop_gbt")
+def early_stop_gbt(spark, sf_dir):
+    train, test, feats = _train_test(spark, sf_dir)
+    train = split.hash_split(train, [E, "timestamp"], 0.2).withColumn(
+        "is_valid", F.col("split") == "test").drop("split")
+    model = ml.early_stop_gbt(train, feats, "is_valid", max_iter=30, maxDepth=3)
+    return ml.score(model, test, KEYS).withColumn("trees", F.lit(model.stages[-1].getNumTrees))
+
+
+@register("class_weighted_rf")
+def class_weighted_rf(spark, sf_dir):
+    train, test, feats = _train_test(spark, sf_dir)
+    train = ml.with_class_weights(train)
+    model = ml.pipeline(feats, ml.estimator("rf", weight_col="class_weight", **SMALL_RF)).fit(train)
+    return ml.score(model, test, KEYS)
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    train, _, feats = _train_test(spark, sf_dir)
+    model = ml.pipeline(feats, ml.estimator("rf", **SMALL_RF)).fit(train)
+    return ml.importances(model, feats)
+
+
+@register("importance_select")
+def importance_select(spark, sf_dir):
+    return ml.select_by_importance(feature_importance(spark, sf_dir))
+
+
+@register("undersample")
+def undersample(spark, sf_dir):
+    f, _ = training_frame(spark, sf_dir)
+    return ml.undersample(f, "failure", 1.0, 42).select(*KEYS)
+
+
+@register("random_split")
+def random_split(spark, sf_dir):
+    p = event_panel(spark, sf_dir)
+    train, test = split.random_split(p, (0.8, 0.2), 42)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+@register("rolling_origin_cv")
+def rolling_origin_cv(spark, sf_dir):
+    """SPL5 with fits: one logistic model per fold, AUC on that fold's test window."""
+    f, feats = training_frame(spark, sf_dir)
+    folds = split.rolling_origin(f.drop("split"), EVENT_SPEC, 3)
+    ev = ml.evaluator()
+    rows = []
+    for k in range(3):
+        tr = folds.filter((F.col("fold") == k) & (F.col("role") == "train"))
+        te = folds.filter((F.col("fold") == k) & (F.col("role") == "test"))
+        model = ml.pipeline(feats, ml.estimator("lr", maxIter=20)).fit(tr)
+        rows.append((k, float(ev.evaluate(model.transform(te)))))
+    return spark.createDataFrame(rows, "fold int, auc double")
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """SNK4/SNK5: save the fitted pipeline to the shared folder, load it, score."""
+    from pyspark.ml import PipelineModel
+    train, test, feats = _train_test(spark, sf_dir)
+    model = ml.pipeline(feats, ml.estimator("lr", maxIter=20)).fit(train)
+    path = fresh_dir(spark, "model")
+    model.write().overwrite().save(path)
+    return ml.score(PipelineModel.load(path), test, KEYS)
