@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..operators import features as fe
-from ..plans.ranks import group_quantiles
-from ..sources.tables import EVENT_SPEC, event_panel
+from ..plans.segments import hot_entities
+from ..sources.tables import EVENT_SPEC, SHIP_SPEC, event_panel, ship_panel
 from . import register
-from .common import E, MEASURES, P1, TS, rounded, sql_frame, sql_r6, sql_w
+from .common import E, MEASURES, P1, P2, TS, rounded, sql_frame, sql_r6, sql_w
 
 WINDOWS = (7, 14, 30)
 SQL_STAT = {"mean": "avg", "max": "max", "min": "min", "std": "stddev_samp"}
@@ -89,9 +89,8 @@ def rolling_days(spark, sf_dir):
     f"{sql_r6(f'quantile_cont({m}, 0.9)')} AS {m}_p90" for m in MEASURES) + f" FROM p GROUP BY {E}")
 def quantile_by_entity(spark, sf_dir):
     p = event_panel(spark, sf_dir)
-    out = p.select(E).distinct()
-    for m in MEASURES:
-        out = out.join(group_quantiles(p, [E], m, {f"{m}_p90": 0.9}), E, "left")
+    out = fe.entity_thresholds(p, EVENT_SPEC, list(MEASURES), 0.9, hot_entities(p, EVENT_SPEC),
+                               names={m: f"{m}_p90" for m in MEASURES})
     return rounded(out)
 
 
@@ -100,3 +99,35 @@ def feature_table(spark, sf_dir):
     """Full feature stage on P1 (all families, one exchange); rows-only check."""
     p = event_panel(spark, sf_dir)
     return fe.add_features(p, EVENT_SPEC, fe.default_groups(EVENT_SPEC))
+
+
+def full_feature_sql(panel_cte: str, measures: list[str]) -> str:
+    """DuckDB text of the whole feature stage (every family of ``default_groups``)."""
+    thr = (", t AS (SELECT " + E + ", " + ", ".join(f"quantile_cont({m}, 0.9) AS thr_{m}" for m in measures)
+           + f" FROM p GROUP BY {E}), j AS (SELECT p.*, " + ", ".join(f"thr_{m}" for m in measures)
+           + f", CAST(row_number() {sql_w()} AS DOUBLE) AS rn FROM p LEFT JOIN t USING ({E}))")
+    cols = []
+    for m in measures:
+        for w in WINDOWS:
+            for s in ("mean", "max", "min", "std"):
+                cols.append(f"{sql_r6(f'coalesce({SQL_STAT[s]}({m}) {sql_frame(w)}, 0)')} AS {m}_{s}_{w}d")
+            cols.append(f"{sql_r6(f'coalesce({m} - lag({m}, {w}) {sql_w()}, 0)')} AS {m}_delta_{w}d")
+        cols += [f"{sql_r6(f'coalesce(lag({m}, {k}) {sql_w()}, 0)')} AS {m}_lag_{k}d" for k in (1, 3, 7)]
+        cols += [f"{sql_r6(f'coalesce(({m} - lag({m}, {s}) {sql_w()}) / {s}.0, 0)')} AS {m}_trend_{s}d" for s in (7, 14)]
+        cols += [f"CASE WHEN count(*) {sql_frame(w)} >= {w} THEN CAST(sum(CASE WHEN {m} > thr_{m} THEN 1 ELSE 0 END) "
+                 f"{sql_frame(w)} AS DOUBLE) ELSE 0.0 END AS {m}_spike_{w}d" for w in WINDOWS]
+        slope = f"CASE WHEN count({m}) {sql_frame(7)} >= 3 THEN coalesce(regr_slope({m}, rn) {sql_frame(7)}, 0) ELSE 0 END"
+        cols.append(f"{sql_r6(slope)} AS {m}_slope_7d")
+    return f"{panel_cte}{thr} SELECT {E}, {TS}, " + ", ".join(cols) + " FROM j"
+
+
+_SHIP = ["m_qty", "m_disc", "m_price"]
+
+
+@register("ship_features", full_feature_sql(P2, _SHIP))
+def ship_features(spark, sf_dir):
+    """Bench headline: every feature family for the three shipment measures of P2."""
+    p = ship_panel(spark, sf_dir).select(E, "timestamp", *_SHIP)
+    out = fe.add_features(p, SHIP_SPEC, fe.default_groups(SHIP_SPEC))
+    names = [c for c in out.columns if c not in p.columns]
+    return rounded(out.select(E, "timestamp", *names), names)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import day_number
 from ..plans.ranks import group_quantiles
-from ..plans.segments import Layout, layout
+from ..plans.segments import Layout, hot_entities, layout
 from ..spec import PanelSpec
 
 ZERO = F.lit(0.0)
@@ -109,13 +109,32 @@ def default_groups(spec: PanelSpec, *, spike: bool = True, with_slope: bool = Tr
     return g
 
 
-def entity_thresholds(df: DataFrame, spec: PanelSpec, measures: list[str], q: float) -> DataFrame:
-    """Exact per-entity q-quantile of each measure (AGG10), one row per entity."""
-    out = None
-    for m in measures:
-        t = group_quantiles(df, [spec.entity], m, {THR + m: q})
-        out = t if out is None else out.join(t, spec.entity, "full")
-    return out
+def entity_thresholds(df: DataFrame, spec: PanelSpec, measures: list[str], q: float,
+                      hot: DataFrame | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Exact per-entity q-quantile (linear interpolation) of each measure (AGG10).
+
+    Entities up to ``spec.hot_rows`` rows use Spark's exact ``percentile`` in one
+    aggregation for all measures (its per-group buffer holds at most ``hot_rows``
+    values).  Hot entities (``hot``, from ``hot_entities``) go through the bucketed rank
+    path of ``plans.ranks``, which spreads one entity over many tasks.
+    """
+    names = names or {m: THR + m for m in measures}
+    keys = hot.select(spec.entity) if hot is not None else None
+    cold = df if keys is None else df.join(keys, spec.entity, "left_anti")
+    out = cold.groupBy(spec.entity).agg(*[F.percentile(F.col(m).cast("double"), q).alias(names[m])
+                                          for m in measures])
+    if keys is None:
+        return out
+    heavy = df.join(keys, spec.entity, "left_semi")
+    stacked = heavy.select(spec.entity, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_x")) for m in measures])).alias("_s"))
+    stacked = stacked.select(spec.entity, "_s._m", "_s._x")
+    long = group_quantiles(stacked, [spec.entity, "_m"], "_x", {"_q": q})
+    wide = long.groupBy(spec.entity).agg(*[F.max(F.when(F.col("_m") == m, F.col("_q"))).alias(names[m])
+                                           for m in measures])
+    # hot entities whose values are all NULL still get a row (NULL thresholds)
+    wide = heavy.select(spec.entity).distinct().join(wide, spec.entity, "left")
+    return out.unionByName(wide)
 
 
 def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
@@ -125,11 +144,12 @@ def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
     lookback = max([g.lookback for g in groups] + [0])
     lookback_days = max([g.lookback_days for g in groups] + [0])
     base = df
+    hot = hot_entities(df, spec)
     spike_qs = {g.spike_q for g in groups if g.spike_q is not None}
     if spike_qs:
         (q,) = spike_qs
-        base = base.join(entity_thresholds(df, spec, measures, q), spec.entity, "left")
-    lay = layout(base, spec, lookback, lookback_days)
+        base = base.join(entity_thresholds(df, spec, measures, q, hot), spec.entity, "left")
+    lay = layout(base, spec, lookback, lookback_days, hot=hot)
     framed = lay.df
     w = lay.window()
     if any(g.needs_rn for g in groups):

@@ -106,15 +106,20 @@ class Layout:
         return df.join(small, [e, SEG], "left")
 
 
-def layout(df: DataFrame, spec: PanelSpec, lookback: int = 0, lookback_days: int = 0) -> Layout:
+_UNSET = object()
+
+
+def layout(df: DataFrame, spec: PanelSpec, lookback: int = 0, lookback_days: int = 0,
+           hot=_UNSET) -> Layout:
     """Lay ``df`` out for windows over ``(entity, segment)``.
 
     ``lookback`` is the largest number of preceding rows any bounded expression reads
     (e.g. 29 for a 30-row frame, 30 for ``lag(x, 30)``); ``lookback_days`` the same for
-    calendar frames.
+    calendar frames.  ``hot`` may be passed when already computed on the same rows.
     """
     columns = list(df.columns)
-    hot = hot_entities(df, spec)
+    if hot is _UNSET:
+        hot = hot_entities(df, spec)
     if hot is None:
         return Layout(df, spec, [spec.entity], None, columns)
     e = spec.entity
