@@ -171,3 +171,36 @@ def feature_catalogue(spark, sf_dir):
     the catalogue is a function of the spec and the table's columns)."""
     present = EVENT_SPEC.present(event_panel(spark, sf_dir))
     return catalogue(spark, EVENT_SPEC, present)
+
+
+@register("model_monitoring", P3 + f"SELECT CAST({TS} AS DATE) AS date, count(*) AS scored, count(failure) AS labelled, "
+          f"{sql_r6('avg(CASE WHEN failure IS NOT NULL THEN CAST(failure = prediction AS DOUBLE) END)')} AS accuracy, "
+          "count(*) FILTER (WHERE failure = 1) AS actual_positive, count(*) FILTER (WHERE prediction = 1) AS predicted_positive, "
+          f"{sql_r6('avg(failure_probability)')} AS mean_probability FROM b GROUP BY 1")
+def model_monitoring(spark, sf_dir):
+    return rounded(rp.monitoring(scored(spark, sf_dir), EVENT_SPEC))
+
+
+@register("preview", f"{P1} SELECT {E}, {TS}, {sql_r6('m_value')} AS m_value, n_events, failure FROM p "
+          f"ORDER BY {E}, {TS} LIMIT 5")
+def preview(spark, sf_dir):
+    """SRT6: the first five rows in (entity, time) order (a top-k, not a full sort)."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "m_value", "n_events", "failure")
+    return rounded(p.orderBy(E, "timestamp").limit(5))
+
+
+@register("latest_refresh", f"{P1} SELECT {E}, {TS}, {sql_r6('m_value')} AS m_value, failure FROM p {_LATEST}")
+def latest_refresh(spark, sf_dir):
+    """EXP5: latest table of all days but the last three, refreshed with those three days;
+    equals the latest row over everything."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "m_value", "failure")
+    cut = p.select(F.max("timestamp") - F.expr("INTERVAL 2 DAYS")).scalar()
+    old = rp.latest(p.filter(F.col("timestamp") < cut), EVENT_SPEC)
+    return rounded(rp.refresh_latest(old, p.filter(F.col("timestamp") >= cut), EVENT_SPEC))
+
+
+@register("global_time_order", f"{P1} SELECT {TS}, count(*) AS \"rows\", count(DISTINCT {E}) AS entities FROM p GROUP BY 1 ORDER BY 1")
+def global_time_order(spark, sf_dir):
+    """SRT2/AGG11: per-day volume in global time order."""
+    p = event_panel(spark, sf_dir)
+    return p.groupBy("timestamp").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(E).alias("entities")).orderBy("timestamp")

@@ -91,3 +91,20 @@ def expirable_partitions(df: DataFrame, spec: PanelSpec, as_of: Column, keep_mon
     parts = with_partitions(df, spec).groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"),
                                                                   F.max(F.to_date(spec.time)).alias("last_day"))
     return parts.withColumn("expirable", F.col("last_day") < limit)
+
+
+def monitoring(scored: DataFrame, spec: PanelSpec, prob: str = "failure_probability",
+               prediction: str = "prediction") -> DataFrame:
+    """ML24: per day, scored rows, labelled rows, accuracy on labelled rows, actual and
+    predicted positives, mean probability (a batch job; no metrics server)."""
+    y, p = F.col(spec.label), F.col(prediction)
+    return (scored.groupBy(F.to_date(spec.time).alias("date"))
+            .agg(F.count(F.lit(1)).alias("scored"), F.count(y).alias("labelled"),
+                 F.avg(F.when(y.isNotNull(), (y == p).cast("double"))).alias("accuracy"),
+                 F.count_if(y == 1).alias("actual_positive"), F.count_if(p == 1).alias("predicted_positive"),
+                 F.avg(prob).alias("mean_probability")))
+
+
+def refresh_latest(latest_table: DataFrame, new_rows: DataFrame, spec: PanelSpec) -> DataFrame:
+    """EXP5: the latest-row table after new rows arrive (old latest rows + new rows -> latest)."""
+    return latest(latest_table.unionByName(new_rows, allowMissingColumns=True), spec)

@@ -31,12 +31,14 @@ def fit_robust(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int
     ``percentile_approx`` (one mergeable sketch per column, a single pass).
     """
     if exact:
-        one = df.withColumn("_all", F.lit(0))
-        out = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
-        for c in cols:
-            q = group_quantiles(one, ["_all"], c, {f"p25__{c}": 0.25, f"median__{c}": 0.5,
-                                                   f"p75__{c}": 0.75})
-            out = out.join(q, "_all", "left")
+        # all columns stacked into (column, value) rows: one bucketed rank pass
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s"))
+        long = group_quantiles(stacked.select("_s._col", "_s._x"), ["_col"], "_x",
+                               {"p25": 0.25, "median": 0.5, "p75": 0.75})
+        wide = long.agg(*[F.max(F.when(F.col("_col") == c, F.col(n))).alias(f"{n}__{c}")
+                          for c in cols for n in ("p25", "median", "p75")])
+        out = wide
     else:
         aggs = []
         for c in cols:
