@@ -20,7 +20,10 @@ from ..plans.ranks import group_quantiles
 from ..plans.segments import Layout, hot_entities, layout
 from ..spec import PanelSpec
 
-ZERO = F.lit(0.0)
+def _zero() -> Column:
+    return F.lit(0.0)
+
+
 STATS = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp}
 RN, DAYCOL, THR = "_rn", "_dayno", "_thr_"
 
@@ -41,7 +44,7 @@ def _rows(w: Window, n: int) -> Window:
 def rolling(stats=("mean", "max", "min", "std"), windows=(7, 14, 30)) -> FeatureGroup:
     """WIN1-4: ``{m}_{stat}_{w}d`` over the last w rows (current included)."""
     def build(m, x, lay, w):
-        return [F.coalesce(STATS[s](x).over(_rows(w, n)), ZERO).alias(f"{m}_{s}_{n}d")
+        return [F.coalesce(STATS[s](x).over(_rows(w, n)), _zero()).alias(f"{m}_{s}_{n}d")
                 for n in windows for s in stats]
     return FeatureGroup(build, lookback=max(windows) - 1)
 
@@ -50,7 +53,7 @@ def rolling_days(stats=("mean",), windows=(7,)) -> FeatureGroup:
     """Calendar frame: rows whose day lies in [day - (w-1), day] (peers included)."""
     def build(m, x, lay, w):
         dw = Window.partitionBy(*lay.part).orderBy(DAYCOL)
-        return [F.coalesce(STATS[s](x).over(dw.rangeBetween(-(n - 1), 0)), ZERO)
+        return [F.coalesce(STATS[s](x).over(dw.rangeBetween(-(n - 1), 0)), _zero())
                 .alias(f"{m}_{s}_{n}days") for n in windows for s in stats]
     return FeatureGroup(build, lookback_days=max(windows) - 1)
 
@@ -58,21 +61,21 @@ def rolling_days(stats=("mean",), windows=(7,)) -> FeatureGroup:
 def deltas(windows=(7, 14, 30)) -> FeatureGroup:
     """WIN5: ``x - x[t - w rows]``."""
     def build(m, x, lay, w):
-        return [F.coalesce(x - F.lag(x, n).over(w), ZERO).alias(f"{m}_delta_{n}d") for n in windows]
+        return [F.coalesce(x - F.lag(x, n).over(w), _zero()).alias(f"{m}_delta_{n}d") for n in windows]
     return FeatureGroup(build, lookback=max(windows))
 
 
 def lags(ks=(1, 3, 7)) -> FeatureGroup:
     """WIN7: ``x[t - k rows]``."""
     def build(m, x, lay, w):
-        return [F.coalesce(F.lag(x, k).over(w), ZERO).alias(f"{m}_lag_{k}d") for k in ks]
+        return [F.coalesce(F.lag(x, k).over(w), _zero()).alias(f"{m}_lag_{k}d") for k in ks]
     return FeatureGroup(build, lookback=max(ks))
 
 
 def trends(spans=(7, 14)) -> FeatureGroup:
     """WIN8: two-point trend ``(x - x[t - s rows]) / s``."""
     def build(m, x, lay, w):
-        return [F.coalesce((x - F.lag(x, s).over(w)) / F.lit(float(s)), ZERO).alias(f"{m}_trend_{s}d")
+        return [F.coalesce((x - F.lag(x, s).over(w)) / F.lit(float(s)), _zero()).alias(f"{m}_trend_{s}d")
                 for s in spans]
     return FeatureGroup(build, lookback=max(spans))
 
@@ -83,8 +86,8 @@ def slope(rows: int = 7, min_rows: int = 3) -> FeatureGroup:
     def build(m, x, lay, w):
         f = _rows(w, rows)
         return [F.when(F.count(x).over(f) >= min_rows,
-                       F.coalesce(F.regr_slope(x, F.col(RN).cast("double")).over(f), ZERO))
-                .otherwise(ZERO).alias(f"{m}_slope_{rows}d")]
+                       F.coalesce(F.regr_slope(x, F.col(RN).cast("double")).over(f), _zero()))
+                .otherwise(_zero()).alias(f"{m}_slope_{rows}d")]
     return FeatureGroup(build, lookback=rows - 1, needs_rn=True)
 
 
@@ -95,7 +98,7 @@ def spikes(windows=(7, 14, 30), q: float = 0.9) -> FeatureGroup:
         thr = F.col(THR + m)
         hit = F.when(x > thr, 1).otherwise(0)
         return [F.when(F.count(F.lit(1)).over(_rows(w, n)) >= n,
-                       F.sum(hit).over(_rows(w, n)).cast("double")).otherwise(ZERO)
+                       F.sum(hit).over(_rows(w, n)).cast("double")).otherwise(_zero())
                 .alias(f"{m}_spike_{n}d") for n in windows]
     return FeatureGroup(build, lookback=max(windows) - 1, spike_q=q)
 
