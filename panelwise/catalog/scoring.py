@@ -103,7 +103,7 @@ _FEATS = ["m_value", "m_purchase", "m_error", "n_events", "smart_5_raw"]
 
 
 @register("align_schema", f"{P1} SELECT {E}, {TS}, " + ", ".join(
-    f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _FEATS[:-1]) + ", 0.0 AS smart_5_raw FROM p")
+    f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _FEATS[:-1]) + ", CAST(0.0 AS DOUBLE) AS smart_5_raw FROM p")
 def align_schema(spark, sf_dir):
     return sc.align(event_panel(spark, sf_dir), _FEATS, keep=[E, "timestamp"])
 
