@@ -24,7 +24,11 @@ def rounded(df: DataFrame, cols=None) -> DataFrame:
 
 
 def sql_r6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE) * CAST(1.0000000000001 AS DOUBLE), 6) + 0.0)"
+    """Same formula as ``functions.scalar.r6``."""
+    x = f"CAST({expr} AS DOUBLE)"
+    y = f"({x} * CAST(1.0000000000001 AS DOUBLE) * CAST(1e6 AS DOUBLE))"
+    return (f"(CASE WHEN abs({y}) < CAST(1e15 AS DOUBLE) THEN floor({y} + CAST(0.5 AS DOUBLE)) / CAST(1e6 AS DOUBLE) "
+            f"ELSE {x} END + CAST(0.0 AS DOUBLE))")
 
 
 def sql_frame(n: int, order: str = TS) -> str:
