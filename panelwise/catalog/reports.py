@@ -10,7 +10,7 @@ from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import score as sc
 from ..sources.tables import EVENT_SPEC, SHIP_SPEC, event_panel, ship_panel, table
-from ..spec import catalogue
+from ..spec import catalogue, feature_names
 from . import register
 from .common import E, MEASURES, P1, P2, TS, rounded, sql_frame, sql_r6, sql_w
 from .scoring import P3, scored
@@ -165,12 +165,31 @@ def days_to_limit(spark, sf_dir):
     return rounded(out, ["m_value", "m_value_slope_7d"])
 
 
-@register("feature_catalogue")
+def _catalogue_sql() -> str:
+    from .features import full_feature_sql
+    inner = full_feature_sql(P1, list(MEASURES)).replace(f"SELECT {E}, {TS}, ", f"SELECT {E}, {TS}, "
+                                                         + ", ".join(MEASURES) + ", ", 1)
+    names = feature_names(EVENT_SPEC, list(MEASURES))
+    cat = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names, 1))
+    return (f"WITH f AS ({inner}), u AS (UNPIVOT f ON COLUMNS(* EXCLUDE ({E}, {TS})) INTO NAME feature VALUE v), "
+            f"m AS (SELECT feature, avg(v) AS mean_value FROM u GROUP BY feature), "
+            f"c AS (SELECT CAST(o AS INTEGER) AS ordinal, n AS feature FROM (VALUES {cat}) t(o, n)) "
+            f"SELECT c.ordinal, c.feature, {sql_r6('m.mean_value')} AS mean_value FROM c LEFT JOIN m USING (feature)")
+
+
+@register("feature_catalogue", _catalogue_sql())
 def feature_catalogue(spark, sf_dir):
-    """SRC8: names of the full feature stage for the measures present in P1 (rows-only:
-    the catalogue is a function of the spec and the table's columns)."""
-    present = EVENT_SPEC.present(event_panel(spark, sf_dir))
-    return catalogue(spark, EVENT_SPEC, present)
+    """SRC8: the feature catalogue of P1 with each feature's mean over the full feature table."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", *MEASURES)
+    f = fe.add_features(p, EVENT_SPEC, fe.default_groups(EVENT_SPEC))
+    names = [c for c in f.columns if c not in p.columns]
+    f = rounded(f, names)
+    cols = [c for c in f.columns if c not in (E, "timestamp")]
+    long = f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
+                                        for c in cols])).alias("s")).select("s.*")
+    means = long.groupBy("feature").agg(F.avg("v").alias("mean_value"))
+    cat = catalogue(spark, EVENT_SPEC, EVENT_SPEC.present(p))  # one row per feature name
+    return rounded(cat.join(F.broadcast(means), "feature", "left").select("ordinal", "feature", "mean_value"))
 
 
 @register("model_monitoring", P3 + f"SELECT CAST({TS} AS DATE) AS date, count(*) AS scored, count(failure) AS labelled, "

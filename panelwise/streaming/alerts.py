@@ -1,10 +1,22 @@
 """Alert rows with a per-entity cooldown (STR3).
 
 "At most one alert per entity within ``cooldown`` of the last *sent* one" is a fold over
-each entity's alert candidates in time order (whether a candidate is sent depends on the
-previous decision), so it runs per entity: in batch as ``applyInPandas`` over the
-candidate keys only, in a stream with ``applyInPandasWithState`` keeping one timestamp of
-state per entity.  Nothing is delivered; the output rows carry a JSON payload.
+an entity's alert candidates in time order.  In batch it runs without holding an entity
+in one task: time is cut into segments of length ``S >= cooldown``, and
+
+1. per (entity, segment), in parallel: the only history that can matter is the last
+   sent alert if it lies within ``cooldown`` before the segment, i.e. one of the
+   previous segment's alerts in that window (copied in as context) or "none".  The
+   greedy fold is run from each such incoming state (chains that meet an already
+   computed chain stop early) giving a small transfer table ``in -> out``;
+2. per entity, the transfer tables (one row per segment and state) are chained in
+   segment order to get each segment's true incoming state;
+3. per (entity, segment) again, the fold is replayed from the true state and the sent
+   rows are emitted.
+
+Groups hold one segment of one entity, so their size is bounded by alert density times
+``S``, not by the entity's history.  In a stream, ``applyInPandasWithState`` keeps one
+timestamp of state per entity.  Nothing is delivered; rows carry a JSON payload.
 """
 
 from __future__ import annotations
@@ -18,32 +30,132 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalar import epoch_seconds
 from ..spec import PanelSpec
 
+_US = "_t_us"
+_SEG, _CTX, _SPLIT = "_aseg", "_actx", "_asplit"
+_DAY_US = 86_400_000_000
 
-def _sent_mask(times: np.ndarray, cooldown: np.timedelta64, last: np.datetime64 | None) -> np.ndarray:
+
+def _fold(times: np.ndarray, cooldown: int, last) -> tuple[np.ndarray, object]:
+    """Greedy cooldown over sorted integer times; returns (sent mask, last sent)."""
     sent = np.zeros(len(times), dtype=bool)
     for i, t in enumerate(times):
         if last is None or t - last >= cooldown:
             sent[i] = True
-            last = t
-    return sent
-
-
-def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: float) -> DataFrame:
+            last = int(t)
+    return sent, last
+
+
+def _transfer(own: np.ndarray, ctx: np.ndarray, cooldown: int) -> list[tuple[object, object]]:
+    """(incoming state, outgoing last-sent) for 'none' and each context alert."""
+    base_sent, base_out = _fold(own, cooldown, None)
+    base_pos = {int(t): i for i, t in zip(np.nonzero(base_sent)[0], own[base_sent])}
+    rows = [(None, base_out)]
+    for s in ctx:
+        last, out = int(s), None
+        for i, t in enumerate(own):
+            if t - last >= cooldown:
+                if int(t) in base_pos and base_pos[int(t)] == i:   # joined the base chain
+                    out = base_out
+                    break
+                last = int(t)
+        else:
+            out = last
+        rows.append((int(s), out))
+    return rows
+
+
+def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: float,
+                    segment_minutes: float | None = None, hot_rows: int | None = -1) -> DataFrame:
     """The candidates that are sent: the first of each entity, then every one at least
-    ``cooldown_minutes`` after the previous sent one."""
-    keys = candidates.select(spec.entity, spec.time, *spec.tiebreak)
-    cooldown = np.timedelta64(int(round(cooldown_minutes * 60 * 1_000_000)), "us")
-    schema = keys.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([spec.time, *spec.tiebreak], kind="mergesort")
-        times = pdf[spec.time].to_numpy(dtype="datetime64[us]")
-        return pdf[_sent_mask(times, cooldown, None)]
-
-    sent = keys.groupBy(spec.entity).applyInPandas(fold, schema)
-    return candidates.join(sent, [spec.entity, spec.time, *spec.tiebreak], "left_semi")
+    ``cooldown_minutes`` after the previous sent one (ties on time: first by tiebreak).
+
+    Only entities with more than ``hot_rows`` candidates (default ``spec.hot_rows``) are
+    cut into time segments; the others are one group each.  ``hot_rows=0`` segments all.
+    """
+    e = spec.entity
+    cooldown = int(round(cooldown_minutes * 60 * 1_000_000))
+    wanted = _DAY_US if segment_minutes is None else int(round(segment_minutes * 60 * 1_000_000))
+    seg_len = max(cooldown, wanted, 1)
+    order = [spec.time, *spec.tiebreak]
+    t_us = F.round(epoch_seconds(spec.time) * F.lit(1_000_000.0)).cast("long")
+    keys = candidates.select(e, *order).withColumn(_US, t_us)
+    limit = spec.hot_rows if hot_rows == -1 else hot_rows
+    seg = F.floor(F.col(_US) / F.lit(seg_len)).cast("long")
+    any_split = True
+    if limit is None:
+        keys = keys.withColumn(_SPLIT, F.lit(False))
+        any_split = False
+    elif limit == 0:
+        keys = keys.withColumn(_SPLIT, F.lit(True))
+    else:
+        hot = candidates.groupBy(e).count().filter(F.col("count") > limit).select(e)
+        hot_list = hot.limit(100_001).collect()  # at most rows / hot_rows entities
+        if not hot_list:
+            keys = keys.withColumn(_SPLIT, F.lit(False))
+            any_split = False
+        else:
+            marks = (F.broadcast(candidates.sparkSession.createDataFrame(hot_list, hot.schema))
+                     if len(hot_list) <= 100_000 else hot).withColumn(_SPLIT, F.lit(True))
+            keys = keys.join(marks, e, "left").withColumn(_SPLIT, F.coalesce(F.col(_SPLIT), F.lit(False)))
+    keys = keys.withColumn(_SEG, F.when(F.col(_SPLIT), seg).otherwise(F.lit(0).cast("long")))
+    own = keys.withColumn(_CTX, F.lit(False))
+    # alerts within `cooldown` of the next segment start are possible incoming states there
+    nxt_start = (F.col(_SEG) + 1) * F.lit(seg_len)
+    ctx = keys.filter(F.col(_SPLIT) & (F.col(_US) >= nxt_start - F.lit(cooldown)))
+    ctx = ctx.withColumn(_SEG, F.col(_SEG) + 1).withColumn(_CTX, F.lit(True))
+    framed = (own.unionByName(ctx) if any_split and cooldown > 0 else own).drop(_SPLIT)
+
+    ent_type = candidates.schema[e].dataType
+    tr_schema = T.StructType([T.StructField(e, ent_type), T.StructField(_SEG, T.LongType()),
+                              T.StructField("_in", T.LongType()), T.StructField("_out", T.LongType())])
+
+    def step1(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([_US, *spec.tiebreak], kind="mergesort")
+        own_t = pdf.loc[~pdf[_CTX], _US].to_numpy(dtype="int64")
+        ctx_t = np.unique(pdf.loc[pdf[_CTX], _US].to_numpy(dtype="int64"))
+        rows = _transfer(own_t, ctx_t, cooldown)
+        return pd.DataFrame({e: pdf[e].iloc[0], _SEG: int(pdf[_SEG].iloc[0]),
+                             "_in": pd.array([r[0] for r in rows], dtype="Int64"),
+                             "_out": pd.array([r[1] for r in rows], dtype="Int64")})
+
+    transfer = framed.select(e, _SEG, _US, _CTX, *spec.tiebreak).groupBy(e, _SEG).applyInPandas(step1, tr_schema)
+
+    st_schema = T.StructType([T.StructField(e, ent_type), T.StructField(_SEG, T.LongType()),
+                              T.StructField("_state", T.LongType())])
+
+    def step2(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one row per (segment, incoming state) of one entity: small
+        table = {(int(r[_SEG]), None if pd.isna(r["_in"]) else int(r["_in"])):
+                 (None if pd.isna(r["_out"]) else int(r["_out"])) for _, r in pdf.iterrows()}
+        segs = sorted({k[0] for k in table})
+        state, out = None, []
+        for s in segs:
+            if state is not None and state <= s * seg_len - cooldown:
+                state = None
+            out.append((s, state))
+            state = table.get((s, state), state)
+        return pd.DataFrame({e: pdf[e].iloc[0], _SEG: [s for s, _ in out],
+                             "_state": pd.array([v for _, v in out], dtype="Int64")})
+
+    states = transfer.groupBy(e).applyInPandas(step2, st_schema)
+
+    out_schema = T.StructType([candidates.schema[c] for c in (e, *order)])
+
+    def step3(pdf: pd.DataFrame) -> pd.DataFrame:
+        own_rows = pdf[~pdf[_CTX]].sort_values([_US, *spec.tiebreak], kind="mergesort")
+        st = pdf["_state"].iloc[0]
+        sent, _ = _fold(own_rows[_US].to_numpy(dtype="int64"), cooldown, None if pd.isna(st) else int(st))
+        return own_rows.loc[sent, [e, *order]]
+
+    if any_split:
+        replay = framed.join(states, [e, _SEG], "left")
+    else:  # no entity is segmented: every segment starts from "no alert sent yet"
+        replay = framed.withColumn("_state", F.lit(None).cast("long"))
+    sent = replay.groupBy(e, _SEG).applyInPandas(step3, out_schema)
+    return candidates.join(sent, [e, *order], "left_semi")
 
 
 def alert_payload(alerts: DataFrame, spec: PanelSpec, prob: str = "failure_probability",
@@ -56,17 +168,17 @@ def alert_payload(alerts: DataFrame, spec: PanelSpec, prob: str = "failure_proba
 
 def stream_alerts(stream: DataFrame, spec: PanelSpec, cooldown_minutes: float) -> DataFrame:
     """Streaming form: per entity state = last sent time (epoch microseconds)."""
-    cooldown = np.timedelta64(int(round(cooldown_minutes * 60 * 1_000_000)), "us")
+    cooldown = int(round(cooldown_minutes * 60 * 1_000_000))
     out_schema = T.StructType([stream.schema[spec.entity], stream.schema[spec.time]])
     state_schema = T.StructType([T.StructField("last_us", T.LongType())])
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs)).sort_values(spec.time, kind="mergesort")
-        last = np.datetime64(int(state.get[0]), "us") if state.exists else None
-        times = pdf[spec.time].to_numpy(dtype="datetime64[us]")
-        mask = _sent_mask(times, cooldown, last)
+        last = int(state.get[0]) if state.exists else None
+        times = pdf[spec.time].to_numpy(dtype="datetime64[us]").astype("int64")
+        mask, last = _fold(times, cooldown, last)
         if mask.any():
-            state.update((int(times[mask][-1].astype("int64")),))
+            state.update((int(last),))
         yield pdf.loc[mask, [spec.entity, spec.time]]
 
     return (stream.select(spec.entity, spec.time).groupBy(spec.entity)

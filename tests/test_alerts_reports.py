@@ -23,6 +23,31 @@ def test_cooldown_hand_panel(spark):
     assert got == [("d1", 0), ("d1", 61), ("d1", 121), ("d2", 5)]
 
 
+def _brute(times, cooldown):
+    sent, last = [], None
+    for t in sorted(times):
+        if last is None or t - last >= cooldown:
+            sent.append(t)
+            last = t
+    return sent
+
+
+def test_cooldown_segments_equal_sequential(spark):
+    import random
+    rng = random.Random(11)
+    base = dt.datetime(2026, 1, 1)
+    data = [(f"d{i % 3}", rng.randint(0, 5000)) for i in range(600)]
+    df = spark.createDataFrame([(e, base + dt.timedelta(minutes=m)) for e, m in data],
+                               "serial_number string, timestamp timestamp_ntz").dropDuplicates()
+    for seg in (60, 97, 400):  # every entity segmented
+        sent = cooldown_alerts(df, SPEC, 60, segment_minutes=seg, hot_rows=0)
+        got = {}
+        for r in sent.collect():
+            got.setdefault(r.serial_number, []).append(int((r.timestamp - base).total_seconds() // 60))
+        for ent in {e for e, _ in data}:
+            assert sorted(got.get(ent, [])) == _brute({m for e, m in data if e == ent}, 60), (seg, ent)
+
+
 def test_cooldown_stream_keeps_state(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     src = tmp_path / "alerts"
