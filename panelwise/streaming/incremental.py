@@ -55,13 +55,20 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/panelwise-{name}-{uuid.uuid4().hex}"
 
 
+EVENT_TIME = "_event_time"
+
+
 def score_stream(spark: SparkSession, source_dir: str, schema, spec: PanelSpec, groups: list[FeatureGroup],
                  score_fn, out_dir: str, history_dir: str, checkpoint_dir: str,
-                 max_files: int | None = None) -> None:
-    """STR2: file source -> per micro-batch: incremental features against the stored
-    history -> ``score_fn`` -> append scores; the batch is then appended to the history.
-    Runs until the available input is processed (``availableNow``)."""
+                 max_files: int | None = None, late_delay: str = "1 day") -> None:
+    """STR2/STR4: file source -> watermark (T+1 by default) and de-duplication of
+    re-delivered readings per (entity, time) -> per micro-batch: incremental features
+    against the stored history -> ``score_fn`` -> append scores; the batch is then
+    appended to the history.  Runs until the available input is processed
+    (``availableNow``).  The watermark needs a TIMESTAMP column, so a session-time-zone
+    copy of the wall-clock time is used for it and dropped in the batch."""
     def batch(df: DataFrame, epoch: int) -> None:
+        df = df.drop(EVENT_TIME)
         try:
             hist = spark.read.schema(schema).parquet(history_dir)
         except Exception:  # noqa: BLE001 - first batch: no history yet
@@ -73,7 +80,10 @@ def score_stream(spark: SparkSession, source_dir: str, schema, spec: PanelSpec,
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    q = (reader.parquet(source_dir)
-         .writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
+    stream = (reader.parquet(source_dir)
+              .withColumn(EVENT_TIME, F.col(spec.time).cast("timestamp"))
+              .withWatermark(EVENT_TIME, late_delay)
+              .dropDuplicatesWithinWatermark([spec.entity, *spec.keys[1:]]))
+    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
