@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import bounded
 from ..plans.ranks import running_totals
 from ..spec import PanelSpec
 
@@ -58,8 +59,8 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_fracti
     cum = running_totals(h, [label, "_h"], {"_cum": F.lit(1)})
     start = running_totals(per_label, [label], {"_upto": F.col("_nl")})
     start = start.select(label, "_nl", (F.col("_upto") - F.col("_nl")).alias("_before"))
-    # one row per label value: small by construction (checked in ml.class_weights callers)
-    out = cum.join(F.broadcast(start), label)
+    start, _ = bounded(start)  # one row per label value, size checked
+    out = cum.join(start, label)
     rank = F.col("_cum") - F.col("_before")
     test = rank <= F.round(F.col("_nl") * test_fraction)
     return out.select(*df.columns, F.when(test, "test").otherwise("train").alias(SPLIT))
