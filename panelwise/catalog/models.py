@@ -116,7 +116,7 @@ def importance_select(spark, sf_dir):
 @register("undersample")
 def undersample(spark, sf_dir):
     f, _ = training_frame(spark, sf_dir)
-    return ml.undersample(f, "failure", 1.0, 42).select(*KEYS)
+    return ml.undersample(f, [E, "timestamp"], "failure", 1.0, 42).select(*KEYS)
 
 
 @register("random_split")
@@ -150,3 +150,31 @@ def model_roundtrip(spark, sf_dir):
     path = fresh_dir(spark, "model")
     model.write().overwrite().save(path)
     return ml.score(PipelineModel.load(path), test, KEYS)
+
+
+@register("scored_with_indicators")
+def scored_with_indicators(spark, sf_dir):
+    """ML20 + ML21: test rows scored by a forest, each carrying the top-5 feature names."""
+    from ..operators.score import key_indicators
+    train, test, feats = _train_test(spark, sf_dir)
+    model = ml.pipeline(feats, ml.estimator("rf", **SMALL_RF)).fit(train)
+    top = key_indicators(ml.importances(model, feats), 5)
+    return ml.score(model, test, KEYS).withColumn("key_indicators", top)
+
+
+@register("retrain_window")
+def retrain_window(spark, sf_dir):
+    """ML23: features written partitioned, the last 20 days read back with partition
+    pruning, a model refitted on them, the last 3 days scored."""
+    from .. import sinks
+    from ..sources.readers import read_features
+    from ..streaming.incremental import fresh_dir as _fresh
+    f, feats = training_frame(spark, sf_dir)
+    path = _fresh(spark, "retrain")
+    sinks.write_partitioned(f.drop("split"), path, EVENT_SPEC)
+    last = f.select(F.max("timestamp")).scalar()
+    stored = read_features(spark, path, start=F.date_sub(F.to_date(last), 20).cast("timestamp_ntz"), spec=EVENT_SPEC)
+    model = ml.retrain_window(stored, "timestamp", F.date_sub(F.to_date(last), 20).cast("timestamp_ntz"), feats,
+                              "lr", maxIter=20)
+    recent = stored.filter(F.col("timestamp") >= F.date_sub(F.to_date(last), 2).cast("timestamp_ntz"))
+    return ml.score(model, recent, KEYS)

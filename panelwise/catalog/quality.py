@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as qa
-from ..sources.tables import EVENT_SPEC, event_panel, table
+from ..sources.tables import EVENT_PANEL_SQL, EVENT_SPEC, event_panel, table
 from . import register
 from .common import E, MEASURES, P1, TS, rounded, sql_r6
 
+EVENT_PANEL_SQL_CTE = f"p AS ({EVENT_PANEL_SQL})"
+
 _COLS = list(MEASURES)
 
 
@@ -113,3 +115,21 @@ def value_range(spark, sf_dir):
 def row_count(spark, sf_dir):
     p = event_panel(spark, sf_dir)
     return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(E).alias("entities"))
+
+
+_AUDIT = ("WITH a AS (SELECT CAST(user_id AS VARCHAR) AS serial_number, date_trunc('day', ts) AS \"timestamp\", "
+          "CAST(count(*) FILTER (WHERE event_type = 'error') >= 2 AS INTEGER) AS audited FROM events GROUP BY 1, 2), "
+          + EVENT_PANEL_SQL_CTE + " SELECT count(*) AS audited_rows, "
+          + sql_r6("avg(CAST(p.failure = a.audited AS DOUBLE))") + " AS label_accuracy FROM p JOIN a USING (serial_number, \"timestamp\")")
+
+
+@register("label_audit", _AUDIT)
+def label_audit(spark, sf_dir):
+    """AGG19: panel labels against labels recomputed from the raw events (error events
+    per user and day), joined on (entity, day)."""
+    ev = table(spark, sf_dir, "events")
+    audit = (ev.groupBy(F.col("user_id").cast("string").alias(E),
+                        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("timestamp"))
+             .agg((F.count_if(F.col("event_type") == "error") >= 2).cast("int").alias("audited")))
+    out = qa.label_accuracy(event_panel(spark, sf_dir), audit, [E, "timestamp"], "failure", "audited")
+    return rounded(out)

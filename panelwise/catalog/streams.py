@@ -84,7 +84,6 @@ def stream_scores(spark, sf_dir):
         prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
         return feats.select(E, "timestamp", "m_value_mean_7d", prob.alias("failure_probability"))
 
-
     score_stream(spark, src, schema, EVENT_SPEC, [fe.rolling(("mean",), (7,))], score,
                  f"{base}/scores", f"{base}/history", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/scores")
+    return spark.read.parquet(f"{base}/scores").drop("batch")

@@ -159,12 +159,17 @@ def with_class_weights(df: DataFrame, label: str = "failure", name: str = "class
     return df.join(w, label)
 
 
-def undersample(df: DataFrame, label: str = "failure", ratio: float = 1.0, seed: int = 42) -> DataFrame:
-    """ML16: keep all positives, about ``ratio`` negatives per positive (``sampleBy``)."""
+def undersample(df: DataFrame, keys: list[str], label: str = "failure", ratio: float = 1.0,
+                seed: int = 42) -> DataFrame:
+    """ML16: keep all positives and about ``ratio`` negatives per positive.
+
+    Negatives are kept by a hash of their key, not by a random draw, so a recomputed
+    partition (lost executor) keeps exactly the same rows."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     frac = 1.0 if neg == 0 else min(1.0, ratio * pos / neg)
-    return df.sampleBy(label, {0: frac, 1: 1.0}, seed)
+    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30))
+    return df.filter((F.col(label) == 1) | (h < F.lit(int(frac * (1 << 30)))))
 
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:
@@ -182,6 +187,14 @@ def select_by_importance(imps: DataFrame) -> DataFrame:
     return imps.filter(F.col("importance") > mean)
 
 
+def retrain_window(features: DataFrame, time_col: str, start, feature_cols: list[str], kind: str = "lr",
+                   label: str = "failure", **params) -> PipelineModel:
+    """ML23: refit on the readings since ``start`` (a sliding window of partitions when
+    ``features`` comes from ``sources.readers.read_features``)."""
+    train = features.filter(F.col(time_col) >= start)
+    return pipeline(feature_cols, estimator(kind, label, **params)).fit(train)
+
+
 def score(model: PipelineModel, df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """ML20: probability, decision ``p > t`` and risk band for every row."""
     s = probability(model.transform(df))

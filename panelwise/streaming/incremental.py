@@ -68,14 +68,17 @@ def score_stream(spark: SparkSession, source_dir: str, schema, spec: PanelSpec,
     (``availableNow``).  The watermark needs a TIMESTAMP column, so a session-time-zone
     copy of the wall-clock time is used for it and dropped in the batch."""
     def batch(df: DataFrame, epoch: int) -> None:
+        # idempotent: a retried micro-batch overwrites its own directory, and the history
+        # read excludes it, so a re-run after executor or driver loss gives the same rows
         df = df.drop(EVENT_TIME)
         try:
-            hist = spark.read.schema(schema).parquet(history_dir)
+            hist = (spark.read.schema(schema).option("basePath", history_dir).parquet(f"{history_dir}/batch=*")
+                    .filter(F.col("batch") < epoch).drop("batch"))
         except Exception:  # noqa: BLE001 - first batch: no history yet
             hist = spark.createDataFrame([], schema)
         feats = incremental_features(hist, df, spec, groups)
-        score_fn(feats).write.mode("append").parquet(out_dir)
-        df.write.mode("append").parquet(history_dir)
+        score_fn(feats).write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
+        df.write.mode("overwrite").parquet(f"{history_dir}/batch={epoch}")
 
     reader = spark.readStream.schema(schema)
     if max_files:
