@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, ml, split
+from ..plans.materialize import materialize
 from ..operators import features as fe
 from ..sources.tables import EVENT_SPEC, event_panel
 from ..streaming.incremental import fresh_dir
@@ -24,7 +25,8 @@ def training_frame(spark, sf_dir):
     f = fe.add_features(p, EVENT_SPEC, groups)
     f = f.withColumn("n_events", F.col("n_events").cast("double"))
     feats = EVENT_SPEC.feature_columns(f)
-    return split.time_split(f, EVENT_SPEC, 0.8), feats
+    # read by several fits / folds: saved once to the shared checkpoint folder
+    return materialize(split.time_split(f, EVENT_SPEC, 0.8)), feats
 
 
 def _train_test(spark, sf_dir):
