@@ -57,14 +57,16 @@ def outlier_bounds(df: DataFrame, cols: list[str], k: float = SIGMA) -> DataFram
                       (F.col("mean") + k * F.col("std")).alias("upper"))
 
 
-def bounds_struct(df: DataFrame, cols: list[str], k: float = SIGMA) -> Column:
-    """Scalar subquery holding every column's bounds (one aggregation, reused)."""
+def bounds_struct(df: DataFrame, cols: list[str], k: float = SIGMA) -> dict[str, Column]:
+    """Every column's bounds from one aggregation pass; the single result row is read
+    once and used as literals (``lo__c``, ``hi__c``)."""
     m = moments(df, cols)
     fields = []
     for c in cols:
         fields += [(F.col(f"mean__{c}") - k * F.col(f"std__{c}")).alias(f"lo__{c}"),
                    (F.col(f"mean__{c}") + k * F.col(f"std__{c}")).alias(f"hi__{c}")]
-    return m.select(F.struct(*fields).alias("b")).scalar()
+    row = m.select(*fields).first().asDict()  # exactly one row
+    return {name: F.lit(v).cast("double") for name, v in row.items()}
 
 
 def outlier_rate(df: DataFrame, cols: list[str], k: float = SIGMA,

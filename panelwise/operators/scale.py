@@ -1,9 +1,10 @@
 """Scaling as fit/transform pairs (SCL1-3, JOI1).
 
 ``fit_*`` returns a one-row statistics DataFrame (persist it with ``sinks.write_stats``);
-``transform_*`` applies it through a single scalar subquery, so the statistics are
-computed once and reach executors without a driver round trip or a join.  Fit on the
-training rows only (S9).
+``transform_*`` reads that single row once and applies it as literals, as Spark ML's
+scalers do.  (A scalar subquery referenced by hundreds of scaled columns would copy the
+whole upstream plan into every reference during optimization.)  Fit on the training
+rows only (S9).
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def fit_minmax(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _apply(df: DataFrame, stats: DataFrame, cols: list[str], expr, keep_original: bool) -> DataFrame:
-    s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    row = stats.first().asDict()  # exactly one row
+    s = {k: F.lit(v).cast("double") for k, v in row.items()}
     cs = set(cols)
     base = [F.col(c) for c in df.columns if keep_original or c not in cs]
     return df.select(*base, *[expr(F.col(c), s, c).alias(f"{c}_scaled") for c in cols])

@@ -35,7 +35,7 @@ class PanelSpec:
     slope_rows: int = 7
     slope_min_rows: int = 3
     spike_quantile: float = 0.9
-    hot_rows: int | None = 5_000_000
+    hot_rows: int | None = 1_000_000
     excluded: tuple[str, ...] = field(default=NON_FEATURE_COLS)
 
     @property
