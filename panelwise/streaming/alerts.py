@@ -21,10 +21,12 @@ timestamp of state per entity.  Nothing is delivered; rows carry a JSON payload.
 
 from __future__ import annotations
 
+import sys
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.scalar import epoch_seconds
 from ..spec import PanelSpec
 
+# the pandas functions below run in Python workers that may not have this package on
+# their path: ship this module's helpers by value (closures capture only plain values)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _US = "_t_us"
 _SEG, _CTX, _SPLIT = "_aseg", "_actx", "_asplit"
 _DAY_US = 86_400_000_000
@@ -76,6 +82,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     cut into time segments; the others are one group each.  ``hot_rows=0`` segments all.
     """
     e = spec.entity
+    tiebreak = list(spec.tiebreak)
     cooldown = int(round(cooldown_minutes * 60 * 1_000_000))
     wanted = _DAY_US if segment_minutes is None else int(round(segment_minutes * 60 * 1_000_000))
     seg_len = max(cooldown, wanted, 1)
@@ -113,7 +120,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
                               T.StructField("_in", T.LongType()), T.StructField("_out", T.LongType())])
 
     def step1(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([_US, *spec.tiebreak], kind="mergesort")
+        pdf = pdf.sort_values([_US, *tiebreak], kind="mergesort")
         own_t = pdf.loc[~pdf[_CTX], _US].to_numpy(dtype="int64")
         ctx_t = np.unique(pdf.loc[pdf[_CTX], _US].to_numpy(dtype="int64"))
         rows = _transfer(own_t, ctx_t, cooldown)
@@ -145,7 +152,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     out_schema = T.StructType([candidates.schema[c] for c in (e, *order)])
 
     def step3(pdf: pd.DataFrame) -> pd.DataFrame:
-        own_rows = pdf[~pdf[_CTX]].sort_values([_US, *spec.tiebreak], kind="mergesort")
+        own_rows = pdf[~pdf[_CTX]].sort_values([_US, *tiebreak], kind="mergesort")
         st = pdf["_state"].iloc[0]
         sent, _ = _fold(own_rows[_US].to_numpy(dtype="int64"), cooldown, None if pd.isna(st) else int(st))
         return own_rows.loc[sent, [e, *order]]
@@ -169,17 +176,18 @@ def alert_payload(alerts: DataFrame, spec: PanelSpec, prob: str = "failure_proba
 def stream_alerts(stream: DataFrame, spec: PanelSpec, cooldown_minutes: float) -> DataFrame:
     """Streaming form: per entity state = last sent time (epoch microseconds)."""
     cooldown = int(round(cooldown_minutes * 60 * 1_000_000))
+    ent, tcol = spec.entity, spec.time
     out_schema = T.StructType([stream.schema[spec.entity], stream.schema[spec.time]])
     state_schema = T.StructType([T.StructField("last_us", T.LongType())])
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values(spec.time, kind="mergesort")
+        pdf = pd.concat(list(pdfs)).sort_values(tcol, kind="mergesort")
         last = int(state.get[0]) if state.exists else None
-        times = pdf[spec.time].to_numpy(dtype="datetime64[us]").astype("int64")
+        times = pdf[tcol].to_numpy(dtype="datetime64[us]").astype("int64")
         mask, last = _fold(times, cooldown, last)
         if mask.any():
             state.update((int(last),))
-        yield pdf.loc[mask, [spec.entity, spec.time]]
+        yield pdf.loc[mask, [ent, tcol]]
 
     return (stream.select(spec.entity, spec.time).groupBy(spec.entity)
             .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
