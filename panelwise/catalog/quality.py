@@ -129,7 +129,7 @@ def label_audit(spark, sf_dir):
     per user and day), joined on (entity, day)."""
     ev = table(spark, sf_dir, "events")
     audit = (ev.groupBy(F.col("user_id").cast("string").alias(E),
-                        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("timestamp"))
+                        F.to_date("ts").cast("timestamp_ntz").alias("timestamp"))
              .agg((F.count_if(F.col("event_type") == "error") >= 2).cast("int").alias("audited")))
     out = qa.label_accuracy(event_panel(spark, sf_dir), audit, [E, "timestamp"], "failure", "audited")
     return rounded(out)

@@ -85,5 +85,5 @@ def stream_scores(spark, sf_dir):
         return feats.select(E, "timestamp", "m_value_mean_7d", prob.alias("failure_probability"))
 
     score_stream(spark, src, schema, EVENT_SPEC, [fe.rolling(("mean",), (7,))], score,
-                 f"{base}/scores", f"{base}/history", f"{base}/checkpoint")
+                 f"{base}/scores", f"{base}/context", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/scores").drop("batch")

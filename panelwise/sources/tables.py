@@ -27,7 +27,7 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_purchase = F.col("event_type") == "purchase"
     is_error = F.col("event_type") == "error"
     return (ev.groupBy(F.col("user_id").cast("string").alias("serial_number"),
-                       F.date_trunc("day", "ts").cast("timestamp_ntz").alias("timestamp"))
+                       F.to_date("ts").cast("timestamp_ntz").alias("timestamp"))
             .agg(F.avg("value").alias("m_value"),
                  F.sum(F.when(is_purchase, F.col("value"))).alias("m_purchase"),
                  F.avg(F.when(is_error, F.col("value"))).alias("m_error"),

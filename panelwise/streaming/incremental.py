@@ -58,27 +58,49 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 EVENT_TIME = "_event_time"
 
 
+def _latest_batch_before(spark: SparkSession, root: str, epoch: int) -> int | None:
+    """Largest ``batch=<id>`` directory under ``root`` with id < ``epoch`` (a listing of
+    one directory level on the driver; one entry per micro-batch)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    ids = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < epoch:
+            ids.append(int(name[6:]))
+    return max(ids) if ids else None
+
+
 def score_stream(spark: SparkSession, source_dir: str, schema, spec: PanelSpec, groups: list[FeatureGroup],
-                 score_fn, out_dir: str, history_dir: str, checkpoint_dir: str,
+                 score_fn, out_dir: str, context_dir: str, checkpoint_dir: str,
                  max_files: int | None = None, late_delay: str = "1 day") -> None:
     """STR2/STR4: file source -> watermark (T+1 by default) and de-duplication of
     re-delivered readings per (entity, time) -> per micro-batch: incremental features
-    against the stored history -> ``score_fn`` -> append scores; the batch is then
-    appended to the history.  Runs until the available input is processed
-    (``availableNow``).  The watermark needs a TIMESTAMP column, so a session-time-zone
-    copy of the wall-clock time is used for it and dropped in the batch."""
+    against a compact context -> ``score_fn`` -> scores.  Runs until the available input
+    is processed (``availableNow``).
+
+    The context is only the last ``lookback`` rows of every entity (``context_dir``,
+    rewritten per batch), so a batch never rescans the history: its cost follows the
+    batch and the fleet size, not the age of the stream.  Each batch writes to its own
+    ``batch=<id>`` directories in overwrite mode and reads the newest context older than
+    itself, so a retried batch (lost executor or driver restart) gives the same rows.
+    The watermark needs a TIMESTAMP column, so a session-time-zone copy of the
+    wall-clock time is used for it and dropped in the batch."""
+    k = max(g.lookback for g in groups)
+
     def batch(df: DataFrame, epoch: int) -> None:
-        # idempotent: a retried micro-batch overwrites its own directory, and the history
-        # read excludes it, so a re-run after executor or driver loss gives the same rows
-        df = df.drop(EVENT_TIME)
-        try:
-            hist = (spark.read.schema(schema).option("basePath", history_dir).parquet(f"{history_dir}/batch=*")
-                    .filter(F.col("batch") < epoch).drop("batch"))
-        except Exception:  # noqa: BLE001 - first batch: no history yet
-            hist = spark.createDataFrame([], schema)
-        feats = incremental_features(hist, df, spec, groups)
+        df = df.drop(EVENT_TIME).persist()
+        prev = _latest_batch_before(spark, context_dir, epoch)
+        ctx = (spark.read.schema(schema).parquet(f"{context_dir}/batch={prev}") if prev is not None
+               else spark.createDataFrame([], schema))
+        feats = incremental_features(ctx, df, spec, groups)
         score_fn(feats).write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
-        df.write.mode("overwrite").parquet(f"{history_dir}/batch={epoch}")
+        last_rows(ctx.unionByName(df.select(*ctx.columns)), spec, k).write.mode("overwrite").parquet(
+            f"{context_dir}/batch={epoch}")
+        df.unpersist()
 
     reader = spark.readStream.schema(schema)
     if max_files:

@@ -39,7 +39,7 @@ def test_stream_batches_equal_full(spark):
         p.filter(F.year("timestamp") == y).coalesce(1).write.parquet(f"{base}/input/y={y}")
     schema = spark.read.parquet(f"{base}/input").schema
     score_stream(spark, f"{base}/input", schema, SHIP_SPEC, GROUPS, lambda f: f, f"{base}/out",
-                 f"{base}/hist", f"{base}/ck", max_files=1)
+                 f"{base}/context", f"{base}/ck", max_files=1)
     got = spark.read.parquet(f"{base}/out").drop("y", "batch")
     assert got.count() == p.count()
     full = fe.add_features(p, SHIP_SPEC, GROUPS, ["m_qty"])
