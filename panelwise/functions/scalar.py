@@ -102,3 +102,10 @@ def epoch_seconds(c) -> Column:
 
 def day_number(c) -> Column:
     return F.unix_date(F.to_date(col(c)))
+
+
+def slot_number(c, unit_seconds: int) -> Column:
+    """Index of the ``unit_seconds``-long wall-clock slot holding ``c`` (days for 86400)."""
+    if unit_seconds == 86_400:
+        return day_number(c).cast("long")
+    return F.floor(epoch_seconds(c) / F.lit(float(unit_seconds))).cast("long")

@@ -147,6 +147,10 @@ def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
     lookback = max([g.lookback for g in groups] + [0])
     lookback_days = max([g.lookback_days for g in groups] + [0])
     base = df
+    if lookback_days and spec.segment_seconds != 86_400:
+        # a calendar frame includes every row of the current day (its peers), also later
+        # ones: segments must then end on day boundaries
+        spec = spec.with_(segment_seconds=86_400)
     hot = hot_entities(df, spec)
     spike_qs = {g.spike_q for g in groups if g.spike_q is not None}
     if spike_qs:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import day_number
+from ..functions.scalar import slot_number
 from ..spec import PanelSpec
 from .broadcast import bounded
 
@@ -45,7 +45,7 @@ def hot_entities(df: DataFrame, spec: PanelSpec) -> DataFrame | None:
     if spec.hot_rows is None:
         return None
     e = spec.entity
-    day = day_number(spec.time)
+    day = slot_number(spec.time, spec.segment_seconds)
     stats = (df.groupBy(e)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(day).alias("_d0"), F.max(day).alias("_d1"))
              .filter(F.col("_n") > F.lit(spec.hot_rows))
@@ -123,14 +123,17 @@ def layout(df: DataFrame, spec: PanelSpec, lookback: int = 0, lookback_days: int
     if hot is None:
         return Layout(df, spec, [spec.entity], None, columns)
     e = spec.entity
-    base = (df.withColumn(DAY, day_number(spec.time))
+    base = (df.withColumn(DAY, slot_number(spec.time, spec.segment_seconds))
             .join(hot, e, "left")
             .withColumn(SEG, F.coalesce(F.floor((F.col(DAY) - F.col("_d0")) / F.col("_sd")),
                                         F.lit(0)).cast("int"))
             .withColumn(CTX, F.lit(False)))
     base = base.select(*columns, DAY, "_d0", "_sd", SEG, CTX)
     if lookback > 0 or lookback_days > 0:
-        base = base.unionByName(_context_rows(base, spec, lookback, lookback_days))
+        # calendar look-back in slots; a sub-day slot may start mid-day: one day of slack
+        extra = 0 if spec.segment_seconds == 86_400 else 1
+        slots = -(-(lookback_days + extra) * 86_400 // spec.segment_seconds) if lookback_days else 0
+        base = base.unionByName(_context_rows(base, spec, lookback, slots))
     return Layout(base, spec, [e, SEG], hot, columns)
 
 
@@ -162,18 +165,18 @@ def _context_rows(base: DataFrame, spec: PanelSpec, lookback: int, lookback_days
     u = (days.select(e, F.col("_cb").alias("_k"), F.lit(0).alias("_kind"), F.col(DAY).alias("_o"),
                      F.col(DAY).alias("_d"), F.lit(None).cast("int").alias(SEG))
          .unionByName(segs.select(e, F.col("_need").alias("_k"), F.lit(1).alias("_kind"),
-                                  F.lit(0).alias("_o"), F.lit(None).cast("int").alias("_d"), SEG)))
+                                  F.lit(0).alias("_o"), F.lit(None).cast("long").alias("_d"), SEG)))
     u = u.join(segs.select(e, SEG, "_st"), [e, SEG], "left")
-    by_rows = (F.coalesce(F.col("_cs"), F.lit(-(2 ** 31))) if lookback > 0
-               else F.lit(2 ** 31))
-    by_days = (F.col("_st") - F.lit(lookback_days)) if lookback_days > 0 else F.lit(2 ** 31)
+    by_rows = (F.coalesce(F.col("_cs"), F.lit(-(2 ** 62))) if lookback > 0
+               else F.lit(2 ** 62))
+    by_days = (F.col("_st") - F.lit(lookback_days)) if lookback_days > 0 else F.lit(2 ** 62)
     starts = (u.withColumn("_cs", ordered_last(u, "_d"))
               .filter(F.col("_kind") == 1)
               .select(e, SEG, F.least(by_rows, by_days).cast("long").alias("_cs")))
     # for each day: the last segment whose context starts on or before it
     u2 = (starts.select(e, F.col("_cs").alias("_k"), F.lit(0).alias("_kind"),
                         F.col(SEG).alias("_o"), F.col(SEG).alias("_s"),
-                        F.lit(None).cast("int").alias(DAY), F.lit(None).cast("int").alias("_own"))
+                        F.lit(None).cast("long").alias(DAY), F.lit(None).cast("int").alias("_own"))
           .unionByName(days.select(e, F.col(DAY).cast("long").alias("_k"), F.lit(1).alias("_kind"),
                                    F.lit(0).alias("_o"), F.lit(None).cast("int").alias("_s"),
                                    DAY, F.col(SEG).alias("_own"))))

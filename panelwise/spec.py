@@ -21,7 +21,8 @@ class PanelSpec:
     ``tiebreak`` orders rows that share a timestamp; leave it empty only when
     (entity, time) is unique.  ``hot_rows`` is the per-entity row count above
     which an entity is split into time segments for window work (skew guard);
-    ``None`` turns the guard off.
+    ``None`` turns the guard off.  Segments are whole multiples of
+    ``segment_seconds`` (a day by default; use an hour or less for dense sub-daily data).
     """
 
     entity: str = "serial_number"
@@ -36,6 +37,7 @@ class PanelSpec:
     slope_min_rows: int = 3
     spike_quantile: float = 0.9
     hot_rows: int | None = 1_000_000
+    segment_seconds: int = 86_400
     excluded: tuple[str, ...] = field(default=NON_FEATURE_COLS)
 
     @property

@@ -61,3 +61,27 @@ def test_split_thresholds_equal_percentile(spark):
     b = p.groupBy("serial_number").agg(F.percentile("m_value", 0.9).alias("_thr_m_value"),
                                        F.percentile("m_purchase", 0.9).alias("_thr_m_purchase"))
     _same(a, b, ["serial_number"])
+
+
+def test_sub_daily_segments_equal_plain(spark):
+    import datetime as dt
+    base = dt.datetime(2026, 1, 1)
+    rows = [("hot", base + dt.timedelta(minutes=7 * i), float((i * 37) % 11) if i % 5 else None) for i in range(900)]
+    rows += [("cold", base + dt.timedelta(hours=5 * i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "serial_number string, timestamp timestamp_ntz, x double")
+    spec = EVENT_SPEC.with_(measures=("x",), label=None)
+    groups = [fe.rolling(("mean", "max", "std"), (7, 30)), fe.lags((1, 7)), fe.deltas((30,)), fe.slope(7, 3),
+              fe.rolling_days(("mean",), (2,)), fe.spikes((7,), 0.9)]
+    plain = fe.add_features(df, spec.with_(hot_rows=None), groups)
+    split = fe.add_features(df, spec.with_(hot_rows=60, segment_seconds=1800), groups)
+    _same(plain, split, ["serial_number", "timestamp"])
+    row_groups = [g for g in groups if not g.lookback_days]   # 30-minute segments really used
+    _same(fe.add_features(df, spec.with_(hot_rows=None), row_groups),
+          fe.add_features(df, spec.with_(hot_rows=60, segment_seconds=1800), row_groups),
+          ["serial_number", "timestamp"])
+    from panelwise.plans.segments import layout
+    lay = layout(df, spec.with_(hot_rows=60, segment_seconds=1800), 30)
+    assert lay.df.select("_seg").distinct().count() > 10
+    f_plain = clean.impute(df, spec.with_(hot_rows=None))
+    f_split = clean.impute(df, spec.with_(hot_rows=60, segment_seconds=1800))
+    _same(f_plain, f_split, ["serial_number", "timestamp"])
