@@ -31,7 +31,6 @@ from .broadcast import bounded
 
 SEG, CTX, DAY = "_seg", "_ctx", "_day"
 _HOT_COLLECT_LIMIT = 10_000
-_HELPERS = (SEG, CTX, DAY, "_d0", "_sd")
 
 
 def hot_entities(df: DataFrame, spec: PanelSpec) -> DataFrame | None:
@@ -39,8 +38,8 @@ def hot_entities(df: DataFrame, spec: PanelSpec) -> DataFrame | None:
 
     The per-entity count is a partial (map-side) aggregation.  The result has at most
     ``rows / hot_rows`` entries; up to ``_HOT_COLLECT_LIMIT`` of them are brought back as
-    a small local table (so the count is not recomputed), above that the frame stays
-    distributed.
+    a small local table (so the count is not recomputed), above that the frame is
+    broadcast after a size check.
     """
     if spec.hot_rows is None:
         return None
@@ -58,7 +57,9 @@ def hot_entities(df: DataFrame, spec: PanelSpec) -> DataFrame | None:
         return None
     if len(rows) <= _HOT_COLLECT_LIMIT:
         return F.broadcast(df.sparkSession.createDataFrame(rows, stats.schema))
-    return stats
+    # many hot entities: still at most rows / hot_rows of them, broadcast behind a size
+    # check so the layout join does not shuffle the data by entity
+    return bounded(stats)[0]
 
 
 @dataclass

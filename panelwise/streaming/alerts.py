@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import epoch_seconds
+from ..plans.broadcast import bounded
 from ..spec import PanelSpec
 
 # the pandas functions below run in Python workers that may not have this package on
@@ -105,7 +106,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
             any_split = False
         else:
             marks = (F.broadcast(candidates.sparkSession.createDataFrame(hot_list, hot.schema))
-                     if len(hot_list) <= 100_000 else hot).withColumn(_SPLIT, F.lit(True))
+                     if len(hot_list) <= 100_000 else bounded(hot)[0]).withColumn(_SPLIT, F.lit(True))
             keys = keys.join(marks, e, "left").withColumn(_SPLIT, F.coalesce(F.col(_SPLIT), F.lit(False)))
     keys = keys.withColumn(_SEG, F.when(F.col(_SPLIT), seg).otherwise(F.lit(0).cast("long")))
     own = keys.withColumn(_CTX, F.lit(False))
