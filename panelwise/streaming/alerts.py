@@ -15,7 +15,9 @@ in one task: time is cut into segments of length ``S >= cooldown``, and
    rows are emitted.
 
 Groups hold one segment of one entity, so their size is bounded by alert density times
-``S``, not by the entity's history.  In a stream, ``applyInPandasWithState`` keeps one
+``S``, not by the entity's history.  Entities below the hot threshold skip the segment
+machinery: they are hash-partitioned, sorted and folded partition by partition
+(``mapInPandas``, one Python call per Arrow batch).  In a stream, ``applyInPandasWithState`` keeps one
 timestamp of state per entity.  Nothing is delivered; rows carry a JSON payload.
 """
 
@@ -114,7 +116,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     nxt_start = (F.col(_SEG) + 1) * F.lit(seg_len)
     ctx = keys.filter(F.col(_SPLIT) & (F.col(_US) >= nxt_start - F.lit(cooldown)))
     ctx = ctx.withColumn(_SEG, F.col(_SEG) + 1).withColumn(_CTX, F.lit(True))
-    framed = (own.unionByName(ctx) if any_split and cooldown > 0 else own).drop(_SPLIT)
+    framed = (own.unionByName(ctx) if any_split and cooldown > 0 else own).filter(F.col(_SPLIT)).drop(_SPLIT)
 
     ent_type = candidates.schema[e].dataType
     tr_schema = T.StructType([T.StructField(e, ent_type), T.StructField(_SEG, T.LongType()),
@@ -158,11 +160,30 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
         sent, _ = _fold(own_rows[_US].to_numpy(dtype="int64"), cooldown, None if pd.isna(st) else int(st))
         return own_rows.loc[sent, [e, *order]]
 
+    def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive sorted by (entity, time, tiebreak) within the partition, across
+        # Arrow batches: one pass, state reset at each new entity
+        cur, last = object(), None
+        for pdf in batches:
+            ents = pdf[e].to_numpy(dtype=object)
+            ts = pdf[_US].to_numpy(dtype="int64")
+            mask = np.zeros(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                if ents[i] != cur:
+                    cur, last = ents[i], None
+                if last is None or ts[i] - last >= cooldown:
+                    mask[i] = True
+                    last = int(ts[i])
+            yield pdf.loc[mask, [e, *order]]
+
+    # entities below the hot threshold: hash-partitioned by entity (each bounded by
+    # hot_rows candidates), sorted, folded by partition with one Python call per batch
+    plain = keys.filter(~F.col(_SPLIT)) if any_split else keys
+    sent = (plain.select(e, *order, _US).repartition(e).sortWithinPartitions(e, _US, *tiebreak)
+            .mapInPandas(fold_sorted, out_schema))
     if any_split:
         replay = framed.join(states, [e, _SEG], "left")
-    else:  # no entity is segmented: every segment starts from "no alert sent yet"
-        replay = framed.withColumn("_state", F.lit(None).cast("long"))
-    sent = replay.groupBy(e, _SEG).applyInPandas(step3, out_schema)
+        sent = sent.unionByName(replay.groupBy(e, _SEG).applyInPandas(step3, out_schema))
     return candidates.join(sent, [e, *order], "left_semi")
 
 

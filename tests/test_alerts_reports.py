@@ -48,6 +48,22 @@ def test_cooldown_segments_equal_sequential(spark):
             assert sorted(got.get(ent, [])) == _brute({m for e, m in data if e == ent}, 60), (seg, ent)
 
 
+def test_cooldown_mixed_hot_and_plain(spark):
+    import random
+    rng = random.Random(5)
+    base = dt.datetime(2026, 1, 1)
+    data = [("big", rng.randint(0, 20000)) for _ in range(500)] + \
+           [(f"s{i}", rng.randint(0, 3000)) for i in range(12) for _ in range(15)]
+    df = spark.createDataFrame([(e, base + dt.timedelta(minutes=m)) for e, m in data],
+                               "serial_number string, timestamp timestamp_ntz").dropDuplicates()
+    sent = cooldown_alerts(df, SPEC, 45, segment_minutes=120, hot_rows=100)   # only "big" is segmented
+    got = {}
+    for r in sent.collect():
+        got.setdefault(r.serial_number, []).append(int((r.timestamp - base).total_seconds() // 60))
+    for ent in {e for e, _ in data}:
+        assert sorted(got.get(ent, [])) == _brute({m for e, m in data if e == ent}, 45), ent
+
+
 def test_cooldown_stream_keeps_state(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     src = tmp_path / "alerts"

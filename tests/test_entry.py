@@ -74,4 +74,4 @@ def test_feature_stage_single_entity_exchange(spark):
 
 def test_cooldown_is_the_only_python(spark):
     plan = QUERIES["alert_cooldown"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapGroupsInPandas" in plan
+    assert "MapInPandas" in plan
