@@ -155,7 +155,15 @@ def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
     spike_qs = {g.spike_q for g in groups if g.spike_q is not None}
     if spike_qs:
         (q,) = spike_qs
-        base = base.join(entity_thresholds(df, spec, measures, q, hot), spec.entity, "left")
+        if hot is None:
+            # no hot entity: thresholds as whole-entity window aggregates, in the same
+            # exchange and sort as the features (no second pass over the panel, no join);
+            # each buffer holds one entity, at most hot_rows rows
+            whole = Window.partitionBy(spec.entity)
+            base = base.select("*", *[F.percentile(F.col(m).cast("double"), q).over(whole).alias(THR + m)
+                                      for m in measures])
+        else:
+            base = base.join(entity_thresholds(df, spec, measures, q, hot), spec.entity, "left")
     lay = layout(base, spec, lookback, lookback_days, hot=hot)
     framed = lay.df
     w = lay.window()
