@@ -6,7 +6,12 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from . import bpe as q1
+from . import packing as q2
 from . import quality as q6
+from . import token_counts as q9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +63,23 @@ FROM f
 @_query("op6_quality_rules", _OP6_SQL)
 def op6(spark, sf_dir):
     return q6.quality_rules(_documents(spark, sf_dir))
+
+
+#: Vocabulary files are read where they lie; the folder is that of the installed package.
+BYTE_RANKS, BYTE_JSON, WORD_JSON = (public_tokenizers.path(n) for n in (
+    "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+@_query("op1_byte_bpe")
+def op1(spark, sf_dir):
+    return q1.round_trip(_documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@_query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return q2.packed(_documents(spark, sf_dir), WORD_JSON)
+
+
+@_query("op9_token_counts")
+def op9(spark, sf_dir):
+    return q9.token_counts(_documents(spark, sf_dir), BYTE_JSON, public_tokenizers.PATTERN, limit=512)
