@@ -5,13 +5,16 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from . import bpe as q1
+from . import html_text as q7
 from . import packing as q2
 from . import quality as q6
 from . import token_counts as q9
+from . import units as q8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +86,31 @@ def op2(spark, sf_dir):
 @_query("op9_token_counts")
 def op9(spark, sf_dir):
     return q9.token_counts(_documents(spark, sf_dir), BYTE_JSON, public_tokenizers.PATTERN, limit=512)
+
+
+@_query("op7_main_text")
+def op7(spark, sf_dir):
+    return q7.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, t, string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS u FROM d),
+x AS (SELECT doc_id, t, unnest(u) AS x, unnest(range(len(u))) AS k FROM p),
+s AS (SELECT doc_id, t, x, k, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY k
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
+             list_filter(string_split_regex(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws FROM x),
+r AS (SELECT *, len(ws) >= 3 AND row_number() OVER (PARTITION BY ws ORDER BY doc_id, k) > 1 AS gone FROM s)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+       coalesce(sum(length(x)) FILTER (gone), 0)::BIGINT AS removed_chars,
+       coalesce(string_agg(a || '-' || (a + length(x)), ',' ORDER BY k) FILTER (gone), '') AS spans,
+       sha256(coalesce(string_agg(substr(t, a + 1, length(x) + 1), '' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+@_query("op8_unit_dedup", _OP8_SQL)
+def op8(spark, sf_dir):
+    out = q8.deduplicated(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_units", "n_removed", "removed_chars", "spans", F.sha2("kept_text", 256).alias("kept_sha256"))
