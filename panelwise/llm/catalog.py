@@ -11,6 +11,7 @@ import public_tokenizers
 
 from . import bpe as q1
 from . import html_text as q7
+from . import minhash as q3
 from . import packing as q2
 from . import quality as q6
 from . import token_counts as q9
@@ -114,3 +115,8 @@ FROM r GROUP BY doc_id
 def op8(spark, sf_dir):
     out = q8.deduplicated(_documents(spark, sf_dir))
     return out.select("doc_id", "n_units", "n_removed", "removed_chars", "spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query("op3_minhash_dedup")
+def op3(spark, sf_dir):
+    return q3.near_duplicates(_documents(spark, sf_dir))
