@@ -14,6 +14,7 @@ from . import html_text as q7
 from . import minhash as q3
 from . import packing as q2
 from . import quality as q6
+from . import suffixes as q10
 from . import token_counts as q9
 from . import units as q8
 
@@ -120,3 +121,9 @@ def op8(spark, sf_dir):
 @_query("op3_minhash_dedup")
 def op3(spark, sf_dir):
     return q3.near_duplicates(_documents(spark, sf_dir))
+
+
+@_query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    out = q10.without_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
