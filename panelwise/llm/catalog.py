@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe as q1
+from . import embeddings as q5
 from . import html_text as q7
 from . import minhash as q3
 from . import packing as q2
@@ -127,3 +128,8 @@ def op3(spark, sf_dir):
 def op10(spark, sf_dir):
     out = q10.without_repeats(_documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op5_embedding_dedup")
+def op5(spark, sf_dir):
+    return q5.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
