@@ -12,6 +12,7 @@ import public_tokenizers
 from . import bpe as q1
 from . import embeddings as q5
 from . import html_text as q7
+from . import lm as q4
 from . import minhash as q3
 from . import packing as q2
 from . import quality as q6
@@ -133,3 +134,8 @@ def op10(spark, sf_dir):
 @_query("op5_embedding_dedup")
 def op5(spark, sf_dir):
     return q5.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query("op4_lm_scores")
+def op4(spark, sf_dir):
+    return q4.scores(_documents(spark, sf_dir))

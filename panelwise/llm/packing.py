@@ -16,12 +16,15 @@ table gives an empty result; extra input columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,26 +41,65 @@ class ChunkIds:
 
     A text is the sequence of its chunks between single ASCII spaces and line feeds, and each
     chunk is encoded on its own: white space separates words whatever stands beside it, and
-    neither normal forms, lower case nor special strings reach over it.  Chunks repeat, so
-    ids are kept in a bounded table and only new chunks go to the library, in one batch."""
+    neither normal forms, lower case nor special strings reach over it.  Latin-1 chunks without
+    ``<|`` are split further, by the file's own expression, into lower-case words (Latin-1 text
+    is in normal form, and its lower case is letter by letter).  Chunks and words repeat, so
+    their ids are kept in bounded tables and only new ones go to the library, in one batch."""
 
     def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest, self.known = Tokenizer.from_file(path), limit, longest, {}
+        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
+        self.known: dict[str, bytes] = {}
+        self.word_ids: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks; those of words first seen go through the library."""
+        if len(self.word_ids) > self.limit:
+            self.word_ids = {}
+        word_ids, words = self.word_ids, self.words
+        parts, other = {}, []
+        for c in chunks:
+            if c and max(c) < "\u0100" and "<|" not in c and len(c) <= self.longest:
+                parts[c] = words(c.lower())
+            else:
+                other.append(c)
+        new = list(set().union(*parts.values()) - word_ids.keys())
+        word_ids.update(zip(new, self._library(new)))
+        get = word_ids.__getitem__
+        out = {c: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for c, p in parts.items()}
+        out.update(zip(other, self._library(other)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
-        known, fresh = self.known, {}
-        new = list(set().union(*split) - known.keys())
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(chunk) <= self.longest else fresh)[chunk] = np.asarray(e.ids, "<u4").tobytes()
-        get = {**fresh, **known}.__getitem__ if fresh else known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        known, rows, new = self.known, [], set()
+        for t in texts:
+            chunks = t.replace("\n", " ").split(" ")
+            ids = list(map(known.get, chunks))
+            if None in ids:
+                missing = [i for i, v in enumerate(ids) if v is None]
+                new.update([chunks[i] for i in missing])
+                rows.append((ids, missing, [chunks[i] for i in missing]))
+            else:
+                rows.append((ids, (), ()))
+        fresh = self._learn(new)
+        out = []
+        for ids, missing, chunks in rows:
+            for i, c in zip(missing, chunks):
+                ids[i] = fresh[c]
+            out.append(b"".join(ids))
+        known.update((c, v) for c, v in fresh.items() if len(c) <= self.longest)  # long ones hardly repeat
+        return out
 
 
 def _chunk_ids(path: str) -> ChunkIds:
