@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedMemo, map_arrow, mix64, process_cache, text_rows, words_of, written
@@ -112,14 +112,15 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def signed_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (class), keys (bands), sig (low bytes); nulls for empty sets."""
+    """doc_id, version, n_shingles, c1, c2 (class), keys (bands), sig (low bytes); nulls for empty
+    sets."""
     def one(cols: dict) -> dict:
         hashes = process_cache().setdefault("words", word_hashes())
         sets = [shingle_set(t.encode(), width, hashes) for t in cols["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = signatures([sets[i] for i in full], bands * rows)
         keys, low = band_keys(sig, bands).astype(np.int64), sig.astype(np.uint8)
-        out = {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets]}
+        out = {"doc_id": cols["doc_id"], "version": cols["version"], "n_shingles": [len(s) for s in sets]}
         blank: list = [None] * len(sets)
         c1, c2, k, g = blank[:], blank[:], blank[:], blank[:]
         for at, i in enumerate(full):
@@ -127,7 +128,7 @@ def signed_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame
             k[i], g[i] = keys[at], low[at].tobytes()
         return {**out, "c1": c1, "c2": c2, "keys": k, "sig": g}
 
-    return map_arrow(docs, one, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, keys array<bigint>, sig binary")
+    return map_arrow(docs, one, "doc_id bigint, version bigint, n_shingles bigint, c1 bigint, c2 bigint, keys array<bigint>, sig binary")
 
 
 # ---- comparison in blocks ----------------------------------------------------------------
@@ -282,9 +283,12 @@ def _member_links(contacts: DataFrame, labels: DataFrame, sets: DataFrame, perce
 
 def near_duplicates(df: DataFrame, width: int = 2, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_classes of every document; ``n_classes``
-    counts the different shingle sets in its component."""
-    docs = text_rows(df, id_col, text_col, "doc_id")
+    """doc_id, n_shingles, component_id, kept, n_classes, component, version of every document.
+
+    ``n_classes`` counts the different shingle sets in its component, ``component`` tells
+    components apart even where ids repeat (null for empty sets), ``version`` is xxhash64 of
+    the text."""
+    docs = text_rows(df, id_col, text_col, "doc_id").withColumn("version", F.xxhash64("text"))
     signed = written(signed_rows(docs, width, bands, rows), "signed")
     classes = written(
         signed.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"),
@@ -314,12 +318,28 @@ def near_duplicates(df: DataFrame, width: int = 2, percent: int = 80, bands: int
 
     named = classes.select("cid", "c1", "c2", "least").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = written(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n_classes")), "ids")
-    named = written(named.join(ids, "component").select("c1", "c2", "component_id", "n_classes"), "named")
-    out = signed.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
+    named = written(named.join(ids, "component").select("c1", "c2", "component_id", "n_classes", "component"), "named")
+    out = signed.select("doc_id", "version", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
     comp_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"),
                       F.coalesce(F.col("doc_id") == comp_id, F.lit(False)).alias("kept"),
-                      F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"))
+                      F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"), "component", "version")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``df``, all columns, with one row of each component: that of the smallest
+    (id, version).  Rows with empty sets all stay."""
+    found = near_duplicates(df, id_col=id_col, text_col=text_col, **settings)
+    first = F.struct("doc_id", "version")
+    winners = found.where("n_shingles > 0").groupBy("component").agg(F.min(first).alias("f")).select("f.*")
+    blank = found.where("n_shingles = 0").select("doc_id", "version").distinct()
+    stay = written(winners.withColumn("all", F.lit(False)).unionByName(blank.withColumn("all", F.lit(True))), "winners")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                     F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("version"))
+    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.col("doc_id").isNull().alias("is_null"), "version"]
+    met = rows.select("row", *key).join(stay.select("all", *key), ["k", "is_null", "version"])
+    order = Window.partitionBy("k", "is_null", "version").orderBy(F.xxhash64("row"))
+    return met.withColumn("nth", F.row_number().over(order)).where("all OR nth = 1").select("row.*")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

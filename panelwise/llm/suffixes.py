@@ -362,3 +362,32 @@ def without_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
 
     return map_arrow(cut_spans(df, length, id_col, text_col, shard), one,
                      "doc_id bigint, version bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def replaced(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
+             shard: int = SHARD) -> DataFrame:
+    """The rows of ``df``, all columns, with the repeated bytes taken out of the text (and its
+    length in characters brought up to date).  Bytes of a character that was cut go with it."""
+    docs = text_rows(df, id_col, text_col, "doc_id").withColumn("version", F.xxhash64("text"))
+    spans = duplicate_spans(docs, length, shard).groupBy("doc_id", "version").agg(
+        F.collect_list(F.struct("first", "end")).alias("spans"))  # bounded by the document
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                     F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("version"))
+    both = rows.join(spans.withColumnRenamed("doc_id", "i").withColumnRenamed("version", "v"),
+                     F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left").select("row", "spans")
+    columns = df.columns
+
+    def run(batches):
+        for b in batches:
+            row, spans = b.column(0), b.column(1).to_pylist()
+            text = row.field(text_col).to_pylist()
+            size = row.field(chars_col).to_pylist() if chars_col in columns else []
+            for i, s in enumerate(spans):
+                if s:
+                    text[i] = kept_bytes(text[i].encode(), s)[0].decode("utf-8", "ignore")
+                    if size:
+                        size[i] = len(text[i])
+            new = {text_col: text, **({chars_col: size} if size else {})}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], row.field(c).type) if c in new else row.field(c) for c in columns], names=columns)
+
+    return both.mapInArrow(run, df.schema)
