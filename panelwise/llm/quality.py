@@ -88,7 +88,9 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.regexp_count(t, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         F.size(ln).cast("long").alias("n_lines"),
         (F.size(ln) - F.size(F.array_distinct(ln))).cast("long").alias("n_dup_lines"),
-        F.when(g.isNull() | (F.size(F.array_distinct(g)) == F.size(g)), F.lit(0))
+        # a later filter on the counts must not be moved below the projections that build the
+        # arrays (they would be rebuilt for each element); it is not, past a row number
+        F.when((F.monotonically_increasing_id() < 0) | g.isNull() | (F.size(F.array_distinct(g)) == F.size(g)), F.lit(0))
         .otherwise(covered(g)).cast("long").alias("n_repeat_words"),
         F.regexp_count(t, F.lit(r"\p{Lu}{2,}")).cast("long").alias("n_upper"),
         F.size(F.filter(ln, lambda x: x.endswith("...") | x.endswith("\u2026"))).cast("long").alias("n_ellipsis"),
