@@ -1,24 +1,43 @@
-"""A training-data pipeline over ``documents``: each stage calls one operator of
-``panelwise.llm``, is written as Parquet and read again as the next stage's input."""
+"""A training-data pipeline over ``documents``: quality rules, near-duplicate removal, removal of
+repeated passages, packing.  Each stage calls one operator of ``panelwise.llm``; its result is
+written as Parquet and read again as the next stage's documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.llm import minhash, packing, suffixes
 from panelwise.llm.common import written
 from panelwise.llm.quality import quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the rules reject go."""
-    verdict = quality_rules(docs.withColumn("_row", F.struct(*docs.columns)), id_col="_row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    verdict = quality_rules(docs.select(row.alias("row"), "text"), id_col="row")
     return verdict.where("kept").select("doc_id.*")
 
 
-STAGES = [("quality_rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3 on five-word shingles, similarity 0.8: one document of each group stays."""
+    return minhash.one_of_each(docs, width=5, percent=80)
 
-#: SQL cannot state the near-duplicate and suffix stages; tests/llm holds a brute-force version.
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: bytes inside any 200-byte string that occurs again go from the texts."""
+    return suffixes.replaced(docs, length=200)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: token pieces placed in sequences of 4096."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_dedup), ("suffix_array_dedup", passages), ("best_fit_packing", pack)]
+
+#: SQL cannot state the near-duplicate and packing stages; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
