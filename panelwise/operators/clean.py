@@ -19,7 +19,7 @@ from .quality import SIGMA, bounds_struct
 
 def nan_as_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """S3: NaN counts as missing; turn it into NULL once, at load."""
-    cs = set(cols)
+    cs = {c for c in cols if dict(df.dtypes)[c] in ("double", "float")}
     return df.select(*[nan_to_null(F.col(c)).alias(c) if c in cs else F.col(c) for c in df.columns])
 
 
@@ -50,13 +50,15 @@ def impute(df: DataFrame, spec: PanelSpec, measures: list[str] | None = None, *,
     only ``ffill`` (``bfill``) this is WIN11 (WIN12).  Columns without gaps are unchanged.
     """
     measures = spec.present(df) if measures is None else measures
-    lay, s, t = _scan(df, spec, measures)
+    lay, s, t = _scan(nan_as_null(df, measures), spec, measures)
     out = {}
     for m in measures:
         x, p, n = F.col(m).cast("double"), F.col(f"_p_{m}"), F.col(f"_n_{m}")
         filled = x
         if interpolate:
-            inner = p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"])
+            # neighbours at one time: the previous value (no time passes between them)
+            inner = F.when(n["t"] == p["t"], p["v"]).otherwise(
+                p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"]))
             filled = F.coalesce(filled, F.when(p.isNotNull() & n.isNotNull(), inner))
         if ffill:
             filled = F.coalesce(filled, p["v"])
@@ -81,9 +83,10 @@ def interpolate(df, spec, measures=None):
     return impute(df, spec, measures, interpolate=True, ffill=False, bfill=False, zero=False)
 
 
-def clip_outliers(df: DataFrame, cols: list[str], k: float = SIGMA) -> DataFrame:
-    """OUT1 clip: into the global ``mean +- k std`` bounds; NULL stays NULL (S5)."""
-    b = bounds_struct(df, cols, k)
+def clip_outliers(df: DataFrame, cols: list[str], k: float = SIGMA, fit_on: DataFrame | None = None) -> DataFrame:
+    """OUT1 clip: into the ``mean +- k std`` bounds of ``fit_on`` (default ``df``); NULL stays
+    NULL (S5)."""
+    b = bounds_struct(df if fit_on is None else fit_on, cols, k)
     cs = set(cols)
     return df.select(*[clip(F.col(c), b[f"lo__{c}"], b[f"hi__{c}"]).alias(c) if c in cs
                        else F.col(c) for c in df.columns])
@@ -95,9 +98,9 @@ def log_transform(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.log1p(F.col(c)).alias(c) if c in cs else F.col(c) for c in df.columns])
 
 
-def remove_outliers(df: DataFrame, cols: list[str], k: float = SIGMA) -> DataFrame:
-    """OUT2: keep rows whose every value is inside the bounds or NULL."""
-    b = bounds_struct(df, cols, k)
+def remove_outliers(df: DataFrame, cols: list[str], k: float = SIGMA, fit_on: DataFrame | None = None) -> DataFrame:
+    """OUT2: keep rows whose every value is inside the bounds (of ``fit_on``) or NULL."""
+    b = bounds_struct(df if fit_on is None else fit_on, cols, k)
     keep = F.lit(True)
     for c in cols:
         x = F.col(c)
@@ -105,9 +108,10 @@ def remove_outliers(df: DataFrame, cols: list[str], k: float = SIGMA) -> DataFra
     return df.filter(keep)
 
 
-def handle_outliers(df: DataFrame, cols: list[str], method: str = "clip", k: float = SIGMA) -> DataFrame:
-    ops = {"clip": lambda: clip_outliers(df, cols, k), "log": lambda: log_transform(df, cols),
-           "remove": lambda: remove_outliers(df, cols, k)}
+def handle_outliers(df: DataFrame, cols: list[str], method: str = "clip", k: float = SIGMA,
+                    fit_on: DataFrame | None = None) -> DataFrame:
+    ops = {"clip": lambda: clip_outliers(df, cols, k, fit_on), "log": lambda: log_transform(df, cols),
+           "remove": lambda: remove_outliers(df, cols, k, fit_on)}
     if method not in ops:
         raise ValueError(f"unknown outlier method {method!r}; expected one of {sorted(ops)}")
     return ops[method]()

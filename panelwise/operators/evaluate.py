@@ -45,19 +45,19 @@ def metrics(df: DataFrame, label: str = "failure", prediction: str = "prediction
 def class_report(df: DataFrame, label: str = "failure", prediction: str = "prediction") -> DataFrame:
     """ML14: per class precision, recall, F1 and support."""
     y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
-    per = df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"), y.alias("_y"), p.alias("_p"))
-    c = per.groupBy("cls").agg(F.count_if((F.col("_y") == F.col("cls")) & (F.col("_p") == F.col("cls"))).alias("tp"),
-                               F.count_if(F.col("_p") == F.col("cls")).alias("predicted"),
-                               F.count_if(F.col("_y") == F.col("cls")).alias("support"))
+    one = [F.struct(F.lit(k).alias("cls"), F.count_if((y == k) & (p == k)).alias("tp"), F.count_if(p == k).alias("predicted"),
+                    F.count_if(y == k).alias("support")) for k in (0, 1)]
+    c = df.agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")  # one wide pass, then two rows
     prec, rec = _div(F.col("tp"), F.col("predicted")), _div(F.col("tp"), F.col("support"))
     return c.select("cls", prec.alias("precision"), rec.alias("recall"),
                     _div(2 * prec * rec, prec + rec).alias("f1"), "support")
 
 
 def auc(df: DataFrame, label: str = "failure", score: str = "score") -> DataFrame:
-    """ML10: exact ROC AUC = P(score_pos > score_neg) + 0.5 P(tie)."""
+    """ML10: exact ROC AUC = P(score_pos > score_neg) + 0.5 P(tie).  Rows whose score is NULL or
+    NaN have no rank and are left out, as are unlabelled rows."""
     y = F.col(label).cast("int")
-    per = df.groupBy(F.col(score).alias("_s")).agg(F.count_if(y == 1).alias("_pos"),
+    per = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(F.col(score).alias("_s")).agg(F.count_if(y == 1).alias("_pos"),
                                                    F.count_if(y == 0).alias("_neg"))
     cum = running_totals(per, ["_s"], {"_cneg": F.col("_neg")})
     below = F.col("_cneg") - F.col("_neg")

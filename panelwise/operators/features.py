@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day_number
+from ..plans.joins import join_nullsafe
 from ..plans.ranks import group_quantiles
 from ..plans.segments import Layout, hot_entities, layout
 from ..spec import PanelSpec
+from .clean import nan_as_null
 
 def _zero() -> Column:
     return F.lit(0.0)
@@ -122,13 +124,14 @@ def entity_thresholds(df: DataFrame, spec: PanelSpec, measures: list[str], q: fl
     path of ``plans.ranks``, which spreads one entity over many tasks.
     """
     names = names or {m: THR + m for m in measures}
+    df = nan_as_null(df, measures)  # S3: NaN counts as missing on both paths
     keys = hot.select(spec.entity) if hot is not None else None
-    cold = df if keys is None else df.join(keys, spec.entity, "left_anti")
+    cold = df if keys is None else join_nullsafe(df, keys, [spec.entity], "left_anti")
     out = cold.groupBy(spec.entity).agg(*[F.percentile(F.col(m).cast("double"), q).alias(names[m])
                                           for m in measures])
     if keys is None:
         return out
-    heavy = df.join(keys, spec.entity, "left_semi")
+    heavy = join_nullsafe(df, keys, [spec.entity], "left_semi")
     stacked = heavy.select(spec.entity, F.explode(F.array(*[
         F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_x")) for m in measures])).alias("_s"))
     stacked = stacked.select(spec.entity, "_s._m", "_s._x")
@@ -136,7 +139,7 @@ def entity_thresholds(df: DataFrame, spec: PanelSpec, measures: list[str], q: fl
     wide = long.groupBy(spec.entity).agg(*[F.max(F.when(F.col("_m") == m, F.col("_q"))).alias(names[m])
                                            for m in measures])
     # hot entities whose values are all NULL still get a row (NULL thresholds)
-    wide = heavy.select(spec.entity).distinct().join(wide, spec.entity, "left")
+    wide = join_nullsafe(heavy.select(spec.entity).distinct(), wide, [spec.entity], "left")
     return out.unionByName(wide)
 
 
@@ -144,6 +147,7 @@ def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
                  measures: list[str] | None = None) -> DataFrame:
     """Append the columns of every group for every measure present in ``df``."""
     measures = spec.present(df) if measures is None else measures
+    df = nan_as_null(df, measures)  # S3: the result must not depend on the path taken
     lookback = max([g.lookback for g in groups] + [0])
     lookback_days = max([g.lookback_days for g in groups] + [0])
     base = df
@@ -159,11 +163,13 @@ def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
             # no hot entity: thresholds as whole-entity window aggregates, in the same
             # exchange and sort as the features (no second pass over the panel, no join);
             # each buffer holds one entity, at most hot_rows rows
-            whole = Window.partitionBy(spec.entity)
+            # (same order as the feature windows, so that one sort serves both)
+            whole = Window.partitionBy(spec.entity).orderBy(*spec.order).rowsBetween(
+                Window.unboundedPreceding, Window.unboundedFollowing)
             base = base.select("*", *[F.percentile(F.col(m).cast("double"), q).over(whole).alias(THR + m)
                                       for m in measures])
         else:
-            base = base.join(entity_thresholds(df, spec, measures, q, hot), spec.entity, "left")
+            base = join_nullsafe(base, entity_thresholds(df, spec, measures, q, hot), [spec.entity], "left")
     lay = layout(base, spec, lookback, lookback_days, hot=hot)
     framed = lay.df
     w = lay.window()

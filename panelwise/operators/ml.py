@@ -28,7 +28,7 @@ FEATURES, PROB = "features", "p1"
 RF_DEFAULT = dict(numTrees=200, maxDepth=10, maxBins=128, minInstancesPerNode=20, featureSubsetStrategy="sqrt")
 GBT_DEFAULT = dict(maxIter=100, maxDepth=10)
 LR_DEFAULT = dict(maxIter=100, regParam=0.1, elasticNetParam=0.5)
-# Bounds of the boosting search (min, max) per parameter.
+# Our own bounds of the boosting search (min, max) per Spark parameter.
 SEARCH_BOUNDS = {"maxDepth": (3, 10), "stepSize": (0.01, 0.3), "subsamplingRate": (0.5, 1.0),
                  "featureSubsetStrategy": (0.5, 1.0), "minInstancesPerNode": (1, 50),
                  "minInfoGain": (0.0, 0.5), "maxBins": (16, 128), "maxIter": (20, 100)}
@@ -87,15 +87,15 @@ def fit_best(train: DataFrame, test: DataFrame, features: list[str], kinds: dict
 
 
 def soft_vote(models: dict[str, PipelineModel], df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """ML6: mean probability over models and majority of hard votes, per row of ``df``."""
-    out = df.select(*keys)
+    """ML6: mean probability over models and majority of hard votes, per row of ``df``.  The
+    models are chained over one frame: no join, and keys need not be unique or non-null."""
+    out = df
     probs, votes = [], []
     for name, m in models.items():
-        s = probability(m.transform(df)).select(*keys, F.col(PROB).alias(f"p_{name}"),
-                                                F.col("prediction").cast("int").alias(f"v_{name}"))
-        out = out.join(s, keys)
-        probs.append(F.col(f"p_{name}"))
-        votes.append(F.col(f"v_{name}"))
+        s = probability(m.transform(out)).withColumn(f"_v_{name}", F.col("prediction").cast("int"))
+        out = s.select(*out.columns, F.col(PROB).alias(f"_p_{name}"), f"_v_{name}")
+        probs.append(F.col(f"_p_{name}"))
+        votes.append(F.col(f"_v_{name}"))
     mean = sum(probs[1:], probs[0]) / len(probs)
     vote = (sum(votes[1:], votes[0]) * 2 > len(votes)).cast("int")
     return out.select(*keys, mean.alias("soft_probability"), (mean > threshold).cast("int").alias("soft_prediction"),
@@ -154,9 +154,11 @@ def early_stop_gbt(df: DataFrame, features: list[str], valid_col: str, label: st
 
 
 def with_class_weights(df: DataFrame, label: str = "failure", name: str = "class_weight") -> DataFrame:
-    """ML15: weight column ``N / (K n_k)`` joined by label (K rows, size checked)."""
-    w, _ = bounded(class_weights(df, label).select(label, F.col("class_weight").alias(name)), 10_000)
-    return df.join(w, label)
+    """ML15: weight column ``N / (K n_k)`` joined by label (K rows, size checked).  Unlabelled
+    rows are kept with weight 1 and do not count towards N or K."""
+    known = df.filter(F.col(label).isNotNull())
+    w, _ = bounded(class_weights(known, label).select(label, F.col("class_weight").alias(name)), 10_000)
+    return df.join(w, label, "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
 
 
 def undersample(df: DataFrame, keys: list[str], label: str = "failure", ratio: float = 1.0,
@@ -164,12 +166,13 @@ def undersample(df: DataFrame, keys: list[str], label: str = "failure", ratio: f
     """ML16: keep all positives and about ``ratio`` negatives per positive.
 
     Negatives are kept by a hash of their key, not by a random draw, so a recomputed
-    partition (lost executor) keeps exactly the same rows."""
+    partition (lost executor) keeps exactly the same rows.  Unlabelled rows are neither and
+    all stay."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     frac = 1.0 if neg == 0 else min(1.0, ratio * pos / neg)
     h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30))
-    return df.filter((F.col(label) == 1) | (h < F.lit(int(frac * (1 << 30)))))
+    return df.filter((F.col(label) == 1) | F.col(label).isNull() | (h < F.lit(int(frac * (1 << 30)))))
 
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:

@@ -52,9 +52,11 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_fracti
     """SPL3: per label, the ``round(f * n_label)`` rows with the smallest key hash are test.
 
     The rank inside a label comes from a range-partitioned running count (no window
-    over the label, which would be one task per class).
+    over the label, which would be one task per class).  Unlabelled rows are kept, as
+    training rows: no class of theirs could be matched in the test part.
     """
-    h = df.withColumn("_h", key_hash(key_cols, seed))
+    unlabelled = df.filter(F.col(label).isNull()).select(*df.columns, F.lit("train").alias(SPLIT))
+    h = df.filter(F.col(label).isNotNull()).withColumn("_h", key_hash(key_cols, seed))
     per_label = h.groupBy(label).agg(F.count(F.lit(1)).alias("_nl"))
     cum = running_totals(h, [label, "_h"], {"_cum": F.lit(1)})
     start = running_totals(per_label, [label], {"_upto": F.col("_nl")})
@@ -63,7 +65,7 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_fracti
     out = cum.join(start, label)
     rank = F.col("_cum") - F.col("_before")
     test = rank <= F.round(F.col("_nl") * test_fraction)
-    return out.select(*df.columns, F.when(test, "test").otherwise("train").alias(SPLIT))
+    return out.select(*df.columns, F.when(test, "test").otherwise("train").alias(SPLIT)).unionByName(unlabelled)
 
 
 def fold_column(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -81,12 +83,13 @@ def rolling_origin(df: DataFrame, spec: PanelSpec, k: int = 3) -> DataFrame:
     bounds = nxt.select(F.col("a.fold").alias("fold"), F.col("a.cutoff").alias("lo"),
                         F.col("b.cutoff").alias("hi"))
     t = F.col(spec.time)
-    role = (F.when(t < F.col("lo"), "train")
-            .when((t >= F.col("lo")) & (F.col("hi").isNull() | (t < F.col("hi"))), "test"))
-    # each row is offered to the k folds (k copies), bounds is k rows: equi-join on fold
-    copies = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    out = copies.join(F.broadcast(bounds), "fold").withColumn("role", role)
-    return out.filter(F.col("role").isNotNull()).select("fold", "role", *df.columns)
+    # the k bounds as one scalar array; a row is copied only into the folds it belongs to
+    table = bounds.agg(F.array_sort(F.collect_list(F.struct("fold", "lo", "hi")))).scalar()
+    role = lambda b: (F.when(t < b["lo"], "train")
+                      .when((t >= b["lo"]) & (b["hi"].isNull() | (t < b["hi"])), "test"))
+    mine = F.filter(F.transform(table, lambda b: F.struct(b["fold"].alias("fold"), role(b).alias("role"))),
+                    lambda r: r["role"].isNotNull())
+    return df.select(F.explode(mine).alias("_f"), *df.columns).select("_f.fold", "_f.role", *df.columns)
 
 
 def except_split(df: DataFrame, train: DataFrame) -> DataFrame:

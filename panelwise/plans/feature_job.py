@@ -2,20 +2,22 @@
 
 NaN -> NULL, quality reports, imputation, outlier treatment, window features and
 optional scaling, composed with ``DataFrame.transform``-style calls.  Nothing here
-runs a job except the small statistics steps (hot-entity check, scaling fit); the
-caller's sink triggers the work.  Statistics are fitted on ``fit_on`` (the training
-rows) when given (S9).
+runs a job except the small statistics steps (hot-entity check, clip bounds, scaling fit);
+the caller's sink triggers the work.  Clip bounds and scaling statistics are fitted on the
+rows where ``fit_on`` holds (the training rows) when it is given (S9); with scaling the
+feature frame is written once to the shared folder, so the fit does not repeat it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..operators import clean, quality, scale
 from ..operators.features import FeatureGroup, add_features, default_groups
 from ..spec import PanelSpec
+from .materialize import materialize
 
 
 @dataclass
@@ -28,17 +30,19 @@ class FeatureResult:
 
 def build_features(df: DataFrame, spec: PanelSpec, *, outliers: str | None = "clip",
                    groups: list[FeatureGroup] | None = None, scale_method: str | None = None,
-                   fit_on: DataFrame | None = None) -> FeatureResult:
+                   fit_on: Column | None = None) -> FeatureResult:
+    """``fit_on`` is a predicate over the panel's own columns (time, entity, label)."""
     measures = spec.present(df)
     df = clean.nan_as_null(df, measures)
     missing = quality.missing_rate(df, measures)
     outlier_report = quality.outlier_rate(df, measures)
     df = clean.impute(df, spec, measures)
     if outliers:
-        df = clean.handle_outliers(df, measures, outliers)
+        df = clean.handle_outliers(df, measures, outliers, fit_on=None if fit_on is None else df.filter(fit_on))
     feats = add_features(df, spec, groups or default_groups(spec), measures)
     stats = None
     if scale_method:
-        cols = [c for c in feats.columns if c not in (spec.entity, spec.time, spec.label, *spec.tiebreak)]
-        feats, stats = scale.standardize(feats, cols, scale_method, fit_on=fit_on)
+        feats = materialize(feats)
+        cols = spec.feature_columns(feats)
+        feats, stats = scale.standardize(feats, cols, scale_method, fit_on=None if fit_on is None else feats.filter(fit_on))
     return FeatureResult(feats, missing, outlier_report, stats)

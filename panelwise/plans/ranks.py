@@ -20,6 +20,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_nullsafe
+
 PID = "_pid"
 _SAMPLES_PER_PART = 64
 _HASH_RANGE = 1 << 30
@@ -38,11 +40,12 @@ def _lit(v, dtype) -> Column:
 
 
 def _less(cols: list[str], types, bound: tuple) -> Column:
-    """Lexicographic ``key < bound``."""
+    """Lexicographic ``key < bound``; NULL is the smallest value, as in Spark's ascending order."""
     expr = None
     for c, t, b in reversed(list(zip(cols, types, bound))):
         x, lb = F.col(c), _lit(b, t)
-        expr = (x < lb) if expr is None else ((x < lb) | ((x == lb) & expr))
+        under = x.isNull() | (x < lb)
+        expr = under if expr is None else (under | (x.eqNullSafe(lb) & expr))
     return expr
 
 
@@ -56,7 +59,7 @@ def _bucket(cols, types, bounds, lo, hi) -> Column:
 
 
 def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Column:
-    """Deterministic range bucket of each row over ``order`` (non-null keys).
+    """Deterministic range bucket of each row over ``order`` (NULLs first).
 
     One count and one sample of ``parts * 64`` keys (chosen by key hash) reach the
     driver; the bucket expression is a comparison tree over ``parts - 1`` bounds.
@@ -69,7 +72,7 @@ def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Colu
     rate = min(1.0, p * _SAMPLES_PER_PART / n)
     h = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(_HASH_RANGE))
     picked = keys.filter(h < F.lit(int(rate * _HASH_RANGE)))
-    for c in order:  # NULL keys all land in the last bucket; bounds are non-null
+    for c in order:  # bounds are non-null; NULL keys sort before them
         picked = picked.filter(F.col(c).isNotNull())
     sample = sorted(tuple(r) for r in picked.collect())
     if not sample:
@@ -86,7 +89,8 @@ def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Colu
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column],
                    parts: int | None = None) -> DataFrame:
     """Add, for each ``name -> expr`` in ``sums``, the running total of ``expr`` over the
-    global ``order`` (current row included).  ``order`` should be unique per row."""
+    global ``order`` (current row included, NULLs first, NaN last).  ``order`` should be
+    unique per row; callers whose NULL keys have no rank leave them out first."""
     r = df.withColumn(PID, bucket_of(df, order, parts))
     totals = r.groupBy(PID).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +127,7 @@ def group_quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str,
                 g.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
            .withColumn("_n", F.sum("_t").over(g))
            .drop("_t"))
-    j = r2.join(tot, [PID, *groups])
+    j = join_nullsafe(r2, tot, [PID, *groups])
     hi = F.col("_off") + F.col("_lc")          # rows with value <= _v in the group
     lo = hi - F.col("_c")                      # rows with value <  _v
     aggs = []

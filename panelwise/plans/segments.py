@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import slot_number
 from ..spec import PanelSpec
 from .broadcast import bounded
+from .joins import join_nullsafe
 
 SEG, CTX, DAY = "_seg", "_ctx", "_day"
 _HOT_COLLECT_LIMIT = 10_000
@@ -104,7 +105,7 @@ class Layout:
         summary = summary.select(e, SEG, *[F.last(k, ignorenulls=True).over(prior).alias(k)
                                            for k in values])
         small, _ = bounded(summary)
-        return df.join(small, [e, SEG], "left")
+        return join_nullsafe(df, small, [e, SEG], "left")
 
 
 _UNSET = object()
@@ -124,8 +125,7 @@ def layout(df: DataFrame, spec: PanelSpec, lookback: int = 0, lookback_days: int
     if hot is None:
         return Layout(df, spec, [spec.entity], None, columns)
     e = spec.entity
-    base = (df.withColumn(DAY, slot_number(spec.time, spec.segment_seconds))
-            .join(hot, e, "left")
+    base = (join_nullsafe(df.withColumn(DAY, slot_number(spec.time, spec.segment_seconds)), hot, [e], "left")
             .withColumn(SEG, F.coalesce(F.floor((F.col(DAY) - F.col("_d0")) / F.col("_sd")),
                                         F.lit(0)).cast("int"))
             .withColumn(CTX, F.lit(False)))
@@ -167,7 +167,7 @@ def _context_rows(base: DataFrame, spec: PanelSpec, lookback: int, lookback_days
                      F.col(DAY).alias("_d"), F.lit(None).cast("int").alias(SEG))
          .unionByName(segs.select(e, F.col("_need").alias("_k"), F.lit(1).alias("_kind"),
                                   F.lit(0).alias("_o"), F.lit(None).cast("long").alias("_d"), SEG)))
-    u = u.join(segs.select(e, SEG, "_st"), [e, SEG], "left")
+    u = join_nullsafe(u, segs.select(e, SEG, "_st"), [e, SEG], "left")
     by_rows = (F.coalesce(F.col("_cs"), F.lit(-(2 ** 62))) if lookback > 0
                else F.lit(2 ** 62))
     by_days = (F.col("_st") - F.lit(lookback_days)) if lookback_days > 0 else F.lit(2 ** 62)
@@ -185,7 +185,7 @@ def _context_rows(base: DataFrame, spec: PanelSpec, lookback: int, lookback_days
             .filter((F.col("_kind") == 1) & (F.col("_smax") > F.col("_own")))
             .select(e, DAY, F.sequence(F.col("_own") + 1, F.col("_smax")).alias("_targets")))
     cmap, _ = bounded(cmap)
-    return (hot_rows.join(cmap, [e, DAY])
+    return (join_nullsafe(hot_rows, cmap, [e, DAY])
             .withColumn(SEG, F.explode("_targets"))
             .withColumn(CTX, F.lit(True))
             .select(*base.columns))

@@ -29,13 +29,14 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import epoch_seconds
 from ..plans.broadcast import bounded
+from ..plans.joins import join_nullsafe
 from ..spec import PanelSpec
 
 # the pandas functions below run in Python workers that may not have this package on
@@ -50,10 +51,15 @@ _DAY_US = 86_400_000_000
 def _fold(times: np.ndarray, cooldown: int, last) -> tuple[np.ndarray, object]:
     """Greedy cooldown over sorted integer times; returns (sent mask, last sent)."""
     sent = np.zeros(len(times), dtype=bool)
-    for i, t in enumerate(times):
-        if last is None or t - last >= cooldown:
-            sent[i] = True
-            last = int(t)
+    i = 0
+    while i < len(times):
+        if last is not None:  # jump to the first time that may be sent: cost follows sent alerts
+            i = i + int(np.searchsorted(times[i:], last + cooldown, side="left"))
+            if i >= len(times):
+                break
+        sent[i] = True
+        last = int(times[i])
+        i += 1
     return sent, last
 
 
@@ -63,15 +69,17 @@ def _transfer(own: np.ndarray, ctx: np.ndarray, cooldown: int) -> list[tuple[obj
     base_pos = {int(t): i for i, t in zip(np.nonzero(base_sent)[0], own[base_sent])}
     rows = [(None, base_out)]
     for s in ctx:
-        last, out = int(s), None
-        for i, t in enumerate(own):
-            if t - last >= cooldown:
-                if int(t) in base_pos and base_pos[int(t)] == i:   # joined the base chain
-                    out = base_out
-                    break
-                last = int(t)
-        else:
-            out = last
+        last, out, i = int(s), None, 0
+        while True:
+            i = i + int(np.searchsorted(own[i:], last + cooldown, side="left"))
+            if i >= len(own):
+                out = last
+                break
+            if base_pos.get(int(own[i])) == i:  # joined the base chain
+                out = base_out
+                break
+            last = int(own[i])
+            i += 1
         rows.append((int(s), out))
     return rows
 
@@ -168,12 +176,12 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
             ents = pdf[e].to_numpy(dtype=object)
             ts = pdf[_US].to_numpy(dtype="int64")
             mask = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if ents[i] != cur:
-                    cur, last = ents[i], None
-                if last is None or ts[i] - last >= cooldown:
-                    mask[i] = True
-                    last = int(ts[i])
+            new = np.flatnonzero(np.concatenate([[True], ents[1:] != ents[:-1]])) if len(pdf) else []
+            for a, b in zip(new, [*new[1:], len(pdf)]):
+                if a or ents[0] != cur:
+                    last = None
+                mask[a:b], last = _fold(ts[a:b], cooldown, last)
+                cur = ents[a]
             yield pdf.loc[mask, [e, *order]]
 
     # entities below the hot threshold: hash-partitioned by entity (each bounded by
@@ -184,7 +192,10 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     if any_split:
         replay = framed.join(states, [e, _SEG], "left")
         sent = sent.unionByName(replay.groupBy(e, _SEG).applyInPandas(step3, out_schema))
-    return candidates.join(sent, [e, *order], "left_semi")
+    met = join_nullsafe(candidates, sent, [e, *order], "left_semi")
+    # two candidates of one entity at one time without a tiebreak: one is sent
+    pick = Window.partitionBy(e, *order).orderBy(F.xxhash64(*candidates.columns))
+    return met.withColumn("_nth", F.row_number().over(pick)).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def alert_payload(alerts: DataFrame, spec: PanelSpec, prob: str = "failure_probability",

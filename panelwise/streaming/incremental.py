@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.features import FeatureGroup, add_features
+from ..plans.joins import join_nullsafe
 from ..spec import PanelSpec
 
 NEW = "_is_new"
@@ -27,20 +28,47 @@ def last_rows(df: DataFrame, spec: PanelSpec, k: int) -> DataFrame:
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 
 
+def context_rows(history: DataFrame, new: DataFrame, spec: PanelSpec, k: int) -> DataFrame:
+    """What features of ``new`` need of the history: per entity, the last ``k`` rows before its
+    earliest new row and every row from there on (none for entities without new rows)."""
+    first = new.groupBy(spec.entity).agg(F.min(spec.time).alias("_first"))
+    near = join_nullsafe(history, first, [spec.entity])
+    before = last_rows(near.filter(F.col(spec.time) < F.col("_first")), spec, k)
+    return before.unionByName(near.filter(F.col(spec.time) >= F.col("_first"))).drop("_first")
+
+
+def restated(history: DataFrame, new: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Keys of history rows after a late new row: their bounded features may have changed."""
+    first = new.groupBy(spec.entity).agg(F.min(spec.time).alias("_first"))
+    return join_nullsafe(history, first, [spec.entity]).filter(F.col(spec.time) > F.col("_first")).select(*spec.keys)
+
+
 def incremental_features(history: DataFrame, new: DataFrame, spec: PanelSpec,
                          groups: list[FeatureGroup], measures=None) -> DataFrame:
     """Features of the ``new`` rows, equal to a full recomputation over history + new
-    (for groups with bounded look-back and new rows later than the history)."""
+    (for groups with bounded look-back).  New rows may be late: the context of an entity is
+    its last ``lookback`` rows before its *earliest* new row, and all its rows after that.
+    Rows of the history that follow a late row keep the features they had (`restated` gives
+    their keys)."""
     if any(g.spike_q is not None or g.lookback_days for g in groups):
         raise ValueError("incremental features support bounded row look-back groups only")
     k = max(g.lookback for g in groups)
     cols = new.columns
-    ctx = last_rows(history.select(*cols), spec, k).withColumn(NEW, F.lit(False))
+    ctx = context_rows(history.select(*cols), new, spec, k).withColumn(NEW, F.lit(False))
     both = ctx.unionByName(new.withColumn(NEW, F.lit(True)))
     out = add_features(both, spec, groups, measures)
     return out.filter(F.col(NEW)).drop(NEW)
 
 
+def kept_context(rows: DataFrame, spec: PanelSpec, k: int, late_delay: str) -> DataFrame:
+    """Rows a later batch can need: readings up to ``late_delay`` behind the newest one are still
+    admitted, so per entity the rows since then and the last ``k`` before."""
+    newest = rows.agg(F.max(spec.time)).scalar()
+    cut = newest - F.expr(f"INTERVAL {late_delay}")
+    old = last_rows(rows.filter(F.col(spec.time) < cut), spec, k)
+    return old.unionByName(rows.filter(F.col(spec.time) >= cut))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``), as configured on the session."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -98,8 +126,9 @@ def score_stream(spark: SparkSession, source_dir: str, schema, spec: PanelSpec,
                else spark.createDataFrame([], schema))
         feats = incremental_features(ctx, df, spec, groups)
         score_fn(feats).write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
-        last_rows(ctx.unionByName(df.select(*ctx.columns)), spec, k).write.mode("overwrite").parquet(
-            f"{context_dir}/batch={epoch}")
+        # rows that may still precede a late one: the last k before the newest time less the delay
+        both = ctx.unionByName(df.select(*ctx.columns))
+        kept_context(both, spec, k, late_delay).write.mode("overwrite").parquet(f"{context_dir}/batch={epoch}")
         df.unpersist()
 
     reader = spark.readStream.schema(schema)
