@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import ROUND_TIERS, r6
+from ..functions.scalar import ROUND_BELOW, r6
 from ..sources.tables import EVENT_PANEL_SQL, SHIP_PANEL_SQL
 
 E, TS = "serial_number", '"timestamp"'
@@ -24,12 +24,12 @@ def rounded(df: DataFrame, cols=None) -> DataFrame:
 
 
 def sql_r6(expr: str) -> str:
-    """Same formula and tiers as ``functions.scalar.r6``."""
+    """Same formula as ``functions.scalar.r6``."""
     x = f"CAST({expr} AS DOUBLE)"
     y = f"({x} * CAST(1.0000000000001 AS DOUBLE))"
-    whens = " ".join(f"WHEN abs({x}) < CAST({b!r} AS DOUBLE) THEN floor({y} * CAST({k!r} AS DOUBLE) "
-                     f"+ CAST(0.5 AS DOUBLE)) / CAST({k!r} AS DOUBLE)" for b, k in ROUND_TIERS)
-    return f"(CASE {whens} ELSE {x} END + CAST(0.0 AS DOUBLE))"
+    small = f"floor({y} * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1e6 AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < CAST({ROUND_BELOW!r} AS DOUBLE) THEN {small} "
+            f"ELSE CAST(CAST({y} AS FLOAT) AS DOUBLE) END + CAST(0.0 AS DOUBLE))")
 
 
 def sql_frame(n: int, order: str = TS) -> str:

@@ -94,13 +94,6 @@ def quantile_by_entity(spark, sf_dir):
     return rounded(out)
 
 
-@register("feature_table")
-def feature_table(spark, sf_dir):
-    """Full feature stage on P1 (all families, one exchange); rows-only check."""
-    p = event_panel(spark, sf_dir)
-    return fe.add_features(p, EVENT_SPEC, fe.default_groups(EVENT_SPEC))
-
-
 def full_feature_sql(panel_cte: str, measures: list[str]) -> str:
     """DuckDB text of the whole feature stage (every family of ``default_groups``)."""
     thr = (", t AS (SELECT " + E + ", " + ", ".join(f"quantile_cont({m}, 0.9) AS thr_{m}" for m in measures)
@@ -121,6 +114,12 @@ def full_feature_sql(panel_cte: str, measures: list[str]) -> str:
     return f"{panel_cte}{thr} SELECT {E}, {TS}, " + ", ".join(cols) + " FROM j"
 
 
+@register("feature_table", full_feature_sql(P1, list(MEASURES)))
+def feature_table(spark, sf_dir):
+    """Full feature stage on P1 (all families, one exchange)."""
+    return _features(spark, sf_dir, fe.default_groups(EVENT_SPEC))
+
+
 _SHIP = ["m_qty", "m_disc", "m_price"]
 
 

@@ -8,7 +8,9 @@ from .. import sinks
 from ..sources.readers import raw_schema, read_csv, read_features, read_raw
 from ..sources.tables import EVENT_SPEC, SHIP_SPEC, event_panel, ship_panel
 from ..streaming.incremental import fresh_dir
-from . import register
+from . import ORACLE, register
+from . import scaling  # noqa: F401  its SQL is used below
+from ..operators import scale
 from .common import E, P1, P2, TS, rounded, sql_r6
 
 
@@ -46,3 +48,33 @@ def parquet_append(spark, sf_dir):
     sinks.append_readings(p.filter(F.col("timestamp") >= cut), path, EVENT_SPEC)
     schema = raw_schema(EVENT_SPEC)
     return read_raw(spark, path, EVENT_SPEC, schema=schema).select(E, "timestamp", "failure", *EVENT_SPEC.measures)
+
+
+@register("stats_roundtrip", ORACLE["zscore"])
+def stats_roundtrip(spark, sf_dir):
+    """SNK6/7: scaling statistics saved as JSON, read back and applied."""
+    path = fresh_dir(spark, "stats")
+    p = event_panel(spark, sf_dir).select(E, "timestamp", *EVENT_SPEC.measures)
+    cols = list(EVENT_SPEC.measures)
+    stats = scale.fit_zscore(p, cols)
+    sinks.write_stats(stats, path, fmt="json")
+    return rounded(scale.transform_zscore(p, spark.read.schema(stats.schema).json(path), cols))
+
+
+@register("entity_export", f"{P1} SELECT {E}, {TS}, {sql_r6('m_value')} AS m_value FROM p")
+def entity_export(spark, sf_dir):
+    """SCA12: one CSV folder per entity, read back with the entity from the folder name."""
+    path = fresh_dir(spark, "entities")
+    p = event_panel(spark, sf_dir).select(E, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "m_value")
+    sinks.export_per_entity(p, path, EVENT_SPEC)
+    back = spark.read.schema(f"timestamp string, m_value double, {E} string").option("header", True).csv(path)
+    return rounded(back.select(E, F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")).alias("timestamp"), "m_value"))
+
+
+@register("records_roundtrip", f"{P1} SELECT {E}, failure, n_events, {sql_r6('m_value')} AS m_value FROM p")
+def records_roundtrip(spark, sf_dir):
+    """SNK10: rows written as JSON records and read back."""
+    path = fresh_dir(spark, "records")
+    p = event_panel(spark, sf_dir).select(E, "failure", "n_events", "m_value")
+    sinks.write_records(p, path)
+    return rounded(spark.read.schema(p.schema).json(path))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..operators import clean, ml, split
 from ..plans.materialize import materialize
 from ..operators import features as fe
 from ..sources.tables import EVENT_SPEC, event_panel
 from ..streaming.incremental import fresh_dir
 from . import register
-from .common import E
+from .common import E, P1, TS
 
 SMALL_RF = dict(numTrees=20, maxDepth=5, minInstancesPerNode=5, maxBins=32)
 SMALL_GBT = dict(maxIter=10, maxDepth=3)
@@ -115,10 +116,30 @@ def importance_select(spark, sf_dir):
     return ml.select_by_importance(feature_importance(spark, sf_dir))
 
 
-@register("undersample")
+_DAYNO = f"date_diff('day', DATE '1970-01-01', CAST({TS} AS DATE))"
+_HASH = f"CAST('0x' || substr(md5(concat_ws('|', '42', {E}, CAST({_DAYNO} AS VARCHAR))), 1, 8) AS BIGINT)"
+
+
+@register("undersample", f"{P1}, c AS (SELECT count(*) FILTER (failure = 1) AS pos, count(*) FILTER (failure = 0) AS neg FROM p) "
+          f"SELECT {E}, {TS}, failure FROM p, c WHERE failure = 1 OR failure IS NULL OR "
+          f"{_HASH} < floor(CASE WHEN neg = 0 THEN 1.0 ELSE least(1.0, CAST(pos AS DOUBLE) / neg) END * 4294967296.0)")
 def undersample(spark, sf_dir):
-    f, _ = training_frame(spark, sf_dir)
-    return ml.undersample(f, [E, "timestamp"], "failure", 1.0, 42).select(*KEYS)
+    p = event_panel(spark, sf_dir).select(*KEYS).withColumn("_dayno", F.unix_date(F.to_date("timestamp")))
+    return ml.undersample(p, [E, "_dayno"], "failure", 1.0, 42).select(*KEYS)
+
+
+@register("hash_split", f"{P1} SELECT {E}, {TS}, failure, CASE WHEN {_HASH} < {int(0.2 * 16 ** 8)} THEN 'test' ELSE 'train' END AS split FROM p")
+def hash_split(spark, sf_dir):
+    """SPL2, reproducible: the side of a row follows from its key alone."""
+    p = event_panel(spark, sf_dir).select(*KEYS).withColumn("_dayno", F.unix_date(F.to_date("timestamp")))
+    return split.hash_split(p, [E, "_dayno"], 0.2, 42).drop("_dayno")
+
+
+@register("fold_column", f"{P1} SELECT {E}, {TS}, failure, CAST({_HASH} % 5 AS INTEGER) AS fold FROM p")
+def fold_column(spark, sf_dir):
+    """SPL4: five folds by key hash."""
+    p = event_panel(spark, sf_dir).select(*KEYS).withColumn("_dayno", F.unix_date(F.to_date("timestamp")))
+    return split.fold_column(p, [E, "_dayno"], 5, 42).drop("_dayno")
 
 
 @register("random_split")
@@ -146,12 +167,11 @@ def rolling_origin_cv(spark, sf_dir):
 @register("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     """SNK4/SNK5: save the fitted pipeline to the shared folder, load it, score."""
-    from pyspark.ml import PipelineModel
     train, test, feats = _train_test(spark, sf_dir)
     model = ml.pipeline(feats, ml.estimator("lr", maxIter=20)).fit(train)
     path = fresh_dir(spark, "model")
-    model.write().overwrite().save(path)
-    return ml.score(PipelineModel.load(path), test, KEYS)
+    sinks.save_model(model, path)
+    return ml.score(sinks.load_model(path), test, KEYS)
 
 
 @register("scored_with_indicators")

@@ -27,25 +27,19 @@ def col(c) -> Column:
 NUDGE = 1.0000000000001
 
 
-# Rounding scales by magnitude, (upper bound of |x|, scale): 6 decimals
-# below 100, then 8 significant digits.  Same table in the oracle SQL (catalog.common).
-ROUND_TIERS = [(1e2, 1e6), (1e3, 1e5), (1e4, 1e4), (1e5, 1e3), (1e6, 1e2), (1e7, 1e1), (1e8, 1e0),
-               (1e9, 1e-1), (1e10, 1e-2), (1e11, 1e-3), (1e12, 1e-4), (1e13, 1e-5), (1e14, 1e-6),
-               (1e15, 1e-7)]
+# Magnitude up to which comparison keeps 6 decimals; above it, the 24 bits of a float (7 digits).
+# The oracle SQL (catalog.common) uses the same formula.
+ROUND_BELOW = 100.0
 
 
 def r6(c) -> Column:
-    """Round for comparison: 6 decimals below 100, 8 significant digits above, by
-    ``floor(x * nudge * scale + 0.5) / scale`` in plain IEEE arithmetic (cheap, and
-    bit-identical in any engine evaluating the same formula).  Magnitudes from 1e15,
-    NaN and infinities pass through.  ``+ 0.0`` folds -0.0 into 0.0."""
+    """Round for comparison: 6 decimals below ``ROUND_BELOW``, single precision above, in plain
+    IEEE arithmetic (cheap, two branches, and bit-identical in any engine that evaluates the
+    same formula).  NaN and infinities pass through.  ``+ 0.0`` folds -0.0 into 0.0."""
     x = col(c)
     y = x * F.lit(NUDGE)
-    a = F.abs(x)
-    out = x
-    for bound, scale in reversed(ROUND_TIERS):
-        out = F.when(a < F.lit(bound), F.floor(y * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(out)
-    return out + F.lit(0.0)
+    small = F.floor(y * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    return F.when(F.abs(x) < F.lit(ROUND_BELOW), small).otherwise(y.cast("float").cast("double")) + F.lit(0.0)
 
 
 def nan_to_null(c) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import band
 from ..plans.broadcast import bounded
 from .report import class_weights
+from .split import key_hash
 
 FEATURES, PROB = "features", "p1"
 
@@ -171,8 +172,8 @@ def undersample(df: DataFrame, keys: list[str], label: str = "failure", ratio: f
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     frac = 1.0 if neg == 0 else min(1.0, ratio * pos / neg)
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30))
-    return df.filter((F.col(label) == 1) | F.col(label).isNull() | (h < F.lit(int(frac * (1 << 30)))))
+    h = F.conv(F.substring(key_hash(keys, seed), 1, 8), 16, 10).cast("long")
+    return df.filter((F.col(label) == 1) | F.col(label).isNull() | (h < F.lit(int(frac * 16 ** 8))))
 
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:

@@ -87,9 +87,10 @@ def rolling_origin(df: DataFrame, spec: PanelSpec, k: int = 3) -> DataFrame:
     table = bounds.agg(F.array_sort(F.collect_list(F.struct("fold", "lo", "hi")))).scalar()
     role = lambda b: (F.when(t < b["lo"], "train")
                       .when((t >= b["lo"]) & (b["hi"].isNull() | (t < b["hi"])), "test"))
-    mine = F.filter(F.transform(table, lambda b: F.struct(b["fold"].alias("fold"), role(b).alias("role"))),
+    rows = df.select("*", table.alias("_bounds"))
+    mine = F.filter(F.transform("_bounds", lambda b: F.struct(b["fold"].alias("fold"), role(b).alias("role"))),
                     lambda r: r["role"].isNotNull())
-    return df.select(F.explode(mine).alias("_f"), *df.columns).select("_f.fold", "_f.role", *df.columns)
+    return rows.select(F.explode(mine).alias("_f"), *df.columns).select("_f.fold", "_f.role", *df.columns)
 
 
 def except_split(df: DataFrame, train: DataFrame) -> DataFrame:

@@ -13,13 +13,13 @@ def write_partitioned(df: DataFrame, path: str, spec: PanelSpec, mode: str = "ov
                       dynamic: bool = True) -> None:
     """SNK1: add ``year``/``month`` and write Parquet (snappy) partitioned by them.
 
-    Rows are range-partitioned on (year, month, entity) first: each task writes a
-    contiguous slice, so a month is split over many tasks (no one-task-per-month
+    Rows are range-partitioned on (year, month, entity, time) first: each task writes a
+    contiguous slice, so a month, and one entity in it, is split over many tasks (no one-task-per-month
     skew) and each task opens few files.  ``dynamic`` overwrites only the partitions
     present in ``df`` (incremental loads)."""
     out = with_partitions(df, spec)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(n, "year", "month", spec.entity)
+    out = out.repartitionByRange(n, "year", "month", spec.entity, *spec.order)
     w = out.write.mode(mode).partitionBy("year", "month").option("compression", "snappy")
     if dynamic and mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
@@ -48,7 +48,7 @@ def export_per_entity(df: DataFrame, path: str, spec: PanelSpec, mode: str = "ov
 
 def write_stats(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """SNK6/SNK7/SNK9: statistics, metrics or importances (small frames) as Parquet or JSON."""
-    df.coalesce(1).write.mode(mode).format(fmt).save(path)
+    df.repartition(1).write.mode(mode).format(fmt).save(path)  # only the small result meets in one task
 
 
 def write_feature_list(spark, features: list[str], path: str) -> None:
