@@ -3,7 +3,9 @@
 A window partitioned by entity puts every row of one entity in one task.  When one
 entity holds a large share of the rows (a third of the table, say) that task is the
 whole job.  ``layout`` finds entities above ``spec.hot_rows`` rows and cuts each of
-them into time segments of about ``hot_rows`` rows.  Windows then partition by
+them into time segments of about ``hot_rows`` rows, by the running count of its rows per
+time slot (so a burst is cut as finely as it is dense; slots shorten from days to hours,
+minutes and seconds while one holds more than ``hot_rows`` rows).  Windows then partition by
 ``(entity, segment)``:
 
 * bounded look-back (rolling frames, lags, deltas, slopes) is exact because every
@@ -30,12 +32,14 @@ from ..spec import PanelSpec
 from .broadcast import bounded
 from .joins import join_nullsafe
 
-SEG, CTX, DAY = "_seg", "_ctx", "_day"
+SEG, CTX, DAY, HOT = "_seg", "_ctx", "_day", "_hot"
+#: Slot lengths tried, in seconds, when one slot of a hot entity holds too many rows.
+_SLOTS = (86_400, 3_600, 60, 1)
 _HOT_COLLECT_LIMIT = 10_000
 
 
 def hot_entities(df: DataFrame, spec: PanelSpec) -> DataFrame | None:
-    """Entities with more than ``spec.hot_rows`` rows, with their segment length in days.
+    """Entities with more than ``spec.hot_rows`` rows.
 
     The per-entity count is a partial (map-side) aggregation.  The result has at most
     ``rows / hot_rows`` entries; up to ``_HOT_COLLECT_LIMIT`` of them are brought back as
@@ -45,14 +49,8 @@ def hot_entities(df: DataFrame, spec: PanelSpec) -> DataFrame | None:
     if spec.hot_rows is None:
         return None
     e = spec.entity
-    day = slot_number(spec.time, spec.segment_seconds)
-    stats = (df.groupBy(e)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(day).alias("_d0"), F.max(day).alias("_d1"))
-             .filter(F.col("_n") > F.lit(spec.hot_rows))
-             .select(e, "_d0",
-                     F.greatest(F.lit(1), F.floor((F.col("_d1") - F.col("_d0") + 1)
-                                                  * F.lit(spec.hot_rows) / F.col("_n"))
-                                .cast("int")).alias("_sd")))
+    stats = (df.groupBy(e).agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > F.lit(spec.hot_rows)).select(e, F.lit(True).alias(HOT)))
     rows = stats.limit(_HOT_COLLECT_LIMIT + 1).collect()
     if not rows:
         return None
@@ -93,7 +91,7 @@ class Layout:
             types = {k: df.select(v).schema[0].dataType for k, v in values.items()}
             return df.select("*", *[F.lit(None).cast(types[k]).alias(k) for k in values])
         e = self.spec.entity
-        main = df.filter(~F.col(CTX) & F.col("_sd").isNotNull())
+        main = df.filter(~F.col(CTX) & F.col(HOT))
         order_key = F.struct(*[F.col(c) for c in self.spec.order])
         aggs = []
         for k, v in values.items():
@@ -111,6 +109,16 @@ class Layout:
 _UNSET = object()
 
 
+def _slot_seconds(marked: DataFrame, spec: PanelSpec) -> int:
+    """The longest slot, not above the configured one, in which no hot entity has more than
+    ``hot_rows`` rows (seconds where none is short enough)."""
+    for seconds in [spec.segment_seconds, *[s for s in _SLOTS if s < spec.segment_seconds]]:
+        per = marked.filter(HOT).groupBy(spec.entity, slot_number(spec.time, seconds).alias(DAY)).count()
+        if (per.agg(F.max("count")).first()[0] or 0) <= spec.hot_rows:
+            return seconds
+    return seconds
+
+
 def layout(df: DataFrame, spec: PanelSpec, lookback: int = 0, lookback_days: int = 0,
            hot=_UNSET) -> Layout:
     """Lay ``df`` out for windows over ``(entity, segment)``.
@@ -125,11 +133,17 @@ def layout(df: DataFrame, spec: PanelSpec, lookback: int = 0, lookback_days: int
     if hot is None:
         return Layout(df, spec, [spec.entity], None, columns)
     e = spec.entity
-    base = (join_nullsafe(df.withColumn(DAY, slot_number(spec.time, spec.segment_seconds)), hot, [e], "left")
-            .withColumn(SEG, F.coalesce(F.floor((F.col(DAY) - F.col("_d0")) / F.col("_sd")),
-                                        F.lit(0)).cast("int"))
-            .withColumn(CTX, F.lit(False)))
-    base = base.select(*columns, DAY, "_d0", "_sd", SEG, CTX)
+    marked = join_nullsafe(df, hot, [e], "left").withColumn(HOT, F.coalesce(HOT, F.lit(False)))
+    if not lookback_days:  # calendar frames need segments that end with a day
+        spec = spec.with_(segment_seconds=_slot_seconds(marked, spec))
+    marked = marked.withColumn(DAY, slot_number(spec.time, spec.segment_seconds))
+    # rows of hot entities per slot: small; a segment is a run of slots of about hot_rows rows
+    slots = marked.filter(HOT).groupBy(e, DAY).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(e).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    slots, _ = bounded(slots.select(e, DAY, F.floor(F.coalesce(F.sum("_c").over(upto), F.lit(0)) / F.lit(spec.hot_rows))
+                                    .cast("int").alias(SEG)))
+    base = (join_nullsafe(marked, slots, [e, DAY], "left").withColumn(SEG, F.coalesce(SEG, F.lit(0)))
+            .withColumn(CTX, F.lit(False)).select(*columns, DAY, HOT, SEG, CTX))
     if lookback > 0 or lookback_days > 0:
         # calendar look-back in slots; a sub-day slot may start mid-day: one day of slack
         extra = 0 if spec.segment_seconds == 86_400 else 1
@@ -149,7 +163,7 @@ def _context_rows(base: DataFrame, spec: PanelSpec, lookback: int, lookback_days
     need the days ``[st - lookback_days, st)``; the earlier of both starts is used.
     """
     e = spec.entity
-    hot_rows = base.filter(F.col("_sd").isNotNull())
+    hot_rows = base.filter(HOT)
     days = hot_rows.groupBy(e, DAY, SEG).agg(F.count(F.lit(1)).alias("_c"))
     w_day = Window.partitionBy(e).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_cb", F.coalesce(F.sum("_c").over(w_day), F.lit(0)).cast("long"))

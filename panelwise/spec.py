@@ -21,8 +21,8 @@ class PanelSpec:
     ``tiebreak`` orders rows that share a timestamp; leave it empty only when
     (entity, time) is unique.  ``hot_rows`` is the per-entity row count above
     which an entity is split into time segments for window work (skew guard);
-    ``None`` turns the guard off.  Segments are whole multiples of
-    ``segment_seconds`` (a day by default; use an hour or less for dense sub-daily data).
+    ``None`` turns the guard off.  Segments are runs of slots of ``segment_seconds`` (a day by
+    default; shorter ones are taken where a slot holds more than ``hot_rows`` rows).
     """
 
     entity: str = "serial_number"

@@ -100,3 +100,20 @@ def test_statistics_are_fitted_on_the_training_rows(spark):
     sd = (sum((d - mean) ** 2 for d in range(20)) * 2 / 39) ** 0.5
     top = out.agg(F.max("x_scaled")).first()[0]  # clipped to mean + 3 sd of the training rows
     assert top == pytest.approx(3.0, abs=1e-9) and sd > 0
+
+
+def test_bursts_are_cut_by_their_row_counts(spark):
+    """90 % of an entity's rows in 3 % of its days, and one day with very many."""
+    from panelwise.plans.segments import SEG, layout
+
+    rows = [("a", T0 + dt.timedelta(days=d), i, float(i % 7), 0) for d in range(100) for i in range(10)]
+    rows += [("a", T0 + dt.timedelta(days=50 + d, seconds=7 * i), 1000 + i, float(i % 11), 0) for d in range(3) for i in range(1500)]
+    rows += [("a", T0 + dt.timedelta(days=80, seconds=i), 5000 + i, float(i % 13), 0) for i in range(4000)]
+    rows += [("b", T0 + dt.timedelta(days=d), 0, 1.0, 0) for d in range(30)]
+    p = spark.createDataFrame(rows, SCHEMA)
+    spec = SPEC.with_(hot_rows=500)
+    sizes = layout(p, spec).df.filter("serial_number = 'a'").groupBy(SEG).count().collect()
+    assert max(r["count"] for r in sizes) <= 1000 and len(sizes) >= 10
+    groups = [fe.rolling(("mean", "max"), (7,)), fe.lags((3,))]
+    a, b = (sorted(map(tuple, fe.add_features(p, spec.with_(hot_rows=h), groups).collect()), key=repr) for h in (None, 500))
+    assert len(a) == len(rows) and a == b
