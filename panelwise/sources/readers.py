@@ -1,8 +1,8 @@
 """Readers for raw readings and feature tables (SRC1-4, SRC7, PRJ11).
 
 Paths are any Hadoop file-system URI (``s3a://``, ``abfss://``, ``hdfs://``, local);
-credentials stay in the cluster configuration.  Schemas are passed explicitly so no
-inference pass runs over the data, and time-range readers filter on the ``year``/
+credentials stay in the cluster configuration.  Raw readers take the schema explicitly, so no
+inference pass runs over the data (feature tables carry theirs in Parquet), and time-range readers filter on the ``year``/
 ``month`` partition columns so Spark prunes partitions before reading.
 """
 
