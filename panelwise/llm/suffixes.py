@@ -45,8 +45,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GRAM = 24
 #: Bytes handled at once, and bits of a position in them.
 SLAB, SLAB_BITS = 1 << 20, 21
-#: Contexts of one suffix array.
-SHARD = 8_192
+#: Contexts of one suffix array (about 300 bytes each): what a task holds at once.
+SHARD = 2_048
 
 
 # ---- minimizers --------------------------------------------------------------------------
@@ -161,7 +161,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
     word = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    sa = np.argsort(word, kind="stable")
+    sa = np.argsort(word)
     heads = np.concatenate([[True], word[sa][1:] != word[sa][:-1]])
     slot = np.arange(n)
     rank = np.empty(n, np.int64)
@@ -175,7 +175,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         at = sa[open_]
         ahead = at + h
         key = (rank[at] << 32) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         sa[open_], key = at[o], key[o]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         heads[open_] = new
@@ -184,16 +184,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return sa
 
 
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """Leading equal bytes (0 .. 8) of little-endian words, from their exclusive or."""
+    low = x & (~x + np.uint64(1))
+    return np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
+
+
 def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
     """Bytes (at most ``cap``) that each suffix shares with the one before it in the array.
 
     Kasai: going from one position to the next, at most one byte of the common prefix is
-    lost.  All stretches (``starts``, ``sizes``) are walked in step."""
+    lost.  All stretches (``starts``, ``sizes``) are walked in step, eight bytes at a time."""
     n = len(text)
+    word = np.ndarray((n + cap,), "<u8", np.concatenate([text, np.zeros(cap + 8, np.uint8)]).tobytes(), 0, (1,)).astype(np.uint64)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    o = np.argsort(-sizes, kind="stable")
+    o = np.argsort(-sizes)
     starts, sizes = starts[o], sizes[o]
     held = np.zeros(len(starts), np.int64)
     alive = len(starts)
@@ -203,22 +210,22 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
         p = starts[:alive] + t
         q = before[p]
         k = np.where(q >= 0, np.maximum(held[:alive] - 1, 0), 0)
-        go = np.flatnonzero((q >= 0) & (k < cap))
+        most = np.where(q >= 0, np.minimum(cap, n - np.maximum(p, q)), 0)
+        go = np.flatnonzero(k < most)
         while len(go):
-            x, y = p[go] + k[go], q[go] + k[go]
-            inside = (x < n) & (y < n)
-            go = go[inside]
-            go = go[text[x[inside]] == text[y[inside]]]
-            k[go] += 1
-            go = go[k[go] < cap]
+            same = _equal_bytes(word[p[go] + k[go]] ^ word[q[go] + k[go]])
+            k[go] += same
+            go = go[(same == 8) & (k[go] < most[go])]
+        np.minimum(k, most, out=k)
         held[:alive] = k
         out[p] = k
     return out
 
 
-def repeated_windows(parts: list[bytes], copies: list[int], length: int) -> tuple[list[np.ndarray], list[tuple[int, int, bool]]]:
+def repeated_windows(parts: list[bytes], copies: list[int], length: int, classes: bool = True
+                     ) -> tuple[list[np.ndarray], list[tuple[int, int, bool]]]:
     """For each context (its bytes; the last ``length`` - 1 start no window), which of its windows
-    also start elsewhere; and (context, window, single) of one window of each class."""
+    also start elsewhere; and, if asked for, (context, window, single) of one window of each class."""
     text = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -231,7 +238,7 @@ def repeated_windows(parts: list[bytes], copies: list[int], length: int) -> tupl
     total = np.bincount(cls, weights=weight)
     hit = np.zeros(len(text), bool)
     hit[sa] = (total[cls] > 1) & (weight > 0)
-    reps = np.flatnonzero(weight > 0)
+    reps = np.flatnonzero(weight > 0) if classes else np.empty(0, np.int64)
     reps = reps[np.unique(cls[reps], return_index=True)[1]]
     found = [(int(owner[sa[i]]), int(inside[sa[i]]), bool(total[cls[i]] == 1)) for i in reps]
     return [np.flatnonzero(hit[s:s + m]) for s, m in zip(starts.tolist(), sizes.tolist())], found
@@ -247,7 +254,7 @@ def _shard_spans(work: DataFrame, length: int) -> DataFrame:
         for rows in grouped(batches, ["shard", "salt"]):
             out: dict[str, list] = {n: [] for n in names}
             parts = [r["bytes"] for r in rows]
-            hits, classes = repeated_windows(parts, [r["copies"] for r in rows], length)
+            hits, classes = repeated_windows(parts, [r["copies"] for r in rows], length, rows[0]["salt"] >= 0)
             for r, w in zip(rows, hits):
                 if len(w) and r["copies"] == 1:  # the others are settled
                     for a, b in zip(*(v.tolist() for v in merged(w, w + length))):
