@@ -345,7 +345,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cid, shingles): the full set of each class that shares a bucket, from the text of the
     document with its smallest id."""
-    d, w = docs.alias("d"), written(wanted, "wanted").alias("w")
+    # exchanged at every size: a broadcast of the small side at small sizes says nothing of large ones
+    d, w = docs.alias("d"), written(wanted, "wanted").hint("merge").alias("w")
     found = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.least"))).select("cid", "c1", "c2", "text")
 
     def one(cols: dict) -> dict:
