@@ -29,6 +29,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 from typing import Iterable, Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ HEAD, CLASSES, WIDTH = 768, 256, 32
 #: Words whose counts are sent to every task, and their longest (both bound the broadcast).
 KNOWN, LONGEST = 200_000, 32
 #: Tokens of one update, noise symbols of one update, step, tokens of a training shard at least.
-BATCH, NOISE, STEP, SHARD_TOKENS = 4_096, 64, 0.1, 2_000_000
+BATCH, NOISE, STEP, SHARD_TOKENS = 8_192, 32, 0.1, 2_000_000
 #: The end token is the only "word" without bytes.
 END = b""
 
@@ -146,9 +147,10 @@ def first_parameters(symbol_n: np.ndarray, seed: int = 1) -> np.ndarray:
 
 def _add_rows(target: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """target[at] += rows, equal places added up (sorted runs; faster than add.at)."""
-    o = np.argsort(at, kind="stable")
-    where, start = np.unique(at[o], return_index=True)
-    target[where] += np.add.reduceat(rows[o], start, axis=0)
+    o = np.argsort(at)
+    at = at[o]
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    target[at[start]] += np.add.reduceat(rows[o], start, axis=0)
 
 
 class Trainer:
@@ -169,10 +171,10 @@ class Trainer:
         tt = t[target]
         drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), SYMBOLS - 1)
         td = t[drawn]
-        up = np.einsum("ij,ij->i", q, tt) + bias[target] - self.log_noise[target]
-        down = q @ td.T + (bias[drawn] - self.log_noise[drawn])
-        g_up = (-1 / (1 + np.exp(np.clip(up, -30, 30)))).astype(np.float32)  # data: pull up
-        g_down = (1 / (1 + np.exp(np.clip(-down, -30, 30)))).astype(np.float32)  # noise: push down
+        up = np.einsum("ij,ij->i", q, tt) + (bias - self.log_noise)[target]
+        down = q @ td.T + (bias - self.log_noise)[drawn]
+        g_up = -0.5 + 0.5 * np.tanh(0.5 * up)  # data: pull up (minus the logistic of -up)
+        g_down = 0.5 + 0.5 * np.tanh(0.5 * down)  # noise: push down
         dq = g_up[:, None] * tt + g_down @ td
         grads = [np.zeros(s, np.float32) for s in _SHAPES]
         _add_rows(grads[0], one, dq * pos[0])
@@ -299,26 +301,49 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         (one, two, log_z), known, head, class_all, base_all = shared.value
         t = Tables.__new__(Tables)
         t.one, t.two, t.log_z = one, two, log_z
-        symbols = symbol_of(head)
-        # a word's base part, and its part of the model's score inside its class
-        parts = {w: (np.log10(c + 1) - base_all, 0.0 if w in head else np.log10(c + 1) - class_all[word_class(w)]) for w, c in known.items()}
+        # known words by number: symbol, base part, and part of the model's score inside its class;
+        # the last entry is for rare words, whose parts are added by the join
+        number = {w: i for i, w in enumerate(known)}
+        cls = np.array([word_class(w) for w in known] + [0])
+        is_head = np.array([head.get(w, -1) for w in known] + [-1])
+        log_c = np.log10(np.array(list(known.values()) + [0], np.float64) + 1)
+        symbol, rare_at = np.where(is_head >= 0, is_head, HEAD + cls), len(known)
+        base, inner = log_c - base_all, np.where(is_head >= 0, 0.0, log_c - class_all[cls])
+        base[-1] = inner[-1] = 0.0
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in ("doc_id", "version", "held_out", "text")}
             for lo in range(0, batch.num_rows, 200):
-                words = [tokens(x) for x in cols["text"][lo:lo + 200]]
-                ids = [np.fromiter(map(symbols.__getitem__, w), np.int64, len(w)) for w in words]
-                sums = np.add.reduceat(t.log10(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]))
+                texts = [tokens(x) for x in cols["text"][lo:lo + 200]]
+                words = list(chain.from_iterable(texts))
+                ids = np.fromiter(map(number.get, words, repeat(rare_at)), np.int64, len(words))
+                sizes = np.array([len(x) for x in texts])
+                start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                rare = np.flatnonzero(ids == rare_at)
+                sym = symbol[ids]
+                sym[rare] = [HEAD + word_class(words[i]) for i in rare.tolist()]
+                model = np.add.reduceat(t.log10(np.split(sym, start[1:])) + inner[ids], start).tolist()
+                bases = np.add.reduceat(base[ids], start).tolist()
                 out: dict[str, list] = {c: [] for c in names}
-                for i, (w, model) in enumerate(zip(words, sums.tolist())):
-                    got = list(map(parts.get, w))
-                    rare = Counter(x for x, g in zip(w, got) if g is None) if None in got else {}
-                    pair = np.array([g for g in got if g is not None] if rare else got).reshape(-1, 2).sum(axis=0).tolist()
-                    d, ver = cols["doc_id"][lo + i], cols["version"][lo + i]
-                    for c, x in zip(names, (d, ver, None, 1, cols["held_out"][lo + i], len(w), len(w) - sum(rare.values()), pair[0], model + pair[1])):
-                        out[c].append(x)
-                    for x, tf in rare.items():
-                        for c, y in zip(names, (d, ver, x, tf, None, 0, 0, 0.0, 0.0)):
-                            out[c].append(y)
+                owner = np.searchsorted(start, rare, side="right") - 1
+                count = Counter(zip(owner.tolist(), [words[i] for i in rare.tolist()]))
+                n_rare = np.bincount(owner, minlength=len(texts)).tolist()
+                n = len(texts)
+                out["doc_id"] += cols["doc_id"][lo:lo + n]
+                out["version"] += cols["version"][lo:lo + n]
+                out["word"] += [None] * n
+                out["tf"] += [1] * n
+                out["held_out"] += cols["held_out"][lo:lo + n]
+                out["n_tokens"] += sizes.tolist()
+                out["n_known"] += [a - b for a, b in zip(sizes.tolist(), n_rare)]
+                out["base"] += bases
+                out["model"] += model
+                at = [lo + i for i, _ in count]
+                out["doc_id"] += [cols["doc_id"][i] for i in at]
+                out["version"] += [cols["version"][i] for i in at]
+                out["word"] += [w for _, w in count]
+                out["tf"] += list(count.values())
+                for c, x in (("held_out", None), ("n_tokens", 0), ("n_known", 0), ("base", 0.0), ("model", 0.0)):
+                    out[c] += [x] * len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], y) for c, y in zip(names, types)], names=list(names))
 
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
