@@ -45,7 +45,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GRAM = 24
 #: Bytes handled at once, and bits of a position in them.
 SLAB, SLAB_BITS = 1 << 20, 21
-#: Contexts of one suffix array (about 300 bytes each): what a task holds at once.
+#: Contexts of one suffix array (about 300 bytes each).  A minimizer with more has a shard of its
+#: own, and one with over four times as many is dealt over several.
 SHARD = 2_048
 
 
@@ -115,42 +116,51 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], top[np.concatenate([new[1:] - 1, [len(top) - 1]])]
 
 
+def gram_counts(docs: DataFrame, length: int) -> DataFrame:
+    """(gram, n): contexts of each minimizer, added up for each slab of text."""
+    def run(batches):
+        for b in batches:
+            for buf, ends, _, _ in _slabs([t.as_py().encode() for t in b.column(0)], length):
+                gram, n = np.unique(contexts(buf, ends, length)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def context_rows(docs: DataFrame, length: int) -> DataFrame:
     """One row for each different context of a document (gram, digest, copies 1 or 2, first and
     last window start), and one (gram null) for each span that repeats inside it."""
-    names = ("doc_id", "version", "gram", "digest", "copies", "first", "last")
+    names = ["doc_id", "version", "gram", "digest", "copies", "first", "last"]
 
-    def one(cols: dict) -> dict:
-        raw = [t.encode() for t in cols["text"]]
-        out: dict[str, list] = {n: [] for n in names}
-        for buf, ends, owner, offset in _slabs(raw, length):
-            piece, a, b, gram = contexts(buf, ends, length)
-            digest = np.array([xxhash.xxh3_64_intdigest(buf[x:y]) for x, y in zip(a.tolist(), (b + length).tolist())], np.uint64)
-            doc = np.array(owner)[piece]
-            begin = np.concatenate([[0], ends[:-1]])
-            shift = np.array(offset)[piece] - begin[piece]
-            a, b = a + shift, b + shift
-            o = np.lexsort((a, digest, gram, doc))
-            same = (doc[o][1:] == doc[o][:-1]) & (gram[o][1:] == gram[o][:-1]) & (digest[o][1:] == digest[o][:-1])
-            head = np.concatenate([[True], ~same])
-            many = np.concatenate([same, [False]]) | ~head
-            pick, twice = o[head], many[head]
-            got = {"doc": doc[pick], "gram": gram[pick].astype(np.int64), "digest": digest[pick].astype(np.int64),
-                   "copies": 1 + twice.astype(np.int64), "first": a[pick], "last": b[pick]}
-            ids = got.pop("doc").tolist()
-            out["doc_id"] += [cols["doc_id"][i] for i in ids]
-            out["version"] += [cols["version"][i] for i in ids]
-            for n, v in got.items():
-                out[n] += v.tolist()
-            rep = o[many]
-            for i in np.unique(doc[rep]).tolist():
-                mine = rep[doc[rep] == i]
-                for x, y in zip(*(v.tolist() for v in merged(a[mine], b[mine] + length))):
-                    for n, v in zip(names, (cols["doc_id"][i], cols["version"][i], None, None, None, x, y - length)):
-                        out[n].append(v)
-        return out
+    def run(batches):
+        for batch in batches:
+            ids, versions = batch.column(0), batch.column(1)
+            raw = [t.as_py().encode() for t in batch.column(2)]
+            for buf, ends, owner, offset in _slabs(raw, length):
+                piece, a, b, gram = contexts(buf, ends, length)
+                digest = np.array([xxhash.xxh3_64_intdigest(buf[x:y]) for x, y in zip(a.tolist(), (b + length).tolist())], np.uint64)
+                doc = np.array(owner)[piece]
+                shift = np.array(offset)[piece] - np.concatenate([[0], ends[:-1]])[piece]
+                a, b = a + shift, b + shift
+                o = np.lexsort((digest, gram, doc))
+                same = (doc[o][1:] == doc[o][:-1]) & (gram[o][1:] == gram[o][:-1]) & (digest[o][1:] == digest[o][:-1])
+                head = np.concatenate([[True], ~same])
+                many = np.concatenate([same, [False]]) | ~head
+                pick = o[head]
+                at = pa.array(doc[pick])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(at), versions.take(at), *(pa.array(x.astype(np.int64)) for x in (
+                        gram[pick], digest[pick], 1 + many[head], a[pick], b[pick]))], names=names)
+                rep = o[many]
+                for i in np.unique(doc[rep]).tolist():
+                    mine = rep[doc[rep] == i]
+                    x, y = merged(a[mine], b[mine] + length)
+                    at, none = pa.array(np.full(len(x), i)), pa.nulls(len(x), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), versions.take(at), none, none, none, pa.array(x), pa.array(y - length)], names=names)
 
-    return map_arrow(docs, one, "doc_id bigint, version bigint, gram bigint, digest bigint, copies bigint, first bigint, last bigint")
+    return docs.select("doc_id", "version", "text").mapInArrow(
+        run, "doc_id bigint, version bigint, gram bigint, digest bigint, copies bigint, first bigint, last bigint")
 
 
 # ---- suffix arrays -----------------------------------------------------------------------
@@ -161,10 +171,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
     word = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    sa = np.argsort(word)
+    sa = np.argsort(word).astype(np.int32)
     heads = np.concatenate([[True], word[sa][1:] != word[sa][:-1]])
-    slot = np.arange(n)
-    rank = np.empty(n, np.int64)
+    slot = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(heads, slot, 0))
     h = 8
     while h < 2 * n:
@@ -173,8 +183,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         at = sa[open_]
-        ahead = at + h
-        key = (rank[at] << 32) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        ahead = at.astype(np.int64) + h
+        key = (rank[at].astype(np.int64) << 32) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         o = np.argsort(key)
         sa[open_], key = at[o], key[o]
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -197,9 +207,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
     lost.  All stretches (``starts``, ``sizes``) are walked in step, eight bytes at a time."""
     n = len(text)
     word = np.ndarray((n + cap,), "<u8", np.concatenate([text, np.zeros(cap + 8, np.uint8)]).tobytes(), 0, (1,)).astype(np.uint64)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     o = np.argsort(-sizes)
     starts, sizes = starts[o], sizes[o]
     held = np.zeros(len(starts), np.int64)
@@ -208,7 +218,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
         while sizes[alive - 1] <= t:
             alive -= 1
         p = starts[:alive] + t
-        q = before[p]
+        q = before[p].astype(np.int64)
         k = np.where(q >= 0, np.maximum(held[:alive] - 1, 0), 0)
         most = np.where(q >= 0, np.minimum(cap, n - np.maximum(p, q)), 0)
         go = np.flatnonzero(k < most)
@@ -231,10 +241,10 @@ def repeated_windows(parts: list[bytes], copies: list[int], length: int, classes
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa, starts, sizes, length)[sa]
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    inside = np.arange(len(text)) - starts[owner]
-    weight = np.where(inside + length <= sizes[owner], np.array(copies)[owner], 0)[sa]
-    cls = np.cumsum(lcp < length) - 1
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    inside = np.arange(len(text), dtype=np.int32) - starts.astype(np.int32)[owner]
+    weight = np.where(inside + length <= sizes[owner], np.array(copies, np.int8)[owner], 0)[sa]
+    cls = np.cumsum(lcp < length, dtype=np.int32) - 1
     total = np.bincount(cls, weights=weight)
     hit = np.zeros(len(text), bool)
     hit[sa] = (total[cls] > 1) & (weight > 0)
@@ -294,7 +304,7 @@ def _met_elsewhere(classes: DataFrame, length: int) -> DataFrame:
 def duplicate_spans(docs: DataFrame, length: int, shard: int = SHARD) -> DataFrame:
     """doc_id, version, first, end: spans to remove, in bytes; they may overlap."""
     rows = context_rows(docs, length)
-    grams = rows.where("gram is not null").groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1").select("gram")
+    grams = gram_counts(docs, length).where("n > 1").select("gram")
     local = rows.where("gram is null")
     near = written(rows.join(written(grams, "grams"), "gram").select("doc_id", "version", "gram", "digest", "copies", "first", "last"), "near")
     kinds = written(near.groupBy("gram", "digest").agg(
@@ -304,13 +314,14 @@ def duplicate_spans(docs: DataFrame, length: int, shard: int = SHARD) -> DataFra
              whole.select("doc_id", "version", "first", (F.col("last") + length).alias("end"))]
 
     mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
-                    .where("kinds > 1 and single > 0").select("gram", F.ceil(F.col("kinds") / (shard // 2)).cast("int").alias("salts")), "mixed")
-    many = max(1, mixed.agg(F.sum("salts")).first()[0] or 0)
+                    .where("kinds > 1 and single > 0").select("gram", "kinds"), "mixed")
     total = kinds.join(mixed, "gram")
-    shards = max(1, total.count() // shard, min(many, 64) if many > 1 else 1)
+    shards = max(1, -(-(mixed.where(F.col("kinds") <= shard).agg(F.sum("kinds")).first()[0] or 0) // shard))
+    salts = F.ceil(F.col("kinds") / (4 * shard))
     want = total.select(F.col("at.doc_id").alias("doc_id"), F.col("at.version").alias("version"), F.struct(
-        F.when(F.col("salts") > 1, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards))).alias("shard"),
-        F.when(F.col("salts") > 1, F.pmod(F.xxhash64("digest"), "salts")).otherwise(F.lit(-1)).cast("long").alias("salt"),
+        F.when(F.col("kinds") > shard, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards))).alias("shard"),
+        F.when(salts > 1, F.pmod(F.xxhash64("digest"), salts)).when(F.col("kinds") > shard, F.lit(-2))
+        .otherwise(F.lit(-1)).cast("long").alias("salt"),
         F.least("n", F.lit(2)).alias("copies"), F.col("at.first").alias("first"), F.col("at.last").alias("last")).alias("c"))
     per_doc = written(want.groupBy("doc_id", "version").agg(F.collect_list("c").alias("cs")), "wanted")  # bounded by the document
 
