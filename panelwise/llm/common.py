@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+import tempfile
 import types
 import uuid
 from typing import Callable, Iterable, Iterator
@@ -85,10 +87,14 @@ def map_arrow(df: DataFrame, fn: Callable[[dict], dict | None], schema: str) ->
 
 
 def shared_dir(df_or_spark) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).  Where it is unset, a
+    session in one JVM takes a temporary folder; on a cluster that is an error."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not d and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelwise-"))
+        d = sc.getCheckpointDir()
     if not d:
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
     return d
