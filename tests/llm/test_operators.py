@@ -4,9 +4,11 @@ columns, an empty table) and on the smallest tables."""
 import base64
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -292,6 +294,25 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert s["s"] > s["b"]
 
 
+def test_lm_training_settings_beat_the_untrained_start():
+    rows = pq.read_table(f"{SF_SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
+    words = [lm.tokens(r["text"] or "") for r in rows]
+    count = Counter(w for t, h in zip(words, held) if not h for w in t)
+    head = {w: i for i, w in enumerate(sorted(count, key=lambda w: (w != lm.END, -count[w], w))[:lm.HEAD])}
+    ids = [np.array([head.get(w, lm.HEAD + lm.word_class(w)) for w in t]) for t in words]
+    train, test = [x for x, h in zip(ids, held) if not h], [x for x, h in zip(ids, held) if h]
+    n = np.bincount(np.concatenate(train), minlength=lm.SYMBOLS).astype(float)
+    first = lm.first_parameters(n)
+    trainer = lm.Trainer(first, (n + 0.5) / (n + 0.5).sum())
+    parts = lm.contexts(train)
+    order = trainer.rng.permutation(len(parts[0]))
+    for i in range(0, len(order), lm.BATCH):
+        trainer.step(*(x[order[i:i + lm.BATCH]] for x in parts))
+    # log10 a held-out token: 0.146 better at 4,096 and 64, 0.100 at 8,192 and 32
+    assert lm.Tables(trainer.flat).log10(test).mean() - lm.Tables(first).log10(test).mean() > 0.125
+
+
 def test_lm_probabilities_add_up_to_one():
     r = np.random.default_rng(0)
     t = lm.Tables(np.concatenate([r.normal(0, 0.3, int(np.prod(s))) for s in lm._SHAPES]).astype(np.float32))
