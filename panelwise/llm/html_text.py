@@ -3,9 +3,11 @@
 The standard library's parser reports tags and text; a page becomes a list of *lines*, one
 for each block, with its characters, its tags and its open containers.  The text-to-tag ratio
 of each line is smoothed with a Gaussian, and lines above a threshold (the ratios' standard
-deviation) form the content cluster.  The container that holds most of the cluster is the
-article, and every line in it counts, so short paragraphs between long ones are not lost.
-Parts that are never article text (menus, page headers, footers, sidebars, notices, adverts,
+deviation) form the content cluster.  The innermost container that holds all of the cluster is
+the article, and every line in it counts, so short paragraphs between long ones are not lost;
+lines around it (a title, an intro) count too, unless most of their text is links.  Where
+<article> or <main> elements hold some of the cluster, the outermost ones are the article, one
+after another.  Parts that are never article text (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are left out by tag, role, class or id.
 
 Null and empty pages, and pages without article text, give an empty text; repeated rows give
@@ -35,6 +37,7 @@ BLOCK = frozenset("""address article aside blockquote body br button caption cen
 NEVER = frozenset("""aside audio button canvas datalist dialog fieldset footer form head iframe menu meter nav noscript
  object option progress script select style svg template textarea title video""".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search
  status toolbar""".split())
 
@@ -47,22 +50,29 @@ MARKS = frozenset("""ad ads adv advert advertisement adverts advertising alert b
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, number of tags, open containers (ids of their start events)."""
+    """Lines of a page: text, number of tags, open containers (ids of their start events), outermost
+    first, and whether most of the text is links (never so in a heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, container number, left out
-        self.articles: dict[int, str] = {}
+        self.articles: dict[int, bool] = {}  # container number, marked as something around an article
         self.text: list[str] = []
         self.tags, self.made, self.out = 0, 0, 0
+        self.in_link, self.linked = False, 0
 
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple(c for _, c, _ in self.stack if c)))
+            links = 2 * self.linked > len(text) and not any(t in HEADINGS for t, _, _ in self.stack)
+            self.lines.append((text, self.tags, tuple(c for _, c, _ in self.stack if c), links))
             self.tags = 0
-        self.text = []
+        self.text, self.in_link, self.linked = [], False, 0
+
+    def _marked(self, attrs) -> bool:
+        return any(v and k in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower()))
+                   for k, v in attrs)
 
     def _left_out(self, tag: str, attrs) -> bool:
         if tag in NEVER:
@@ -73,7 +83,7 @@ class _Lines(HTMLParser):
             return False
         for k, v in attrs:
             if v and k in ("class", "id"):
-                if not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower())):
+                if self._marked([(k, v)]):
                     return tag not in ARTICLE
             elif v and k == "role" and v.lower() in ROLES:
                 return True
@@ -97,6 +107,8 @@ class _Lines(HTMLParser):
                     break
                 if self.stack[i][0] in BLOCK:
                     break
+        if tag == "a":
+            self.in_link = any(k == "href" for k, _ in attrs)
         if tag in VOID:
             return
         out = self._left_out(tag, attrs)
@@ -106,12 +118,14 @@ class _Lines(HTMLParser):
                 self.made += 1
                 number = self.made
                 if tag in ARTICLE or any(v and (k == "role" and v == "main" or k == "itemprop" and v == "articleBody") for k, v in attrs):
-                    self.articles[number] = tag
+                    self.articles[number] = self._marked(attrs)
             self.stack.append((tag, number, out))
             self.out += out
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.in_link = False
         block = tag in BLOCK
         if block:
             self._line()
@@ -130,6 +144,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.out:
             self.text.append(data)
+            if self.in_link:
+                self.linked += len(" ".join(data.split()))
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0, reach: int = 2) -> np.ndarray:
@@ -153,21 +169,20 @@ def main_text(html: str) -> str:
     p._line()
     if not p.lines:
         return ""
-    chars = np.array([len(t) for t, _, _ in p.lines], np.float64)
-    cluster = content_cluster(chars, np.array([n for _, n, _ in p.lines], np.float64))
+    chars = np.array([len(t) for t, _, _, _ in p.lines], np.float64)
+    cluster = content_cluster(chars, np.array([n for _, n, _, _ in p.lines], np.float64))
     weight: dict[int, float] = {}
-    for (_, _, inside), c, hit in zip(p.lines, chars, cluster):
+    for (_, _, inside, _), c, hit in zip(p.lines, chars, cluster):
         for box in inside if hit else ():
             weight[box] = weight.get(box, 0.0) + c
     named = [b for b in p.articles if b in weight]
+    if named:  # the outermost articles; a marked one (comments, teasers) only where it is the heaviest
+        best = max(named, key=lambda b: (weight[b], -b))
+        plain = {b for b in named if b == best or not p.articles[b]}
+        return " ".join(t for t, _, inside, _ in p.lines if not plain.isdisjoint(inside))
     total = float(chars[cluster].sum())
-    if named:  # the heaviest article; the inner one where one holds all of the other
-        best = max(named, key=lambda b: (weight[b], b))
-        return " ".join(t for t, _, inside in p.lines if best in inside)
-    holds = [b for b, w in weight.items() if w >= 0.8 * total]
-    best = max(holds, default=0)  # the innermost container with most of the cluster
-    keep = [i for i, (_, _, inside) in enumerate(p.lines) if not best or best in inside]
-    return " ".join(p.lines[i][0] for i in keep)
+    core = max((b for b, w in weight.items() if w >= total), default=0)  # the innermost container of the whole cluster
+    return " ".join(t for t, _, inside, links in p.lines if not core or core in inside or not links)
 
 
 def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

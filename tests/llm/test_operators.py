@@ -347,6 +347,23 @@ def test_main_text(body):
     assert html_text.main_text(PAGE % (body % (a, b))) == f"Head&line First para {a} more Short. Last {b}"
 
 
+LINKS = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>More of this</a></li></ul>"
+
+
+@pytest.mark.parametrize("body, want", [
+    ("<div id=main><h1>Title</h1><p>{i}</p><div class=body><p>{a}</p><p>{b}</p></div></div>", "Title {i} {a} {b}"),
+    (LINKS + "<h1><a href='/t'>Title</a></h1><p>Short.</p><div class=body><p>{a}</p><p>{b}</p></div>", "Title Short. {a} {b}"),
+    ("<div><p>{i}</p><blockquote><p>{a}</p><p>{b}</p></blockquote><p>Short.</p></div>", "{i} {a} {b} Short."),
+    ("<table><tr><td>{i}</td><td>{a} {b}</td></tr></table>", "{i} {a} {b}"),
+    ("<article><h2>One</h2><p>{a}</p></article>" + LINKS + "<article><h2>Two</h2><p>{i}</p></article>", "One {a} Two {i}"),
+    ("<main><h1>Title</h1><article><p>{a}</p><p>{b}</p></article></main>", "Title {a} {b}"),
+    ("<article><p>{a}</p></article><article class=comment><p>{i}</p></article>", "{a}"),
+])
+def test_main_text_is_whole(body, want):
+    parts = {"i": prose(20, 13), "a": prose(60, 11), "b": prose(50, 12)}
+    assert html_text.main_text(PAGE % body.format(**parts)) == want.format(**parts)
+
+
 def test_main_text_edges(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars string"
     df = spark.createDataFrame([(1, "u", None, "t", "n"), (1, None, "", "t", "n"), (None, "u", "a &lt; <b>b</b>c &nbsp; d", "t", "n")], schema)
