@@ -6,8 +6,8 @@ of each line is smoothed with a Gaussian, and lines above a threshold (the ratio
 deviation) form the content cluster.  The innermost container that holds all of the cluster is
 the article, and every line in it counts, so short paragraphs between long ones are not lost;
 lines around it (a title, an intro) count too, unless most of their text is links.  Where
-<article> or <main> elements hold some of the cluster, the outermost ones are the article, one
-after another.  Parts that are never article text (menus, page headers, footers, sidebars, notices, adverts,
+<article> or <main> elements hold at least half of the cluster's characters, the outermost ones
+are the article, one after another.  Parts that are never article text (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are left out by tag, role, class or id.
 
 Null and empty pages, and pages without article text, give an empty text; repeated rows give
@@ -175,12 +175,14 @@ def main_text(html: str) -> str:
     for (_, _, inside, _), c, hit in zip(p.lines, chars, cluster):
         for box in inside if hit else ():
             weight[box] = weight.get(box, 0.0) + c
+    total = float(chars[cluster].sum())
     named = [b for b in p.articles if b in weight]
     if named:  # the outermost articles; a marked one (comments, teasers) only where it is the heaviest
         best = max(named, key=lambda b: (weight[b], -b))
         plain = {b for b in named if b == best or not p.articles[b]}
-        return " ".join(t for t, _, inside, _ in p.lines if not plain.isdisjoint(inside))
-    total = float(chars[cluster].sum())
+        inner = [not plain.isdisjoint(inside) for _, _, inside, _ in p.lines]
+        if chars[cluster & inner].sum() >= 0.5 * total:  # the cluster confirms them
+            return " ".join(line[0] for line, i in zip(p.lines, inner) if i)
     core = max((b for b, w in weight.items() if w >= total), default=0)  # the innermost container of the whole cluster
     return " ".join(t for t, _, inside, links in p.lines if not core or core in inside or not links)
 

@@ -357,6 +357,7 @@ LINKS = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>More of this</a></li
     ("<table><tr><td>{i}</td><td>{a} {b}</td></tr></table>", "{i} {a} {b}"),
     ("<article><h2>One</h2><p>{a}</p></article>" + LINKS + "<article><h2>Two</h2><p>{i}</p></article>", "One {a} Two {i}"),
     ("<main><h1>Title</h1><article><p>{a}</p><p>{b}</p></article></main>", "Title {a} {b}"),
+    ("<div><h1>Title</h1><p>{a}</p><p>{b}</p></div><article><p>{i}</p></article>", "Title {a} {b} {i}"),
     ("<article><p>{a}</p></article><article class=comment><p>{i}</p></article>", "{a}"),
 ])
 def test_main_text_is_whole(body, want):
