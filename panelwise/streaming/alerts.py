@@ -2,20 +2,17 @@
 
 "At most one alert per entity within ``cooldown`` of the last *sent* one" is a fold over
 an entity's alert candidates in time order.  In batch it runs without holding an entity
-in one task: time is cut into segments of length ``S >= cooldown``, and
-
-1. per (entity, segment), in parallel: the only history that can matter is the last
-   sent alert if it lies within ``cooldown`` before the segment, i.e. one of the
-   previous segment's alerts in that window (copied in as context) or "none".  The
-   greedy fold is run from each such incoming state (chains that meet an already
-   computed chain stop early) giving a small transfer table ``in -> out``;
-2. per entity, the transfer tables (one row per segment and state) are chained in
-   segment order to get each segment's true incoming state;
+in one task: the rows are range-partitioned into segments of about ``hot_rows`` rows, and
+
+1. per (entity, segment), in parallel: the last sent alert after the segment is a step
+   function of the one before it.  It is kept as runs of equal outcomes;
+2. neighbouring segments are composed ``_FAN`` at a time in rounds, up to one function an
+   entity, and on the way back each segment gets its true incoming state;
 3. per (entity, segment) again, the fold is replayed from the true state and the sent
    rows are emitted.
 
-Groups hold one segment of one entity, so their size is bounded by alert density times
-``S``, not by the entity's history.  Entities below the hot threshold skip the segment
+Groups hold one segment of one entity, or ``_FAN`` functions (each has at most one run for
+each candidate within ``cooldown`` of its start).  Entities below the hot threshold skip the segment
 machinery: they are hash-partitioned, sorted and folded partition by partition
 (``mapInPandas``, one Python call per Arrow batch).  In a stream, ``applyInPandasWithState`` keeps one
 timestamp of state per entity.  Nothing is delivered; rows carry a JSON payload.
@@ -35,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import epoch_seconds
+from ..llm.common import written
 from ..plans.broadcast import bounded
 from ..plans.joins import join_nullsafe
 from ..spec import PanelSpec
@@ -44,8 +42,9 @@ from ..spec import PanelSpec
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _US = "_t_us"
-_SEG, _CTX, _SPLIT = "_aseg", "_actx", "_asplit"
-_DAY_US = 86_400_000_000
+_SEG, _SPLIT, _NODE = "_aseg", "_asplit", "_anode"
+#: Neighbouring segments composed at a time; incoming state before the first sent alert.
+_FAN, _NONE = 16, -(2 ** 62)
 
 
 def _fold(times: np.ndarray, cooldown: int, last) -> tuple[np.ndarray, object]:
@@ -63,25 +62,35 @@ def _fold(times: np.ndarray, cooldown: int, last) -> tuple[np.ndarray, object]:
     return sent, last
 
 
-def _transfer(own: np.ndarray, ctx: np.ndarray, cooldown: int) -> list[tuple[object, object]]:
-    """(incoming state, outgoing last-sent) for 'none' and each context alert."""
-    base_sent, base_out = _fold(own, cooldown, None)
-    base_pos = {int(t): i for i, t in zip(np.nonzero(base_sent)[0], own[base_sent])}
-    rows = [(None, base_out)]
-    for s in ctx:
-        last, out, i = int(s), None, 0
-        while True:
-            i = i + int(np.searchsorted(own[i:], last + cooldown, side="left"))
-            if i >= len(own):
-                out = last
-                break
-            if base_pos.get(int(own[i])) == i:  # joined the base chain
-                out = base_out
-                break
-            last = int(own[i])
-            i += 1
-        rows.append((int(s), out))
-    return rows
+def _runs(at: np.ndarray, out: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function as runs of equal outcomes, for states up to ``start``."""
+    n = int(np.searchsorted(at, start, side="left")) + 1
+    at, out = at[:n], out[:n]
+    keep = np.append(out[1:] != out[:-1], True)
+    return at[keep], out[keep]
+
+
+def _transfer(own: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last sent alert after sorted times as a step function of the one before: states up to
+    ``at[k]`` (and above ``at[k - 1]``) give ``out[k]``, states above all stay as they are."""
+    own = np.unique(own)
+    nxt = np.maximum(np.searchsorted(own, own + cooldown, side="left"), np.arange(1, len(own) + 1)).tolist()
+    out = own.tolist()
+    for i in range(len(out) - 1, -1, -1):
+        if nxt[i] < len(out):
+            out[i] = out[nxt[i]]
+    return _runs(own - cooldown, np.array(out, dtype="int64"), int(own[0]))
+
+
+def _after(at: np.ndarray, out: np.ndarray, state: np.ndarray) -> np.ndarray:
+    k = np.searchsorted(at, state, side="left")
+    return np.where(k < len(at), out[np.minimum(k, len(at) - 1)], state)
+
+
+def _composed(first, then, start: int) -> tuple[np.ndarray, np.ndarray]:
+    late = then[0] > first[0][-1]
+    return _runs(np.concatenate([first[0], then[0][late]]),
+                 np.concatenate([_after(*then, first[1]), then[1][late]]), start)
 
 
 def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: float,
@@ -90,18 +99,16 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     ``cooldown_minutes`` after the previous sent one (ties on time: first by tiebreak).
 
     Only entities with more than ``hot_rows`` candidates (default ``spec.hot_rows``) are
-    cut into time segments; the others are one group each.  ``hot_rows=0`` segments all.
+    cut into segments of about as many rows, or of ``segment_minutes`` where given; the others
+    are one group each.  ``hot_rows=0`` segments all.
     """
     e = spec.entity
     tiebreak = list(spec.tiebreak)
     cooldown = int(round(cooldown_minutes * 60 * 1_000_000))
-    wanted = _DAY_US if segment_minutes is None else int(round(segment_minutes * 60 * 1_000_000))
-    seg_len = max(cooldown, wanted, 1)
     order = [spec.time, *spec.tiebreak]
     t_us = F.round(epoch_seconds(spec.time) * F.lit(1_000_000.0)).cast("long")
     keys = candidates.select(e, *order).withColumn(_US, t_us)
     limit = spec.hot_rows if hot_rows == -1 else hot_rows
-    seg = F.floor(F.col(_US) / F.lit(seg_len)).cast("long")
     any_split = True
     if limit is None:
         keys = keys.withColumn(_SPLIT, F.lit(False))
@@ -118,55 +125,16 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
             marks = (F.broadcast(candidates.sparkSession.createDataFrame(hot_list, hot.schema))
                      if len(hot_list) <= 100_000 else bounded(hot)[0]).withColumn(_SPLIT, F.lit(True))
             keys = keys.join(marks, e, "left").withColumn(_SPLIT, F.coalesce(F.col(_SPLIT), F.lit(False)))
-    keys = keys.withColumn(_SEG, F.when(F.col(_SPLIT), seg).otherwise(F.lit(0).cast("long")))
-    own = keys.withColumn(_CTX, F.lit(False))
-    # alerts within `cooldown` of the next segment start are possible incoming states there
-    nxt_start = (F.col(_SEG) + 1) * F.lit(seg_len)
-    ctx = keys.filter(F.col(_SPLIT) & (F.col(_US) >= nxt_start - F.lit(cooldown)))
-    ctx = ctx.withColumn(_SEG, F.col(_SEG) + 1).withColumn(_CTX, F.lit(True))
-    framed = (own.unionByName(ctx) if any_split and cooldown > 0 else own).filter(F.col(_SPLIT)).drop(_SPLIT)
-
-    ent_type = candidates.schema[e].dataType
-    tr_schema = T.StructType([T.StructField(e, ent_type), T.StructField(_SEG, T.LongType()),
-                              T.StructField("_in", T.LongType()), T.StructField("_out", T.LongType())])
-
-    def step1(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([_US, *tiebreak], kind="mergesort")
-        own_t = pdf.loc[~pdf[_CTX], _US].to_numpy(dtype="int64")
-        ctx_t = np.unique(pdf.loc[pdf[_CTX], _US].to_numpy(dtype="int64"))
-        rows = _transfer(own_t, ctx_t, cooldown)
-        return pd.DataFrame({e: pdf[e].iloc[0], _SEG: int(pdf[_SEG].iloc[0]),
-                             "_in": pd.array([r[0] for r in rows], dtype="Int64"),
-                             "_out": pd.array([r[1] for r in rows], dtype="Int64")})
-
-    transfer = framed.select(e, _SEG, _US, _CTX, *spec.tiebreak).groupBy(e, _SEG).applyInPandas(step1, tr_schema)
-
-    st_schema = T.StructType([T.StructField(e, ent_type), T.StructField(_SEG, T.LongType()),
-                              T.StructField("_state", T.LongType())])
-
-    def step2(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one row per (segment, incoming state) of one entity: small
-        table = {(int(r[_SEG]), None if pd.isna(r["_in"]) else int(r["_in"])):
-                 (None if pd.isna(r["_out"]) else int(r["_out"])) for _, r in pdf.iterrows()}
-        segs = sorted({k[0] for k in table})
-        state, out = None, []
-        for s in segs:
-            if state is not None and state <= s * seg_len - cooldown:
-                state = None
-            out.append((s, state))
-            state = table.get((s, state), state)
-        return pd.DataFrame({e: pdf[e].iloc[0], _SEG: [s for s, _ in out],
-                             "_state": pd.array([v for _, v in out], dtype="Int64")})
-
-    states = transfer.groupBy(e).applyInPandas(step2, st_schema)
+    if any_split:
+        states, segments = _segment_states(keys.filter(_SPLIT).drop(_SPLIT), e, cooldown, segment_minutes, limit or spec.hot_rows or 100_000)
 
     out_schema = T.StructType([candidates.schema[c] for c in (e, *order)])
 
     def step3(pdf: pd.DataFrame) -> pd.DataFrame:
-        own_rows = pdf[~pdf[_CTX]].sort_values([_US, *tiebreak], kind="mergesort")
-        st = pdf["_state"].iloc[0]
-        sent, _ = _fold(own_rows[_US].to_numpy(dtype="int64"), cooldown, None if pd.isna(st) else int(st))
-        return own_rows.loc[sent, [e, *order]]
+        pdf = pdf.sort_values([_US, *tiebreak], kind="mergesort")
+        st = int(pdf["_state"].iloc[0])
+        sent, _ = _fold(pdf[_US].to_numpy(dtype="int64"), cooldown, None if st == _NONE else st)
+        return pdf.loc[sent, [e, *order]]
 
     def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by (entity, time, tiebreak) within the partition, across
@@ -190,7 +158,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     sent = (plain.select(e, *order, _US).repartition(e).sortWithinPartitions(e, _US, *tiebreak)
             .mapInPandas(fold_sorted, out_schema))
     if any_split:
-        replay = framed.join(states, [e, _SEG], "left")
+        replay = join_nullsafe(segments, states, [e, _SEG], "left")
         sent = sent.unionByName(replay.groupBy(e, _SEG).applyInPandas(step3, out_schema))
     met = join_nullsafe(candidates, sent, [e, *order], "left_semi")
     # two candidates of one entity at one time without a tiebreak: one is sent
@@ -198,6 +166,62 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
     return met.withColumn("_nth", F.row_number().over(pick)).filter(F.col("_nth") == 1).drop("_nth")
 
 
+def _segment_states(rows: DataFrame, e: str, cooldown: int, segment_minutes: float | None,
+                    segment_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, segment, state before it) and the rows with their segment."""
+    if segment_minutes is None:
+        n = max(1, -(-rows.count() // segment_rows))
+        rows = rows.repartitionByRange(n, e, _US).withColumn(_SEG, F.spark_partition_id().cast("long"))
+    else:
+        seg_len = max(int(round(segment_minutes * 60 * 1_000_000)), 1)
+        first = rows.agg(F.min(_US)).first()[0] or 0  # segments are numbered from 0
+        rows = rows.withColumn(_SEG, F.floor((F.col(_US) - F.lit(first)) / F.lit(seg_len)).cast("long"))
+    rows = written(rows, "alert-segments")  # range bounds are sampled: the segments stay as they are
+    ent = rows.schema[e]
+    fn_schema = T.StructType([ent, T.StructField(_SEG, T.LongType()), T.StructField("_from", T.LongType()),
+                              T.StructField("_at", T.ArrayType(T.LongType())), T.StructField("_out", T.ArrayType(T.LongType()))])
+    st_schema = T.StructType([ent, T.StructField(_SEG, T.LongType()), T.StructField("_state", T.LongType())])
+
+    def function_row(entity, seg, start, at, out) -> pd.DataFrame:
+        return pd.DataFrame({e: [entity], _SEG: [int(seg)], "_from": [int(start)], "_at": [at.tolist()], "_out": [out.tolist()]})
+
+    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(pdf[_US].to_numpy(dtype="int64"))
+        return function_row(pdf[e].iloc[0], pdf[_SEG].iloc[0], own[0], *_transfer(own, cooldown))
+
+    def functions(pdf: pd.DataFrame) -> list:
+        return [(np.asarray(a, dtype="int64"), np.asarray(o, dtype="int64")) for a, o in zip(pdf["_at"], pdf["_out"])]
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_SEG)
+        start, (fn, *others) = int(pdf["_from"].iloc[0]), functions(pdf)
+        for f in others:
+            fn = _composed(fn, f, start)
+        return function_row(pdf[e].iloc[0], pdf[_NODE].iloc[0], start, *fn)
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_SEG)
+        state, states = pdf["_state"].iloc[0], []
+        for f in functions(pdf):
+            states.append(int(state))
+            state = _after(*f, np.int64(state))
+        return pd.DataFrame({e: pdf[e], _SEG: pdf[_SEG], "_state": states})
+
+    node = F.floor(F.col(_SEG) / F.lit(_FAN)).cast("long")
+    levels = [written(rows.select(e, _SEG, _US).groupBy(e, _SEG).applyInPandas(leaf, fn_schema), "alert-functions")]
+    while True:
+        ends = levels[-1].agg(F.min(_SEG).alias("lo"), F.max(_SEG).alias("hi")).first()
+        if ends["lo"] is None or ends["lo"] == ends["hi"]:
+            break
+        levels.append(written(levels[-1].withColumn(_NODE, node).groupBy(e, _NODE).applyInPandas(up, fn_schema), "alert-functions"))
+    states = levels[-1].select(e, _SEG, F.lit(_NONE).cast("long").alias("_state"))
+    for level in levels[-2::-1]:
+        above = states.withColumnRenamed(_SEG, _NODE)
+        states = (join_nullsafe(level.withColumn(_NODE, node), above, [e, _NODE], "left")
+                  .groupBy(e, _NODE).applyInPandas(down, st_schema))
+    return states, rows
+
+
 def alert_payload(alerts: DataFrame, spec: PanelSpec, prob: str = "failure_probability",
                   level: str = "risk_level") -> DataFrame:
     """Alert card: entity, probability, band and a JSON payload (``to_json``)."""

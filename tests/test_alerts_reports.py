@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelwise.sources.reports import parse_reports, to_reports
@@ -64,6 +65,39 @@ def test_cooldown_mixed_hot_and_plain(spark):
         assert sorted(got.get(ent, [])) == _brute({m for e, m in data if e == ent}, 45), ent
 
 
+def test_cooldown_segments_follow_row_counts(spark, monkeypatch):
+    import random
+
+    from panelwise.streaming import alerts
+    rng = random.Random(7)
+    base = dt.datetime(2026, 1, 1)
+    data = [("big", rng.randint(0, 1400)) for _ in range(900)] + [("long", rng.randint(0, 90000)) for _ in range(900)]
+    df = spark.createDataFrame([(e, base + dt.timedelta(minutes=m)) for e, m in data],
+                               "serial_number string, timestamp timestamp_ntz").dropDuplicates()
+    sizes, inner = [], alerts._segment_states
+
+    def seen(*args):
+        states, rows = inner(*args)
+        sizes.extend(r["count"] for r in rows.groupBy("serial_number", alerts._SEG).count().collect())
+        return states, rows
+
+    monkeypatch.setattr(alerts, "_segment_states", seen)
+    monkeypatch.setattr(alerts, "_FAN", 3)
+    for cooldown in (45, 2880):  # all of "big" is one day, and within one long cooldown
+        got = {}
+        for r in cooldown_alerts(df, SPEC, cooldown, hot_rows=60).collect():
+            got.setdefault(r.serial_number, []).append(int((r.timestamp - base).total_seconds() // 60))
+        for ent in ("big", "long"):
+            assert sorted(got[ent]) == _brute({m for e, m in data if e == ent}, cooldown), (cooldown, ent)
+    assert len(sizes) > 40 and max(sizes) <= 180
+
+
+def test_cooldown_transfer_is_a_few_runs():
+    from panelwise.streaming.alerts import _transfer
+    at, out = _transfer(np.arange(0, 100_000, 7), 50)
+    assert len(at) == len(out) <= 9 and (out[1:] != out[:-1]).all()
+
+
 def test_cooldown_stream_keeps_state(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     src = tmp_path / "alerts"
