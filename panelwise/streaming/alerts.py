@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import epoch_seconds
-from ..llm.common import written
 from ..plans.broadcast import bounded
 from ..plans.joins import join_nullsafe
+from ..plans.materialize import written
 from ..spec import PanelSpec
 
 # the pandas functions below run in Python workers that may not have this package on
@@ -124,7 +124,7 @@ def cooldown_alerts(candidates: DataFrame, spec: PanelSpec, cooldown_minutes: fl
         else:
             marks = (F.broadcast(candidates.sparkSession.createDataFrame(hot_list, hot.schema))
                      if len(hot_list) <= 100_000 else bounded(hot)[0]).withColumn(_SPLIT, F.lit(True))
-            keys = keys.join(marks, e, "left").withColumn(_SPLIT, F.coalesce(F.col(_SPLIT), F.lit(False)))
+            keys = join_nullsafe(keys, marks, [e], "left").withColumn(_SPLIT, F.coalesce(F.col(_SPLIT), F.lit(False)))
     if any_split:
         states, segments = _segment_states(keys.filter(_SPLIT).drop(_SPLIT), e, cooldown, segment_minutes, limit or spec.hot_rows or 100_000)
 

@@ -10,13 +10,12 @@ thresholds/statistics instead and are not recomputed here.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.features import FeatureGroup, add_features
 from ..plans.joins import join_nullsafe
+from ..plans.materialize import fresh_dir, shared_dir  # noqa: F401
 from ..spec import PanelSpec
 
 NEW = "_is_new"
@@ -69,20 +68,6 @@ def kept_context(rows: DataFrame, spec: PanelSpec, k: int, late_delay: str) -> D
     return old.unionByName(rows.filter(F.col(spec.time) >= cut))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), as configured on the session."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    return d.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelwise-{name}-{uuid.uuid4().hex}"
-
-
 EVENT_TIME = "_event_time"
 
 
