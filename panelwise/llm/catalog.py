@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from . import alignment as q12
 from . import bpe as q1
 from . import embeddings as q5
+from . import fingerprint as q13
 from . import html_text as q7
+from . import importance as q11
 from . import lm as q4
 from . import minhash as q3
 from . import packing as q2
@@ -73,8 +76,8 @@ def op6(spark, sf_dir):
 
 
 #: Vocabulary files are read where they lie; the folder is that of the installed package.
-BYTE_RANKS, BYTE_JSON, WORD_JSON = (public_tokenizers.path(n) for n in (
-    "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
+BYTE_RANKS, BYTE_JSON, WORD_JSON, PIECE_MODEL = (public_tokenizers.path(n) for n in (
+    "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
 
 @_query("op1_byte_bpe")
@@ -139,3 +142,18 @@ def op5(spark, sf_dir):
 @_query("op4_lm_scores")
 def op4(spark, sf_dir):
     return q4.scores(_documents(spark, sf_dir))
+
+
+@_query("op11_importance_resampling")
+def op11(spark, sf_dir):
+    return q11.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return q12.aligned(_documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN, PIECE_MODEL)
+
+
+@_query("op13_fingerprints")
+def op13(spark, sf_dir):
+    return q13.compared(_documents(spark, sf_dir))

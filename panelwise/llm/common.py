@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
 import types
-import uuid
 from typing import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import shared_dir, written  # noqa: F401
+
 # functions that run in Python workers are shipped by value: workers may lack this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -65,9 +64,9 @@ class BoundedMemo(dict):
         return out
 
 
-def map_arrow(df: DataFrame, fn: Callable[[dict], dict | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with plain columns: ``fn`` gets {name: list} for a slice of a batch of
-    at most 8 MB of input and returns {name: list or numpy array} or None."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, size: float = 8e6) -> DataFrame:
+    """``mapInArrow``: ``fn`` gets slices of a batch of about ``size`` bytes of input and returns
+    {name: list, numpy array or Arrow array} or None."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -75,37 +74,19 @@ def map_arrow(df: DataFrame, fn: Callable[[dict], dict | None], schema: str) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * 8e6 / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
             for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                out = fn({n: part.column(n).to_pylist() for n in part.schema.names})
+                out = fn(batch.slice(i, step))
                 if out is not None:
-                    cols = [pa.array(out[f.name], type=f.type) for f in target]
+                    cols = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f in target for c in [out[f.name]]]
                     yield pa.RecordBatch.from_arrays(cols, schema=target)
 
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(df_or_spark) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).  Where it is unset, a
-    session in one JVM takes a temporary folder; on a cluster that is an error."""
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not d and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelwise-"))
-        d = sc.getCheckpointDir()
-    if not d:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    return d
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, and
-    a lost executor re-reads files instead of repeating the work."""
-    path = f"{shared_dir(df)}/panelwise-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def map_arrow(df: DataFrame, fn: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """``map_batches`` with plain columns: ``fn`` gets {name: list}."""
+    return map_batches(df, lambda part: fn({n: part.column(n).to_pylist() for n in part.schema.names}), schema)
 
 
 def text_rows(df: DataFrame, id_col: str, text_col: str, out_id: str, out_text: str = "text") -> DataFrame:
