@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..functions.scalar import r6
 from ..operators import clean, ml, split
+from ..operators import smote as synthetic
 from ..plans.materialize import materialize
 from ..operators import features as fe
 from ..sources.tables import EVENT_SPEC, event_panel
 from ..streaming.incremental import fresh_dir
 from . import register
-from .common import E, P1, TS
+from .common import E, P1, TS, rounded, sql_r6
 
 SMALL_RF = dict(numTrees=20, maxDepth=5, minInstancesPerNode=5, maxBins=32)
 SMALL_GBT = dict(maxIter=10, maxDepth=3)
@@ -200,3 +202,41 @@ def retrain_window(spark, sf_dir):
                               "lr", maxIter=20)
     recent = stored.filter(F.col("timestamp") >= F.date_sub(F.to_date(last), 2).cast("timestamp_ntz"))
     return ml.score(model, recent, KEYS)
+
+
+_SMOTE = ["m_value", "m_purchase", "m_error", "n_events"]
+_SMOTE_K, _SMOTE_RATIO = 5, 0.5
+
+
+def _draw(what: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '42', '{what}', key, CAST(sample AS VARCHAR))), 1, 8) AS BIGINT)"
+
+
+def _mix(i: int) -> str:
+    return sql_r6(f"s.x{i} + w * (b.x{i} - s.x{i})")
+
+
+_SMOTE_SQL = (
+    f"{P1}, a AS (SELECT concat_ws('|', {E}, CAST({_DAYNO} AS VARCHAR)) AS key, failure, "
+    + ", ".join(f"{sql_r6(f'coalesce(CAST({c} AS DOUBLE), 0.0)')} AS x{i}" for i, c in enumerate(_SMOTE)) + " FROM p), "
+    "m AS (SELECT DISTINCT key, x0, x1, x2, x3 FROM a WHERE failure = 1), "
+    "c AS (SELECT (SELECT count(*) FROM m) AS n, (SELECT count(*) FROM a WHERE failure <> 1) AS others), "
+    f"t AS (SELECT n, CASE WHEN n > 1 THEN greatest(0, CAST(floor({_SMOTE_RATIO} * others) AS BIGINT) - n) ELSE 0 END AS total FROM c), "
+    "d AS (SELECT u.key AS key, v.key AS nkey, " + " + ".join(f"(u.x{i} - v.x{i}) * (u.x{i} - v.x{i})" for i in range(4)) + " AS d2 "
+    "FROM m u JOIN m v ON u.key <> v.key), "
+    f"k AS (SELECT key, nkey, row_number() OVER (PARTITION BY key ORDER BY d2, nkey) AS rn FROM d QUALIFY rn <= {_SMOTE_K}), "
+    "r AS (SELECT m.*, row_number() OVER (ORDER BY md5('42|' || key), key) AS nth FROM m), "
+    "e AS (SELECT r.*, t.n, t.total // t.n + CASE WHEN nth <= t.total % t.n THEN 1 ELSE 0 END AS each FROM r, t), "
+    "s AS (SELECT key, x0, x1, x2, x3, n, unnest(range(each)) AS sample FROM e), "
+    f"g AS (SELECT *, {_draw('n')} % least({_SMOTE_K}, n - 1) + 1 AS pick, {_draw('w')} / 4294967296.0 AS w FROM s) "
+    f"SELECT s.key, CAST(s.sample AS INTEGER) AS sample, k.nkey AS neighbour, {sql_r6('w')} AS weight, "
+    + ", ".join(f"{_mix(i)} AS {c}" for i, c in enumerate(_SMOTE)) + ", CAST(1 AS INTEGER) AS failure "
+    "FROM g s JOIN k ON k.key = s.key AND k.rn = s.pick JOIN m b ON b.key = k.nkey")
+
+
+@register("smote", _SMOTE_SQL)
+def smote(spark, sf_dir):
+    """ML16: failure rows filled up to half of the others by interpolation between exact neighbours."""
+    p = event_panel(spark, sf_dir).withColumn("_dayno", F.unix_date(F.to_date("timestamp")))
+    p = p.select(E, "_dayno", "failure", *[r6(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in _SMOTE])
+    return rounded(synthetic.smote(p, [E, "_dayno"], _SMOTE, k=_SMOTE_K, ratio=_SMOTE_RATIO))
