@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..sources.reports import parse_reports, to_reports
 from ..sources.tables import EVENT_SPEC, event_panel
+from ..plans.materialize import written
+from ..streaming.alert_stream import replay
 from ..streaming.alerts import cooldown_alerts
 from ..streaming.incremental import fresh_dir, incremental_features, score_stream
 from . import register
@@ -87,3 +89,26 @@ def stream_scores(spark, sf_dir):
     score_stream(spark, src, schema, EVENT_SPEC, [fe.rolling(("mean",), (7,))], score,
                  f"{base}/scores", f"{base}/context", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/scores").drop("batch")
+
+
+@register("stream_alerts", _ALERT_SQL)
+def stream_alerts(spark, sf_dir):
+    """STR3 as a stream: the high-risk rows arrive in five files, up to two days late, and a far row
+    of another disk moves the watermark past them; the same alerts as ``alert_cooldown``."""
+    s = scored(spark, sf_dir).filter(F.col("risk_level") == "high").select(E, "timestamp", "failure_probability")
+    s = s.withColumn("arrival", F.unix_date(F.to_date("timestamp")) + F.pmod(F.xxhash64(E, "timestamp"), F.lit(3)).cast("int"))
+    base, n = fresh_dir(spark, "alert-stream"), 5
+    s = written(s, "alert-arrivals")
+    lo, hi = s.agg(F.min("arrival"), F.max("arrival")).first()
+    rows = s.drop("arrival")
+    if lo is not None:
+        part = F.least(F.floor((F.col("arrival") - lo) * n / F.lit(hi - lo + 1)), F.lit(n - 1))
+        for i in range(n):  # one after another: the source takes files by age
+            s.filter(part == i).drop("arrival").repartition(1).write.parquet(f"{base}/in/part{i}")
+        for i, days in enumerate((400, 800)):
+            end = spark.range(1).select(F.lit("end").alias(E), F.date_add(F.lit("1970-01-01").cast("date"), hi + days)
+                                        .cast("timestamp_ntz").alias("timestamp"), F.lit(0.0).alias("failure_probability"))
+            end.write.parquet(f"{base}/in/x{i}")
+        replay(spark, f"{base}/in", rows.schema, EVENT_SPEC, _COOLDOWN_MIN, f"{base}/out", f"{base}/checkpoint", "3 days", 1)
+        rows = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out").filter(F.col(E) != "end")
+    return rounded(rows.select(E, "timestamp", "failure_probability"))
