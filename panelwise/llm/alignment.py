@@ -8,7 +8,7 @@ a start reaches it; inside, each A token is linked with the B tokens that it ove
 
 How many documents hold an id pair linked is counted in three steps, without a row for each link:
 
-1. a block of documents (one Arrow slice, about 8 MB of text) writes its distinct pairs with the
+1. a block of documents (one Arrow slice, about 3 MB of text) writes its distinct pairs with the
    number of its documents that hold them, its chunks as lists of those pairs, and its documents
    as lists of those chunks;
 2. pairs are summed over blocks and joined back to the blocks (a row for a block and pair);
@@ -191,6 +191,16 @@ class Block:
         return ["".join(parts[x:y]) for x, y in zip([0, *ends], ends)]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in two or four bytes each, after a byte that says which."""
+    kind = "<u2" if not len(x) or x.max() < 65_536 else "<u4"
+    return kind[2].encode() + x.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
+
+
 def _block_rows(batch: pa.RecordBatch, t: Tokenizers, block: int) -> dict:
     """Pairs, chunks and documents of one block as rows."""
     bounds, codes, chunks = chunked(batch.column("text"))
@@ -217,8 +227,8 @@ def _block_rows(batch: pa.RecordBatch, t: Tokenizers, block: int) -> dict:
     for c in cuts:
         n = b.n_links[c:c + step]
         links = b.pair_of[b.link_start[c]:b.link_start[c] + n.sum()] if len(n) else b.pair_of[:0]
-        bodies.append(np.concatenate([[len(n)], n, links]).astype("<i4").tobytes())
-    wire = codes.astype("<i4")
+        sizes = _packed(n)
+        bodies.append(len(sizes).to_bytes(4, "little") + sizes + _packed(links))
     n_p, n_c = len(b.pairs), len(bodies)
     none = lambda k: [None] * k
     per_doc = [sums_between(x[codes], bounds) for x in (b.n_a, b.n_b, b.n_groups, b.n_links)]
@@ -228,7 +238,7 @@ def _block_rows(batch: pa.RecordBatch, t: Tokenizers, block: int) -> dict:
            "a": [*(b.pairs >> 32).tolist(), *none(n_c + n_docs)], "b": [*(b.pairs & 0xFFFFFFFF).tolist(), *none(n_c + n_docs)],
            "n": [*df.tolist(), *none(n_c + n_docs)], "doc_id": [*none(n_p + n_c), *batch.column("doc_id").to_pylist()],
            "groups_sha256": [*none(n_p + n_c), *shas],
-           "body": [*none(n_p), *bodies, *[wire[i:j].tobytes() for i, j in zip(bound_list, bound_list[1:])]]}
+           "body": [*none(n_p), *bodies, *[_packed(codes[i:j]) for i, j in zip(bound_list, bound_list[1:])]]}
     for name, values in zip(("n_a", "n_b", "n_groups", "n_links"), per_doc):
         out[name] = [*none(n_p + n_c), *values.tolist()]
     return out
@@ -245,11 +255,11 @@ class _Reader:
         count, best = (np.concatenate([np.empty(0, np.int64), *x]) for x in (self.counts, self.best))
         sizes, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for body in self.bodies:
-            x = np.frombuffer(body, "<i4")
-            sizes.append(x[1:1 + x[0]].astype(np.int64))
-            links.append(x[1 + x[0]:])
+            n = 4 + int.from_bytes(body[:4], "little")
+            sizes.append(_unpacked(body[4:n]))
+            links.append(_unpacked(body[n:]))
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        link = np.concatenate(links).astype(np.int64)
+        link = np.concatenate(links)
         self.sums = (sums_between(best[link], bounds), sums_between(count[link], bounds))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +283,7 @@ class _Reader:
                 else:
                     if self.sums is None:
                         self._settle()
-                    codes = [np.frombuffer(x, "<i4") for x in part.column("body").to_pylist()]
+                    codes = [_unpacked(x) for x in part.column("body").to_pylist()]
                     ends = np.cumsum([0, *map(len, codes)])
                     flat = np.concatenate(codes)
                     n_best, count_sum = (pa.array(sums_between(s[flat], ends)) for s in self.sums)
@@ -282,7 +292,7 @@ class _Reader:
 
 
 def aligned(df: DataFrame, ranks_path: str, pattern: str, model_path: str, id_col: str = "doc_id",
-            text_col: str = "text", block_bytes: float = 8e6) -> DataFrame:
+            text_col: str = "text", block_bytes: float = 3e6) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     state = {"n": 0}
 
