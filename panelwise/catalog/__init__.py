@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import cleaning, features, io, models, quality, reports, scaling, scoring, streams  # noqa: F401
+    from . import cleaning, features, io, learning, models, quality, reports, scaling, scoring, streams  # noqa: F401

@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -154,6 +154,51 @@ def early_stop_gbt(df: DataFrame, features: list[str], valid_col: str, label: st
     return pipeline(features, est).fit(df)
 
 
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(best round from 1, whether ``patience`` rounds after it were no better)."""
+    best = min(range(len(losses)), key=lambda i: (losses[i], i))
+    for i in range(len(losses)):  # the first round that stands for ``patience`` rounds decides
+        if min(losses[:i + 1]) == losses[i] and len(losses) > i + patience and min(losses[i + 1:i + 1 + patience]) >= losses[i]:
+            return losses.index(min(losses[:i + 1])) + 1, True
+    return best + 1, False
+
+
+def cut_ensemble(model: PipelineModel, rounds: int) -> PipelineModel:
+    """A boosted pipeline with its first ``rounds`` trees only."""
+    last = model.stages[-1]
+    sc = SparkSession.getActiveSession().sparkContext
+    java, gateway = last._java_obj, sc._gateway
+    trees = gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], float(java.treeWeights()[i])
+    short = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    out = GBTClassificationModel(short)
+    for p in ("featuresCol", "predictionCol", "probabilityCol", "rawPredictionCol"):
+        short.set(short.getParam(p), last.getOrDefault(p))
+    out._resetUid(java.uid())
+    out._transfer_params_from_java()
+    return PipelineModel([*model.stages[:-1], out])
+
+
+def patient_gbt(train: DataFrame, valid: DataFrame, features: list[str], label: str = "failure", patience: int = 50,
+                max_iter: int = 1000, first: int = 16, **params) -> tuple[PipelineModel, list[float]]:
+    """ML9: boosting stops once ``patience`` rounds after the best one have not lowered the loss on the
+    ``valid`` rows, and the model is cut at that round.  Returns it and the loss of each round fitted.
+
+    Rounds are fitted 16, 32, 64, ... at a time (the seed makes the first ones the same each time), so
+    at most about twice the rounds needed are fitted.  The losses are Spark's own per-round
+    evaluation, one pass over the validation rows."""
+    rounds = min(first, max_iter)
+    while True:
+        model = pipeline(features, estimator("gbt", label, **{**params, "maxIter": rounds})).fit(train)
+        losses = list(model.stages[-1].evaluateEachIteration(PipelineModel(model.stages[:-1]).transform(valid)))
+        best, settled = best_round(losses, patience)
+        if settled or rounds >= max_iter:
+            return cut_ensemble(model, best), losses
+        rounds = min(2 * rounds, max_iter)
+
+
 def with_class_weights(df: DataFrame, label: str = "failure", name: str = "class_weight") -> DataFrame:
     """ML15: weight column ``N / (K n_k)`` joined by label (K rows, size checked).  Unlabelled
     rows are kept with weight 1 and do not count towards N or K."""
