@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..sources.readers import raw_schema, read_csv, read_features, read_raw
 from ..sources.tables import EVENT_SPEC, SHIP_SPEC, event_panel, ship_panel
-from ..streaming.incremental import fresh_dir
+from ..plans.materialize import fresh_dir, written
+from ..sinks import manifest
 from . import ORACLE, register
 from . import scaling  # noqa: F401  its SQL is used below
 from ..operators import scale
@@ -78,3 +79,22 @@ def records_roundtrip(spark, sf_dir):
     p = event_panel(spark, sf_dir).select(E, "failure", "n_events", "m_value")
     sinks.write_records(p, path)
     return rounded(spark.read.schema(p.schema).json(path))
+
+
+@register("append_once", f"{P1} SELECT {E}, {TS}, failure, m_value, m_purchase, m_error FROM p")
+def append_once(spark, sf_dir):
+    """SNK3 with rollback: three batches by day, one staged and never committed, one appended twice, one
+    rolled back and appended again; every row is there once."""
+    root = fresh_dir(spark, "store")
+    p = written(event_panel(spark, sf_dir).select(E, "timestamp", "failure", "m_value", "m_purchase", "m_error"), "append-rows")
+    last = p.select(F.max("timestamp")).scalar()
+    days = F.datediff(F.to_date(last), F.to_date("timestamp"))
+    parts = [p.filter(days >= 15), p.filter((days >= 5) & (days < 15)), p.filter(days < 5)]
+    manifest.append(parts[0], root, EVENT_SPEC, "old")
+    manifest.stage(parts[1], root, EVENT_SPEC)  # a writer that failed before its commit
+    first = manifest.append(parts[1], root, EVENT_SPEC, "middle")
+    manifest.append(parts[1], root, EVENT_SPEC, "middle")
+    manifest.append(parts[0], root, EVENT_SPEC, "wrong")
+    manifest.rollback(spark, root, first)
+    manifest.append(parts[2], root, EVENT_SPEC, "new")
+    return manifest.read(spark, root).select(*p.columns)
