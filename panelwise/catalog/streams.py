@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
+from ..operators import scale, sketches
 from ..sources.reports import parse_reports, to_reports
 from ..sources.tables import EVENT_SPEC, event_panel
 from ..plans.materialize import written
 from ..streaming.alert_stream import replay
 from ..streaming.alerts import cooldown_alerts
-from ..streaming.incremental import fresh_dir, incremental_features, score_stream
+from ..streaming import saved_state
+from ..streaming.incremental import fresh_dir, incremental_features, latest_scores, score_stream
 from . import register
 from .common import E, P1, TS, rounded, sql_frame, sql_r6, sql_w  # noqa: F401
 from .scoring import P3, scored
@@ -112,3 +114,90 @@ def stream_alerts(spark, sf_dir):
         replay(spark, f"{base}/in", rows.schema, EVENT_SPEC, _COOLDOWN_MIN, f"{base}/out", f"{base}/checkpoint", "3 days", 1)
         rows = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out").filter(F.col(E) != "end")
     return rounded(rows.select(E, "timestamp", "failure_probability"))
+
+
+_STATE_W = (7, 14)
+_STATE_SQL = (
+    f"{P1}, q AS (SELECT {E}, quantile_cont(m_value, 0.9) AS t FROM p GROUP BY {E}), "
+    "z AS (SELECT avg(m_value) AS mu, stddev_samp(m_value) AS sd, min(m_value) AS lo, max(m_value) AS hi FROM p), "
+    f"f AS (SELECT p.{E}, p.{TS}, m_value, " + ", ".join(
+        f"CASE WHEN count(*) {sql_frame(w).replace('PARTITION BY ' + E, 'PARTITION BY p.' + E)} >= {w} "
+        f"THEN CAST(sum(CASE WHEN m_value > t THEN 1 ELSE 0 END) {sql_frame(w).replace('PARTITION BY ' + E, 'PARTITION BY p.' + E)} AS DOUBLE) ELSE 0.0 END AS m_value_spike_{w}d"
+        for w in _STATE_W) + f" FROM p JOIN q ON p.{E} = q.{E}) "
+    f"SELECT {E}, {TS}, {', '.join(f'm_value_spike_{w}d' for w in _STATE_W)}, {sql_r6('(m_value - mu) / sd')} AS m_value_z, "
+    f"{sql_r6('(m_value - lo) / (hi - lo)')} AS m_value_unit, {sql_r6('least(greatest(m_value, mu - 3 * sd), mu + 3 * sd)')} AS m_value_clip "
+    f"FROM f, z WHERE {TS} >= (SELECT max({TS}) - INTERVAL 2 DAY FROM p)")
+
+
+@register("incremental_state", _STATE_SQL)
+def incremental_state(spark, sf_dir):
+    """STR1 with saved statistics: two older increments leave their state; the last three days get spike
+    counts, scaling and clipping as if the whole history had been read."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "m_value")
+    last = p.select(F.max("timestamp")).scalar()
+    days = F.datediff(F.to_date(last), F.to_date("timestamp"))
+    new, hist, m = p.filter(days <= 2), p.filter(days > 2), ["m_value"]
+    parts = [written(saved_state.state_of(p.filter(c), EVENT_SPEC, m), "state") for c in (days > 10, (days > 2) & (days <= 10))]
+    state = written(saved_state.merged(EVENT_SPEC, *parts), "state")
+    out = incremental_features(hist, new, EVENT_SPEC, [fe.spikes(_STATE_W, 0.9)], m, state)
+    whole = written(saved_state.merged(EVENT_SPEC, state, saved_state.state_of(new, EVENT_SPEC, m)), "state")
+    z = scale.transform_zscore(out, saved_state.zscore_stats(whole, m), m, True).withColumnRenamed("m_value_scaled", "m_value_z")
+    unit = scale.transform_minmax(z, saved_state.minmax_stats(whole, m), m, True).withColumnRenamed("m_value_scaled", "m_value_unit")
+    clip = saved_state.clipped(unit, whole, m).withColumnRenamed("m_value", "m_value_clip")
+    return rounded(clip.select(E, "timestamp", *[f"m_value_spike_{w}d" for w in _STATE_W], "m_value_z", "m_value_unit", "m_value_clip"))
+
+
+_LATE_SQL = (f"{P1}, f AS (SELECT {E}, {TS}, avg(m_value) {sql_frame(7)} AS m_value_mean_7d, "
+             "1.0 / (1.0 + exp(-(CAST(-3.0 AS DOUBLE) + CAST(0.02 AS DOUBLE) * m_value + CAST(0.7 AS DOUBLE) * n_events))) AS failure_probability FROM p) "
+             f"SELECT {E}, {TS}, {sql_r6('m_value_mean_7d')} AS m_value_mean_7d, {sql_r6('failure_probability')} AS failure_probability FROM f")
+
+
+@register("restated_scores", _LATE_SQL)
+def restated_scores(spark, sf_dir):
+    """STR2 with late rows: readings arrive in four files, up to three days late; rows that follow a late
+    one are scored anew, and the last word on each row is that of the full table."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "m_value", "n_events")
+    p = written(p.withColumn("arrival", F.unix_date(F.to_date("timestamp")) + F.pmod(F.xxhash64(E, "timestamp"), F.lit(4)).cast("int")), "arrivals")
+    base, n = fresh_dir(spark, "late"), 4
+    lo, hi = p.agg(F.min("arrival"), F.max("arrival")).first()
+    rows = p.drop("arrival")
+
+    def score(feats):
+        z = F.lit(-3.0) + F.lit(0.02) * F.col("m_value") + F.lit(0.7) * F.col("n_events")
+        return feats.select(E, "timestamp", "m_value_mean_7d", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("failure_probability"), "replaced")
+
+    schema = f"{E} string, timestamp timestamp_ntz, m_value_mean_7d double, failure_probability double, replaced boolean"
+    if lo is None:
+        return spark.createDataFrame([], schema).drop("replaced")
+    part = F.least(F.floor((F.col("arrival") - lo) * n / F.lit(hi - lo + 1)), F.lit(n - 1))
+    for i in range(n):
+        p.filter(part == i).drop("arrival").repartition(1).write.mode("append").parquet(f"{base}/in")
+    score_stream(spark, f"{base}/in", rows.schema, EVENT_SPEC, [fe.rolling(("mean",), (7,))], score,
+                 f"{base}/scores", f"{base}/context", f"{base}/checkpoint", 1, "5 days", restate=True)
+    full = spark.createDataFrame([], schema).schema
+    return rounded(latest_scores(spark, f"{base}/scores", full, EVENT_SPEC).select(E, "timestamp", "m_value_mean_7d", "failure_probability"))
+
+
+_KLL_Q = (0.1, 0.25, 0.5, 0.75, 0.9)
+_KLL_SQL = (f"{P1}, w AS (SELECT * FROM p WHERE CAST({TS} AS DATE) > (SELECT max(CAST({TS} AS DATE)) - 14 FROM p)), "
+            + "v AS (" + " UNION ALL ".join(f"SELECT '{m}' AS measure, count({m}) AS n FROM w" for m in ("m_value", "m_error")) + ") "
+            "SELECT measure, CAST(q AS DOUBLE) AS q, n, TRUE AS within FROM v, (VALUES " + ", ".join(f"({q})" for q in _KLL_Q) + ") t(q)")
+
+
+@register("kll_quantiles", _KLL_SQL)
+def kll_quantiles(spark, sf_dir):
+    """AGG9, approximate: daily sketches merged over the last 14 days; each answer's true rank among the
+    window's rows is within the sketch's error."""
+    p, measures = event_panel(spark, sf_dir), ["m_value", "m_error"]
+    days = written(sketches.daily(p, EVENT_SPEC, measures), "sketches")
+    last = days.agg(F.max("day")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], "measure string, q double, n bigint, within boolean")
+    got = sketches.quantiles(sketches.window(days, F.date_sub(F.lit(last), 13), F.lit(last)), list(_KLL_Q))
+    rows = p.filter(F.to_date("timestamp") >= F.date_sub(F.lit(last), 13)).select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in measures])).alias("_s")).select("_s.*").filter("x is not null")
+    true = rows.join(F.broadcast(got), "measure").groupBy("measure", "q", "n").agg(  # ten answers
+        F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    eps = F.lit(sketches.rank_error()) * F.col("n") + 1
+    q = F.col("q") * F.col("n")
+    return true.select("measure", "q", "n", ((F.col("below") <= q + eps) & (F.col("upto") >= q - eps)).alias("within"))

@@ -144,8 +144,9 @@ def entity_thresholds(df: DataFrame, spec: PanelSpec, measures: list[str], q: fl
 
 
 def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
-                 measures: list[str] | None = None) -> DataFrame:
-    """Append the columns of every group for every measure present in ``df``."""
+                 measures: list[str] | None = None, thresholds: DataFrame | None = None) -> DataFrame:
+    """Append the columns of every group for every measure present in ``df``.  Spike thresholds may be
+    given (entity and one column a measure); else they are those of ``df``."""
     measures = spec.present(df) if measures is None else measures
     df = nan_as_null(df, measures)  # S3: the result must not depend on the path taken
     lookback = max([g.lookback for g in groups] + [0])
@@ -159,7 +160,9 @@ def add_features(df: DataFrame, spec: PanelSpec, groups: list[FeatureGroup],
     spike_qs = {g.spike_q for g in groups if g.spike_q is not None}
     if spike_qs:
         (q,) = spike_qs
-        if hot is None:
+        if thresholds is not None:
+            base = join_nullsafe(base, thresholds, [spec.entity], "left")
+        elif hot is None:
             # no hot entity: thresholds as whole-entity window aggregates, in the same
             # exchange and sort as the features (no second pass over the panel, no join);
             # each buffer holds one entity, at most hot_rows rows

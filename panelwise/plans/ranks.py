@@ -106,17 +106,17 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column],
 
 
 def group_quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str, float],
-                    parts: int | None = None) -> DataFrame:
+                    parts: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (``quantile_cont`` / ``percentile``) per group.
 
     NULL and NaN values are ignored; a group with no values is absent from the result.
     Equal values are first counted (partial aggregation), then positions come from a
     bucketed running count that restarts per group.  Output: ``groups`` + one double
-    column per entry of ``qs``.
+    column per entry of ``qs``.  A row stands for ``weight`` (a column) equal ones.
     """
-    v = (df.select(*groups, F.col(value).cast("double").alias("_v"))
+    v = (df.select(*groups, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
          .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    d = v.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    d = v.groupBy(*groups, "_v").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_c"))
     r = d.withColumn(PID, bucket_of(d, [*groups, "_v"], parts))
     w = Window.partitionBy(PID, *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     r2 = r.withColumn("_lc", F.sum("_c").over(w))
