@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..sources.readers import raw_schema, read_csv, read_features, read_raw
+from ..sources.readers import raw_schema, read_csv, read_features, read_raw, read_table
+from ..sources.reports import parse_reports, to_reports
 from ..sources.tables import EVENT_SPEC, SHIP_SPEC, event_panel, ship_panel
 from ..plans.materialize import fresh_dir, written
 from ..sinks import manifest
 from . import ORACLE, register
 from . import scaling  # noqa: F401  its SQL is used below
+from ..operators import features as fe
 from ..operators import scale
-from .common import E, P1, P2, TS, rounded, sql_r6
+from .common import E, P1, P2, TS, rounded, sql_frame, sql_r6
 
 
 @register("partitioned_roundtrip", f"{P2} SELECT {E}, {TS}, {sql_r6('m_qty')} AS m_qty, failure, "
@@ -98,3 +102,50 @@ def append_once(spark, sf_dir):
     manifest.rollback(spark, root, first)
     manifest.append(parts[2], root, EVENT_SPEC, "new")
     return manifest.read(spark, root).select(*p.columns)
+
+
+@register("table_roundtrip", f"{P1} SELECT {E}, {TS}, failure, m_value, m_purchase, m_error FROM p")
+def table_roundtrip(spark, sf_dir):
+    """SRC4: readings saved as a catalog table (its files in the shared folder) and read by name."""
+    name = f"readings_{uuid.uuid4().hex}"
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "failure", "m_value", "m_purchase", "m_error")
+    p.write.option("path", fresh_dir(spark, "table")).saveAsTable(name)
+    return read_table(spark, name)
+
+
+@register("rejected_reports", f"{P1}, w AS (SELECT CAST({TS} AS DATE) AS day, {E}, failure FROM p) "
+          "SELECT day, count(*) FILTER (failure = 1) AS rejected, count(*) FILTER (failure = 0) AS readings FROM w GROUP BY day")
+def rejected_reports(spark, sf_dir):
+    """SRC6: the report lines of failing disks are cut short; they are kept apart with their text."""
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "failure", "n_events")
+    whole = to_reports(p.filter("failure = 0"), {5: F.col("n_events")})
+    broken = to_reports(p.filter("failure = 1"), {5: F.col("n_events")}).select(F.expr("substr(value, 1, length(value) - 3)").alias("value"))
+    readings, rejected = parse_reports(whole.unionByName(broken))
+    day = F.to_date(F.regexp_extract("line", r'"timestamp":"([^"T]+)', 1))
+    both = rejected.select(day.alias("day"), F.lit(1).alias("r")).unionByName(
+        readings.select(F.to_date("timestamp").alias("day"), F.lit(0).alias("r")))
+    return both.groupBy("day").agg(F.count_if(F.col("r") == 1).alias("rejected"), F.count_if(F.col("r") == 0).alias("readings"))
+
+
+_LISTED = ["m_value", "m_purchase", "m_error", "m_value_lag_1d", "m_purchase_lag_1d", "m_error_lag_1d"]
+
+
+@register("feature_list", f"{P1} SELECT f.name AS feature, CAST(count(p.{E}) AS BIGINT) AS rows FROM p, (VALUES "
+          + ", ".join(f"('{c}')" for c in _LISTED) + ") f(name) GROUP BY 1")
+def feature_list(spark, sf_dir):
+    """SNK8: the feature columns of a feature table (identity, label and time left out), written, read back and
+    counted."""
+    f = fe.add_features(event_panel(spark, sf_dir).select(E, "timestamp", "failure", *EVENT_SPEC.measures), EVENT_SPEC, [fe.lags((1,))])
+    path = fresh_dir(spark, "features")
+    sinks.write_feature_list(spark, EVENT_SPEC.feature_columns(f), path)
+    names = spark.read.schema("ordinal int, feature string").parquet(path)
+    n = f.agg(F.count(F.lit(1)).alias("rows"))
+    return names.select("feature").join(F.broadcast(n))  # one row
+
+
+@register("absent_measure", f"{P1} SELECT {E}, {TS}, {sql_r6('coalesce(avg(m_value) ' + sql_frame(7) + ', 0)')} AS m_value_mean_7d FROM p")
+def absent_measure(spark, sf_dir):
+    """PRJ1: a configured measure that the data lacks is skipped."""
+    spec = EVENT_SPEC.with_(measures=("m_value", "m_temperature"))
+    p = event_panel(spark, sf_dir).select(E, "timestamp", "m_value")
+    return rounded(fe.add_features(p, spec, [fe.rolling(("mean",), (7,))]).drop("m_value"))

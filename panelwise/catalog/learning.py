@@ -131,3 +131,13 @@ def patience_gbt(spark, sf_dir):
     model, losses = ml.patient_gbt(train.filter("split = 'train'"), train.filter("split = 'test'"), feats, patience=5, max_iter=64, maxDepth=3)
     kept = model.stages[-1].getNumTrees
     return spark.createDataFrame([(i + 1, float(x), i < kept) for i, x in enumerate(losses)], "round int, loss double, kept boolean")
+
+
+@register("grid_search_folds")
+def grid_search_folds(spark, sf_dir):
+    """ML7 at full size: three tree counts by three depths, five folds by key hash; the best mean AUC."""
+    train, _, feats = _train_test(spark, sf_dir)
+    train = split.fold_column(train.withColumn("_dayno", F.unix_date(F.to_date("timestamp"))), [E, "_dayno"], 5, 42)
+    _, best = ml.grid_search(train, feats, "rf", {"numTrees": [5, 10, 20], "maxDepth": [3, 5, 7]}, folds=5, parallelism=4,
+                             fold_col="fold", minInstancesPerNode=5, maxBins=32)
+    return spark.range(1).select(F.lit(best).alias("best_cv_auc"))
