@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_nullsafe
+from .materialize import written
 
 PID = "_pid"
 _SAMPLES_PER_PART = 64
@@ -91,8 +92,12 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column],
     """Add, for each ``name -> expr`` in ``sums``, the running total of ``expr`` over the
     global ``order`` (current row included, NULLs first, NaN last).  ``order`` should be
     unique per row; callers whose NULL keys have no rank leave them out first."""
-    r = df.withColumn(PID, bucket_of(df, order, parts))
-    totals = r.groupBy(PID).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    # counted, sampled and summed from the keys and weights alone, written once: the plan behind
+    # ``df`` runs twice (here and for the scan), and no other column is written
+    keys = written(df.select(*order, *[v.alias(f"_sum_{k}") for k, v in sums.items()]), "ranks")
+    bucket = bucket_of(keys, order, parts)
+    r = df.withColumn(PID, bucket)
+    totals = keys.withColumn(PID, bucket).groupBy(PID).agg(*[F.sum(f"_sum_{k}").alias(k) for k in sums])
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(PID, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}")
                                    for k in sums])
@@ -117,6 +122,7 @@ def group_quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str,
     v = (df.select(*groups, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
          .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
     d = v.groupBy(*groups, "_v").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_c"))
+    d = written(d, "ranks")
     r = d.withColumn(PID, bucket_of(d, [*groups, "_v"], parts))
     w = Window.partitionBy(PID, *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     r2 = r.withColumn("_lc", F.sum("_c").over(w))
