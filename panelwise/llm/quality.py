@@ -73,8 +73,8 @@ def covered(ws: Column) -> Column:
     return _let(F.array_sort(F.transform(ws, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), marked)
 
 
-def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row with the counts that the rules use."""
+def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row per input row with the counts that the rules use (and the text as ``t``)."""
     stops = sorted({w for ws in STOP_WORDS.values() for w in ws})
     text = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     split = text.select("doc_id", "t", words(F.col("t")).alias("w"), lines(F.col("t")).alias("l"))
@@ -96,6 +96,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.size(F.filter(ln, lambda x: x.endswith("...") | x.endswith("\u2026"))).cast("long").alias("n_ellipsis"),
         F.size(F.filter(ln, lambda x: x.rlike("^[-*\u2022]"))).cast("long").alias("n_bullets"),
         F.size(F.filter(w, lambda x: x.isin(stops))).cast("long").alias("n_stops"),
+        *([t] if with_text else []),
     )
 
 
@@ -108,10 +109,10 @@ def verdict(rules=RULES) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """Counts, ratios and the verdict per row.  ``base_failed``: under 50 words, or over half
-    of the words in repeated three-word windows; ``kept``: not that, and every rule holds."""
-    m = measures(df, id_col, text_col)
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, with_text: bool = False) -> DataFrame:
+    """Counts, ratios and the verdict per row (and the text as ``t``).  ``base_failed``: under 50 words,
+    or over half of the words in repeated three-word windows; ``kept``: not that, and every rule holds."""
+    m = measures(df, id_col, text_col, with_text)
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     k = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     ratios = m.select(
@@ -124,4 +125,13 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ratios.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & verdict(rules)).alias("kept"), "n_lines", "symbol_word_ratio", "upper_word_ratio",
-        "dup_line_ratio", "stop_word_ratio")
+        "dup_line_ratio", "stop_word_ratio", *(["t"] if with_text else []))
+
+
+def good_rows(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``df``, all columns, whose text the rules keep (never a null one).  The text passes
+    through once, beside the other columns."""
+    others = [c for c in df.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row")
+    kept = quality_rules(df.select(row, F.col(f"`{text_col}`").alias("text")), "row", "text", rules, True).where("kept")
+    return kept.select(*[F.col("t").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in df.columns])
