@@ -1,23 +1,25 @@
 """A training-data pipeline over ``documents``: quality rules, near-duplicate removal, removal of
 repeated passages, packing.  Each stage calls one operator of ``panelwise.llm``; its result is
-written as Parquet and read again as the next stage's documents."""
+written as Parquet and read again as the next stage's documents.
+
+Null, empty and short texts go in the first stage; rows with null or repeated ids are documents
+of their own throughout; of exact and near copies the row of the smallest id stays (rows that are
+equal in id and text: one); texts of any length pass whole; an empty table gives an empty result;
+columns beyond those of documents stay in all but the last stage, under their names."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelwise.llm import minhash, packing, suffixes
 from panelwise.llm.common import written
-from panelwise.llm.quality import quality_rules
+from panelwise.llm.quality import good_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the rules reject go."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    verdict = quality_rules(docs.select(row.alias("row"), "text"), id_col="row")
-    return verdict.where("kept").select("doc_id.*")
+    return good_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
