@@ -39,6 +39,16 @@ def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         take = np.arange(len(texts))
         take[at] = len(texts) + np.arange(len(at))
         lists = pa.concat_arrays([clear, others]).take(pa.array(take))
+    return _numbered(lists)
+
+
+def split_at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(bounds, codes, distinct) as above, cut at every space and line feed, for tokenizers that
+    drop white space.  Chunks may be empty."""
+    return _numbered(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+
+
+def _numbered(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     words = lists.flatten().dictionary_encode()
     bounds = np.asarray(lists.offsets).astype(np.int64)
     return bounds - bounds[0], words.indices.to_numpy(), words.dictionary.to_pylist()

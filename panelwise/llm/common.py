@@ -48,20 +48,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class BoundedMemo(dict):
-    """``memo[key]`` computes and keeps ``fn(key)``; it is emptied when ``limit`` keys are
-    held, so memory stays bounded on any vocabulary (results do not depend on it)."""
+    """``memo[key]`` computes and keeps ``fn(key)``.  At most ``limit`` keys are held, in two
+    generations: when the new one is full the old one goes, and keys met again come over from
+    it, so frequent ones stay and memory is bounded on any vocabulary (results do not depend on it)."""
 
     def __init__(self, fn: Callable, limit: int = 500_000, longest: int = 64):
         super().__init__()
-        self._fn, self._limit, self._longest = fn, limit, longest
+        self._fn, self._limit, self._longest, self._old = fn, max(1, limit // 2), longest, {}
 
     def __missing__(self, key):
-        out = self._fn(key)
+        out = self._old.get(key)
+        if out is None:
+            out = self._fn(key)
+        self.keep(key, out)
+        return out
+
+    def known(self, key):
+        """The value, or None where it would have to be computed."""
+        out = self.get(key)
+        if out is None:
+            out = self._old.get(key)
+            if out is not None:
+                self.keep(key, out)
+        return out
+
+    def keep(self, key, value) -> None:
         if len(key) <= self._longest:
             if len(self) >= self._limit:
+                self._old = dict(self)
                 self.clear()
-            self[key] = out
-        return out
+            self[key] = value
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, size: float = 8e6) -> DataFrame:

@@ -4,8 +4,8 @@ For a piece of the splitting pattern, the encoding of a prefix is the encoding o
 prefix plus one token, and that last token is the only vocabulary entry ending there whose
 pair with the shorter prefix's last token BPE leaves unmerged.  Filling this from left to
 right stores the exact token count of *every* prefix, so totals, budgets and truncation
-points are read off without encoding again.  Pieces repeat, so counts are kept per piece in a
-bounded memo; whole texts are split and summed.
+points are read off without encoding again.  Words repeat, so texts are cut into chunks at single
+spaces, each distinct chunk of a batch is counted once, and counts are kept in bounded tables.
 
 Null texts are read as empty (zero tokens); repeated rows give equal rows; an empty table
 gives an empty result; extra input columns are ignored.
@@ -17,15 +17,20 @@ import json
 import sys
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from .common import BoundedMemo, map_arrow, process_cache, text_rows
+from .chunks import chunked, sums_between
+from .common import MASK64, BoundedMemo, map_batches, mix64, process_cache, text_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabularies use for each byte: printable Latin-1
     bytes stand for themselves, the others for the letters from U+0100 on, in order."""
@@ -58,8 +63,17 @@ class PrefixCounter:
         self.pattern = regex.compile(pattern)
         self.white = regex.compile(r"\s")
         self.pair_ok: dict = BoundedMemo(self._apart, 2_000_000, 2)
-        self.whole = BoundedMemo(lambda p: self._prefixes(p.encode())[-1], 600_000)
-        self.spaced_chunk = BoundedMemo(self._after_space, 600_000)
+        self.spaced_special = any(" " in t for t in special)
+        self.whole = BoundedMemo(lambda p: self._prefixes(p.encode())[-1], 300_000)
+        self.counted = BoundedMemo(None, 200_000)
+        # the same endings by 64-bit polynomial digests, for many pieces at a time
+        digest = np.array([self._digest(e) for e in self.ending], np.uint64)
+        order = np.argsort(digest)
+        self.digests, self.numbers = digest[order], np.array(list(self.ending.values()), np.int64)[order]
+        if (self.digests[1:] == self.digests[:-1]).any():
+            raise ValueError("two endings of tokens have one digest")
+        self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(map(len, self.ending)), _BASE))])
+        self.pair_key, self.pair_value = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def _apart(self, pair: tuple[int, int]) -> bool:
         """Whether BPE leaves the border between two adjacent tokens alone.
@@ -99,25 +113,95 @@ class PrefixCounter:
                     break  # the last token of a prefix is unique
         return count
 
+    @staticmethod
+    def _digest(data: bytes) -> int:
+        h = 0
+        for b in data:
+            h = (h * int(_BASE) + b + 1) & MASK64
+        return h
+
+    def _apart_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``pair_ok`` of many pairs, kept in a table with one place for each hash."""
+        key = a * len(self.left) + b
+        place = (mix64(key.astype(np.uint64)) & np.uint64(len(self.pair_key) - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pair_key[place] != key)
+        out = self.pair_value[place]
+        if len(new):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            known = np.array([self._apart(divmod(k, len(self.left))) for k in pairs.tolist()], bool)
+            out[new] = known[back]
+            self.pair_key[place[new]], self.pair_value[place[new]] = key[new], out[new]
+        return out
+
+    def _totals(self, pieces: list[bytes]) -> np.ndarray:
+        """Token count of each whole piece: the prefixes of all pieces grow together, and at each
+        length the endings are tried from the shortest on."""
+        if not pieces:
+            return np.empty(0, np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        longest = int(size[0])
+        data = np.frombuffer(b"".join([pieces[i].ljust(longest, b"\0") for i in order.tolist()]), np.uint8).reshape(-1, longest)
+        digest = np.zeros((longest + 1, len(pieces)), np.uint64)
+        for i in range(longest):
+            digest[i + 1] = digest[i] * _BASE + (data[:, i].astype(np.uint64) + np.uint64(1))
+        count, last = np.zeros((longest + 1, len(pieces)), np.int64), np.full((longest + 1, len(pieces)), -1, np.int64)
+        for i in range(1, longest + 1):
+            left = np.arange(np.searchsorted(-size, -i, side="right"))  # pieces at least this long
+            for n in range(1, i + 1):
+                if not len(left):
+                    break
+                if n >= len(self.powers):
+                    raise ValueError("the vocabulary has no token for this byte")
+                h = digest[i, left] - digest[i - n, left] * self.powers[n]
+                at = np.minimum(np.searchsorted(self.digests, h), len(self.digests) - 1)
+                if (self.digests[at] != h).any():
+                    raise ValueError("the vocabulary has no token for this byte")
+                token = self.numbers[at]
+                fit = token >= 0
+                if n < i:
+                    some = np.flatnonzero(fit)
+                    fit[some] = self._apart_many(last[i - n, left[some]], token[some])
+                done = left[fit]
+                count[i, done] = count[i - n, done] + 1
+                last[i, done] = token[fit]
+                left = left[~fit]
+        out = np.empty(len(pieces), np.int64)
+        out[order] = count[size, np.arange(len(pieces))]
+        return out
+
+    def _counts(self, chunks: list[str]) -> np.ndarray:
+        """Token counts of chunks; pieces first seen are counted together."""
+        out = [self.counted.known(c) for c in chunks]
+        new = [i for i, v in enumerate(out) if v is None]
+        split, special = self.pattern.findall, self.special
+        parts = []
+        for i in new:
+            c = chunks[i]
+            if special is not None and "<" in c:
+                seg = special.split(c)
+                parts.append((len(seg) // 2, [p for s in seg[::2] for p in split(s)]))
+            else:
+                parts.append((0, split(c)))
+        seen = {p: self.whole.known(p) for p in set().union(*(x for _, x in parts))}
+        fresh = [p for p, v in seen.items() if v is None]
+        short = [p for p in fresh if len(p) <= 32]
+        seen.update(zip(short, self._totals([p.encode() for p in short]).tolist()))
+        seen.update((p, self._prefixes(p.encode())[-1]) for p in fresh if len(p) > 32)
+        for p in fresh:
+            self.whole.keep(p, seen[p])
+        for i, (n, x) in zip(new, parts):
+            out[i] = n + sum([seen[p] for p in x])
+            self.counted.keep(chunks[i], out[i])
+        return np.array(out, np.int64)
+
     def _chunk(self, text: str) -> int:
         whole = self.whole
         return sum(whole[p] for p in self.pattern.findall(text))
 
-    def _after_space(self, chunk: str) -> int | None:
-        """Count of a space and a chunk; None where the space touches other white space."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return self._chunk(" " + chunk)
-
     def _ordinary(self, text: str) -> int:
-        """Count of a text without special strings.  A space next to no other white space
-        always starts a new piece, so the text is cut there and the chunks are memoised."""
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            try:
-                return self._chunk(first) + sum(map(self.spaced_chunk.__getitem__, rest))
-            except TypeError:  # a None: white space beside a space
-                pass
+        """Count of a text without special strings."""
         return self._chunk(text)
 
     def segments(self, text: str) -> list[str]:
@@ -189,6 +273,30 @@ class PrefixCounter:
         ends, counts = self.ends(text)
         return int(ends[np.searchsorted(counts, budget, side="right") - 1])
 
+    def of_texts(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, tokens, ``cut`` at the budget) of whole texts.  Texts are cut into chunks at single
+        spaces, where the pattern always separates; a distinct chunk of a batch is counted once."""
+        if self.spaced_special:  # a special string that holds a space may lie across chunks
+            rows = [(len(t.encode()), self.count(t), self.cut(t, budget)) for t in texts.to_pylist()]
+            return tuple(np.array(x, np.int64) for x in zip(*rows))
+        bounds, codes, chunks = chunked(texts)
+        size = np.array([len(c.encode()) for c in chunks], np.int64) + 1
+        spaced = self._counts([" " + c for c in chunks])
+        n, b = spaced[codes], size[codes]
+        first = codes[bounds[:-1]]  # the first chunk of a text has no space before it
+        at, back = np.unique(first, return_inverse=True)
+        n[bounds[:-1]] = self._counts([chunks[i] for i in at.tolist()])[back]
+        b[bounds[:-1]] -= 1
+        n_tokens, n_bytes = sums_between(n, bounds), sums_between(b, bounds)
+        cuts = n_bytes.copy()
+        for i in np.flatnonzero(n_tokens > budget).tolist():
+            lo, hi = int(bounds[i]), int(bounds[i + 1])
+            before = np.cumsum(n[lo:hi])
+            k = int(np.searchsorted(before, budget, side="right"))  # the chunk that goes beyond
+            text = (" " if k else "") + chunks[codes[lo + k]]
+            cuts[i] = b[lo:lo + k].sum() + self.cut(text, budget - (int(before[k - 1]) if k else 0))
+        return n_bytes, n_tokens, cuts
+
 
 def counter(path: str, pattern: str) -> PrefixCounter:
     cache, key = process_cache(), ("prefix", path, pattern)
@@ -201,14 +309,10 @@ def token_counts(df: DataFrame, path: str, pattern: str, limit: int = 512, id_co
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, limit_bytes: ``limit_bytes`` is where the text is
     cut (at the end of a piece) to have at most ``limit`` tokens; all bytes if it has no more."""
-    def one(cols: dict) -> dict:
-        c = counter(path, pattern)
-        n_bytes = [len(t.encode()) for t in cols["text"]]
-        n_tokens = [c.count(t) for t in cols["text"]]
-        # every token has at least one byte, so the first pieces that can hold the budget suffice
-        cuts = [b if n <= limit else c.cut(t, limit) for t, b, n in zip(cols["text"], n_bytes, n_tokens)]
-        return {"doc_id": cols["doc_id"], "n_bytes": n_bytes, "n_tokens": n_tokens,
-                "over_limit": [n > limit for n in n_tokens], "limit_bytes": cuts}
-
-    return map_arrow(text_rows(df, id_col, text_col, "doc_id"), one,
-                     "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, limit_bytes bigint")
+    def one(batch: pa.RecordBatch) -> dict:
+        n_bytes, n_tokens, cuts = counter(path, pattern).of_texts(batch.column("text"), limit)
+        return {"doc_id": batch.column("doc_id"), "n_bytes": n_bytes, "n_tokens": n_tokens,
+                "over_limit": n_tokens > limit, "limit_bytes": cuts}
+
+    return map_batches(text_rows(df, id_col, text_col, "doc_id"), one,
+                       "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, limit_bytes bigint")
