@@ -29,7 +29,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, process_cache, text_rows, written
+from .chunks import slices_of, split_at_spaces
+from .common import BoundedMemo, map_batches, process_cache, text_rows, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,65 +43,80 @@ class ChunkIds:
     A text is the sequence of its chunks between single ASCII spaces and line feeds, and each
     chunk is encoded on its own: white space separates words whatever stands beside it, and
     neither normal forms, lower case nor special strings reach over it.  Latin-1 chunks without
-    ``<|`` are split further, by the file's own expression, into lower-case words (Latin-1 text
-    is in normal form, and its lower case is letter by letter).  Chunks and words repeat, so
-    their ids are kept in bounded tables and only new ones go to the library, in one batch."""
+    ``<|`` are split further, by the file's own expression, into lower-case words (Latin-1 text is
+    in normal form, and its lower case is letter by letter).  Distinct chunks and words of a batch
+    are numbered once, and numpy carries ids from words to chunks to texts.  Ids of words are kept
+    in a bounded table; words first seen go to the library, many in one text, and are told apart by
+    the ids that end a word."""
 
-    def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
-        self.known: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
+            spec = json.load(f)
+        pattern = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
+        self.words = regex.compile(rf"\n|{pattern}").findall  # (a word holds no white space)
+        end, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
+        self.word_ids = BoundedMemo(None, limit, longest)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of new chunks; those of words first seen go through the library."""
-        if len(self.word_ids) > self.limit:
-            self.word_ids = {}
-        word_ids, words = self.word_ids, self.words
-        parts, other = {}, []
-        for c in chunks:
-            if c and max(c) < "\u0100" and "<|" not in c and len(c) <= self.longest:
-                parts[c] = words(c.lower())
+    def _words(self, words: list[str], size: int = 256) -> list[bytes]:
+        """Ids of single words."""
+        out = []
+        groups = [words[i:i + size] for i in range(0, len(words), size)]
+        for group, raw in zip(groups, self._library([" ".join(g) for g in groups])):
+            ids = np.frombuffer(raw, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)).tolist()
+            if len(cut) == len(group) and cut[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip([0, *cut], cut)]
             else:
-                other.append(c)
-        new = list(set().union(*parts.values()) - word_ids.keys())
-        word_ids.update(zip(new, self._library(new)))
-        get = word_ids.__getitem__
-        out = {c: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for c, p in parts.items()}
-        out.update(zip(other, self._library(other)))
+                out += self._library(group)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, rows, new = self.known, [], set()
-        for t in texts:
-            chunks = t.replace("\n", " ").split(" ")
-            ids = list(map(known.get, chunks))
-            if None in ids:
-                missing = [i for i, v in enumerate(ids) if v is None]
-                new.update([chunks[i] for i in missing])
-                rows.append((ids, missing, [chunks[i] for i in missing]))
-            else:
-                rows.append((ids, (), ()))
-        fresh = self._learn(new)
-        out = []
-        for ids, missing, chunks in rows:
-            for i, c in zip(missing, chunks):
-                ids[i] = fresh[c]
-            out.append(b"".join(ids))
-        known.update((c, v) for c, v in fresh.items() if len(c) <= self.longest)  # long ones hardly repeat
+    def _known(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.word_ids.known, words))
+        new = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(new, self._words([words[i] for i in new])):
+            out[i] = v
+            self.word_ids.keep(words[i], v)
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        bounds, codes, chunks = split_at_spaces(texts)
+        longest = self.longest
+        plain = [len(c) <= longest and "<|" not in c and (c.isascii() or max(c) < "\u0100") for c in chunks]
+        # words of all plain chunks, each chunk closed by a line feed
+        found = pa.array(self.words("".join([c + "\n" for c, p in zip(chunks, plain) if p]).lower()), pa.string()).dictionary_encode()
+        words, at = found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+        close = words.index("\n") if "\n" in words else -1
+        ids = self._known([w for w in words if w != "\n"])
+        if close >= 0:
+            ids.insert(close, b"")
+        ids += self._library([c for c, p in zip(chunks, plain) if not p])  # other chunks are "words" of their own
+        # chunk -> words
+        is_plain = np.array(plain, bool)
+        size, start = np.ones(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        closed = np.flatnonzero(at == close)
+        size[is_plain] = np.diff(closed, prepend=-1) - 1
+        start[is_plain] = closed - size[is_plain]
+        start[~is_plain] = len(at) + np.arange((~is_plain).sum())
+        at = np.concatenate([at, len(words) + np.arange((~is_plain).sum())])
+        # texts -> chunks -> words -> ids
+        word = at[slices_of(start[codes], size[codes])]
+        text_words = np.concatenate([[0], np.cumsum(size[codes])])[bounds]
+        length = np.array([len(x) for x in ids], np.int64) // 4
+        first = np.cumsum(length) - length
+        flat = np.frombuffer(b"".join(ids), "<u4")[slices_of(first[word], length[word])].tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(length[word])])[text_words]
+        return [flat[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+
 
 def _chunk_ids(path: str) -> ChunkIds:
     cache, key = process_cache(), ("chunk_ids", path)
@@ -113,9 +129,9 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "
     """Token pieces of every whole text followed by ``end_id``; only longer ones are cut."""
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def cut(cols: dict) -> dict:
+    def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        for doc, ids in zip(cols["doc_id"], _chunk_ids(path).encode(cols["text"])):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), _chunk_ids(path).encode(batch.column("text"))):
             ids += end
             for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[i:i + 4 * capacity]
@@ -123,8 +139,8 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "
                     out[name].append(v)
         return out
 
-    return map_arrow(text_rows(df, id_col, text_col, "doc_id"), cut,
-                     "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_batches(text_rows(df, id_col, text_col, "doc_id"), cut,
+                       "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # ---- the plan ----------------------------------------------------------------------------
