@@ -11,10 +11,11 @@ word a class.
 The log-bilinear part: each of the two symbols before a position has a vector, scaled by a
 vector for its distance; their sum, multiplied with the vector of a next symbol, plus that
 symbol's bias, is its score.  Every task trains on all tokens of its shard, from a common start,
-and the parameters are averaged in a tree, weighted by tokens.  Because a score is a sum of
-one term for each context position, batched matrix products give the terms of all pairs of symbols
-and the normaliser of all pairs of context symbols once; a token's normalised log-probability is then a few
-look-ups.
+and the parameters are averaged in a tree, weighted by tokens.  Shards are made by a hash of the
+text and read in its order, so scores do not depend on how the input is partitioned.  Because a
+score is a sum of one term for each context position, one matrix product gives the terms of all
+pairs of symbols, and another (of their exponentials) the normalisers of all pairs of context
+symbols; a token's normalised log-probability is then a few look-ups.
 
 Words that are neither among the symbols nor among the ``KNOWN`` most frequent words (whose
 counts are sent to the tasks, in bounded size) are joined with the count table.
@@ -29,21 +30,24 @@ from __future__ import annotations
 import sys
 import zlib
 from collections import Counter
-from itertools import chain, repeat
+from itertools import repeat
 from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedMemo, text_rows, words_of, written
+from .common import text_rows, words_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Frequent words with a symbol each, classes of the others, and size of the vectors.
-HEAD, CLASSES, WIDTH = 768, 256, 32
+#: Words with at least one in so many tokens have a symbol each; classes of the others; size of the vectors.
+SHARE, CLASSES, WIDTH = 20_000, 256, 32
+#: Frequent words of a model that is given no counts.
+HEAD = 768
 #: Words whose counts are sent to every task, and their longest (both bound the broadcast).
 KNOWN, LONGEST = 200_000, 32
 #: Tokens of one update, noise symbols of one update, step, tokens of a training shard at least.
@@ -104,7 +108,7 @@ class Vocabulary:
         self.known = {bytes(r["word"]): r["c"] for r in rows}
         if END not in self.known and self.n:
             self.known[END] = counts.where(F.length("word") == 0).first()["c"]
-        head = sorted(self.known, key=lambda w: (w != END, -self.known[w], w))[:HEAD]
+        head = sorted((w for w, c in self.known.items() if w == END or c * SHARE >= self.n), key=lambda w: (w != END, -self.known[w], w))
         self.head = {w: i for i, w in enumerate(head)}
         cls = F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(CLASSES))
         tail = counts.groupBy(cls.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # CLASSES rows
@@ -114,23 +118,48 @@ class Vocabulary:
         for w in head:
             self.class_n[word_class(w)] -= self.known[w]
             self.class_v[word_class(w)] -= 1
-        self.symbol_n = np.concatenate([[self.known[w] for w in head], np.zeros(HEAD - len(head)), self.class_n])
+        self.symbol_n = np.concatenate([[self.known[w] for w in head], self.class_n])
 
 
-def symbol_of(head: dict[bytes, int]) -> BoundedMemo:
-    return BoundedMemo(lambda w: head[w] if w in head else HEAD + word_class(w), 300_000)
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(bounds, codes, distinct words) of the tokens of texts; the last distinct "word" is the end token,
+    which closes each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten().dictionary_encode()
+    codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.cast(pa.binary()).to_pylist()
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    ends = ends[1:] - ends[0]
+    real = np.ones(len(codes), bool)
+    if b"" in distinct:  # white space at an end of a text
+        real = codes != distinct.index(b"")
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+    codes = np.insert(codes[real], ends, len(distinct))
+    return np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]), codes, [*distinct, END]
+
+
+def slices(batches: Iterable[pa.RecordBatch], size: float = 4e6) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 # ---- the model ---------------------------------------------------------------------------
 
-SYMBOLS = HEAD + CLASSES  # one more, the start of a text, occurs in contexts only
-_SHAPES = ((SYMBOLS + 1, WIDTH), (SYMBOLS, WIDTH), (2, WIDTH), (SYMBOLS,))
+def shapes(symbols: int) -> tuple:
+    """Context vectors (one more, the start of a text, occurs in contexts only), target vectors, position
+    vectors, biases."""
+    return (symbols + 1, WIDTH), (symbols, WIDTH), (2, WIDTH), (symbols,)
+
+
+SYMBOLS = HEAD + CLASSES
+_SHAPES = shapes(SYMBOLS)
 
 
 def split_parameters(flat: np.ndarray) -> list[np.ndarray]:
     """Context vectors, target vectors, position vectors, biases."""
     out, at = [], 0
-    for shape in _SHAPES:
+    for shape in shapes((len(flat) - 3 * WIDTH) // (2 * WIDTH + 1)):
         n = int(np.prod(shape))
         out.append(flat[at:at + n].reshape(shape))
         at += n
@@ -140,7 +169,7 @@ def split_parameters(flat: np.ndarray) -> list[np.ndarray]:
 def first_parameters(symbol_n: np.ndarray, seed: int = 1) -> np.ndarray:
     """Small random vectors, and the log frequency of each symbol as its bias."""
     rng = np.random.default_rng(seed)
-    r, t = (rng.normal(0, 0.1, s) for s in _SHAPES[:2])
+    r, t = (rng.normal(0, 0.1, s) for s in shapes(len(symbol_n))[:2])
     p = (symbol_n + 0.5) / (symbol_n + 0.5).sum()
     return np.concatenate([r.ravel(), t.ravel(), np.ones(2 * WIDTH), np.log(p)]).astype(np.float32)
 
@@ -159,7 +188,7 @@ class Trainer:
     def __init__(self, flat: np.ndarray, noise: np.ndarray, seed: int = 2):
         self.flat = flat.copy()
         self.parts = split_parameters(self.flat)
-        self.squares = [np.full(s, 1e-3, np.float32) for s in _SHAPES]
+        self.squares = [np.full(x.shape, 1e-3, np.float32) for x in self.parts]
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.edges, self.rng = np.cumsum(noise), np.random.default_rng(seed)
 
@@ -169,37 +198,40 @@ class Trainer:
         a, b = r[one], r[two]
         q = a * pos[0] + b * pos[1]
         tt = t[target]
-        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), SYMBOLS - 1)
+        symbols = len(t)
+        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), symbols - 1)
         td = t[drawn]
         up = np.einsum("ij,ij->i", q, tt) + (bias - self.log_noise)[target]
         down = q @ td.T + (bias - self.log_noise)[drawn]
         g_up = -0.5 + 0.5 * np.tanh(0.5 * up)  # data: pull up (minus the logistic of -up)
         g_down = 0.5 + 0.5 * np.tanh(0.5 * down)  # noise: push down
         dq = g_up[:, None] * tt + g_down @ td
-        grads = [np.zeros(s, np.float32) for s in _SHAPES]
+        grads = [np.zeros(x.shape, np.float32) for x in self.parts]
         _add_rows(grads[0], one, dq * pos[0])
         _add_rows(grads[0], two, dq * pos[1])
         _add_rows(grads[1], target, g_up[:, None] * q)
         _add_rows(grads[1], drawn, g_down.T @ q)
         grads[2][0], grads[2][1] = (dq * a).sum(axis=0), (dq * b).sum(axis=0)
-        grads[3] += np.bincount(target, g_up, SYMBOLS).astype(np.float32)
-        grads[3] += np.bincount(drawn, g_down.sum(axis=0), SYMBOLS).astype(np.float32)
+        grads[3] += np.bincount(target, g_up, symbols).astype(np.float32)
+        grads[3] += np.bincount(drawn, g_down.sum(axis=0), symbols).astype(np.float32)
         for p, g, s in zip(self.parts, grads, self.squares):
             g /= len(target) / 64
             s += g * g
             p -= STEP * g / np.sqrt(s)
 
 
-def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one before, two before, target) of texts laid end to end."""
-    target = np.concatenate(ids)
-    start = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]])
-    one = np.concatenate([[SYMBOLS], target[:-1]])
-    two = np.concatenate([[SYMBOLS, SYMBOLS], target[:-2]])[:len(target)]
-    one[start] = SYMBOLS
-    two[start] = SYMBOLS
-    second = start + 1
-    two[second[second < len(target)]] = SYMBOLS
+def contexts(ids: list[np.ndarray], start: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one before, two before, target) of texts laid end to end; ``start`` stands before a text."""
+    return laid_out(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]), start)
+
+
+def laid_out(target: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    one = np.concatenate([[start], target[:-1]])
+    two = np.concatenate([[start, start], target[:-2]])[:len(target)]
+    one[first] = start
+    two[first] = start
+    second = first + 1
+    two[second[second < len(target)]] = start
     return one, two, target
 
 
@@ -213,30 +245,25 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     def run(batches):
         flat, noise, head = shared.value
-        symbols, trainer, seen, held, size = symbol_of(head), Trainer(flat, noise), 0, [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                held.append(np.fromiter(map(symbols.__getitem__, words), np.int64, len(words)))
-                size += len(words)
-                if size >= 16 * BATCH:
-                    seen += fit(trainer, held)
-                    held, size = [], 0
-        if held:
-            seen += fit(trainer, held)
+        n_head, trainer, seen = len(head), Trainer(flat, noise, 2 + TaskContext.get().partitionId()), 0
+        for part in slices(batches, 1e6):
+            bounds, codes, words = numbered(part.column(0))
+            symbol = np.array([head.get(w, -1) for w in words], np.int64)
+            tail = np.flatnonzero(symbol < 0)
+            symbol[tail] = [n_head + word_class(words[i]) for i in tail.tolist()]
+            triples = laid_out(symbol[codes], bounds[:-1], len(noise))
+            order = trainer.rng.permutation(len(codes))
+            for i in range(0, len(order), BATCH):
+                trainer.step(*(x[order[i:i + BATCH]] for x in triples))
+            seen += len(codes)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([trainer.flat.tobytes()], pa.binary())], names=["n", "flat"])
 
-    def fit(trainer, held):
-        parts = contexts(held)
-        order = trainer.rng.permutation(len(parts[0]))
-        for i in range(0, len(order), BATCH):
-            trainer.step(*(x[order[i:i + BATCH]] for x in parts))
-        return len(order)
-
-    texts = docs.where("NOT held_out").select("text")
+    texts = docs.where("NOT held_out").select("version", "text")
     shards = max(1, vocabulary.n // SHARD_TOKENS)
-    rows = written(texts.coalesce(int(shards)).mapInArrow(run, "n double, flat binary").withColumn(
+    # by a hash of the text and in its order: the same shards however the input is partitioned
+    texts = texts.repartition(int(shards), "version").sortWithinPartitions("version").select("text")
+    rows = written(texts.mapInArrow(run, "n double, flat binary").withColumn(
         "k", F.monotonically_increasing_id()), "parameters")
     n = rows.count()
     while n > 64:  # a tree: groups of about 32 are averaged where they are
@@ -267,15 +294,16 @@ class Tables:
         r, t, pos, bias = split_parameters(flat)
         self.one = (r * pos[0]) @ t.T + bias
         self.two = (r * pos[1]) @ t.T
-        self.log_z = np.empty((SYMBOLS + 1, SYMBOLS + 1), np.float32)
-        for i in range(SYMBOLS + 1):  # log of the sum over next symbols, for all second symbols
-            s = self.two + self.one[i]
-            top = s.max(axis=1, keepdims=True)
-            self.log_z[i] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
+        # the sum over next symbols of exp(one + two) is a product of exponentials
+        top_one, top_two = (x.max(axis=1, keepdims=True) for x in (self.one, self.two))
+        z = np.exp((self.one - top_one).astype(np.float64)) @ np.exp((self.two - top_two).astype(np.float64)).T
+        self.log_z = (np.log(z) + top_one + top_two.T).astype(np.float32)
 
     def log10(self, ids: list[np.ndarray]) -> np.ndarray:
         """Normalised log10 probability of each symbol after the two before it."""
-        one, two, target = contexts(ids)
+        return self.of(*contexts(ids, len(self.one) - 1))
+
+    def of(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         return (self.one[one, target].astype(np.float64) + self.two[two, target] - self.log_z[one, two]) / np.log(10)
 
 
@@ -304,47 +332,36 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         # known words by number: symbol, base part, and part of the model's score inside its class;
         # the last entry is for rare words, whose parts are added by the join
         number = {w: i for i, w in enumerate(known)}
+        n_head, start = len(head), len(one) - 1
         cls = np.array([word_class(w) for w in known] + [0])
         is_head = np.array([head.get(w, -1) for w in known] + [-1])
         log_c = np.log10(np.array(list(known.values()) + [0], np.float64) + 1)
-        symbol, rare_at = np.where(is_head >= 0, is_head, HEAD + cls), len(known)
+        symbol, rare_at = np.where(is_head >= 0, is_head, n_head + cls), len(known)
         base, inner = log_c - base_all, np.where(is_head >= 0, 0.0, log_c - class_all[cls])
         base[-1] = inner[-1] = 0.0
-        for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("doc_id", "version", "held_out", "text")}
-            for lo in range(0, batch.num_rows, 200):
-                texts = [tokens(x) for x in cols["text"][lo:lo + 200]]
-                words = list(chain.from_iterable(texts))
-                ids = np.fromiter(map(number.get, words, repeat(rare_at)), np.int64, len(words))
-                sizes = np.array([len(x) for x in texts])
-                start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                rare = np.flatnonzero(ids == rare_at)
-                sym = symbol[ids]
-                sym[rare] = [HEAD + word_class(words[i]) for i in rare.tolist()]
-                model = np.add.reduceat(t.log10(np.split(sym, start[1:])) + inner[ids], start).tolist()
-                bases = np.add.reduceat(base[ids], start).tolist()
-                out: dict[str, list] = {c: [] for c in names}
-                owner = np.searchsorted(start, rare, side="right") - 1
-                count = Counter(zip(owner.tolist(), [words[i] for i in rare.tolist()]))
-                n_rare = np.bincount(owner, minlength=len(texts)).tolist()
-                n = len(texts)
-                out["doc_id"] += cols["doc_id"][lo:lo + n]
-                out["version"] += cols["version"][lo:lo + n]
-                out["word"] += [None] * n
-                out["tf"] += [1] * n
-                out["held_out"] += cols["held_out"][lo:lo + n]
-                out["n_tokens"] += sizes.tolist()
-                out["n_known"] += [a - b for a, b in zip(sizes.tolist(), n_rare)]
-                out["base"] += bases
-                out["model"] += model
-                at = [lo + i for i, _ in count]
-                out["doc_id"] += [cols["doc_id"][i] for i in at]
-                out["version"] += [cols["version"][i] for i in at]
-                out["word"] += [w for _, w in count]
-                out["tf"] += list(count.values())
-                for c, x in (("held_out", None), ("n_tokens", 0), ("n_known", 0), ("base", 0.0), ("model", 0.0)):
-                    out[c] += [x] * len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(out[c], y) for c, y in zip(names, types)], names=list(names))
+        for part in slices(batches):
+            bounds, codes, words = numbered(part.column("text"))
+            n, sizes = part.num_rows, np.diff(bounds)
+            at = np.fromiter(map(number.get, words, repeat(rare_at)), np.int64, len(words))
+            rare = at == rare_at
+            sym = symbol[at]
+            sym[rare] = [n_head + word_class(words[i]) for i in np.flatnonzero(rare).tolist()]
+            model = np.add.reduceat(t.of(*laid_out(sym[codes], bounds[:-1], start)) + inner[at][codes], bounds[:-1])
+            bases = np.add.reduceat(base[at][codes], bounds[:-1])
+            far = np.flatnonzero(rare[codes])
+            owner = np.repeat(np.arange(n), sizes)[far]
+            pairs, times = np.unique(owner << 32 | codes[far], return_counts=True)
+            row, word = pa.array(pairs >> 32), pairs & 0xFFFFFFFF
+            m = len(pairs)
+            zero, none = np.zeros(m, np.int64), pa.nulls(m, pa.bool_())
+            columns = {
+                "doc_id": [part.column("doc_id"), part.column("doc_id").take(row)], "version": [part.column("version"), part.column("version").take(row)],
+                "word": [pa.nulls(n, pa.binary()), pa.array([words[i] for i in word.tolist()], pa.binary())],
+                "tf": [pa.array(np.ones(n, np.int64)), pa.array(times.astype(np.int64))], "held_out": [part.column("held_out"), none],
+                "n_tokens": [pa.array(sizes), pa.array(zero)],
+                "n_known": [pa.array(sizes - np.bincount(owner, minlength=n)), pa.array(zero)],
+                "base": [pa.array(bases), pa.array(zero.astype(np.float64))], "model": [pa.array(model), pa.array(zero.astype(np.float64))]}
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(y) for x in columns[c]]) for c, y in zip(names, types)], names=list(names))
 
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = "doc_id bigint, version bigint, word binary, tf bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double"
