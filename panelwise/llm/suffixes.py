@@ -325,16 +325,20 @@ def duplicate_spans(docs: DataFrame, length: int, shard: int = SHARD) -> DataFra
         F.least("n", F.lit(2)).alias("copies"), F.col("at.first").alias("first"), F.col("at.last").alias("last")).alias("c"))
     per_doc = written(want.groupBy("doc_id", "version").agg(F.collect_list("c").alias("cs")), "wanted")  # bounded by the document
 
+    seen = set()
+
     def cut(cols: dict) -> dict:
         out: dict[str, list] = {n: [] for n in ("doc_id", "version", "shard", "salt", "copies", "first", "bytes")}
         for doc, v, cs, text in zip(cols["doc_id"], cols["version"], cols["cs"], cols["text"]):
+            if (doc, v) in seen:  # a repeated row holds the same bytes: once a task
+                continue
+            seen.add((doc, v))
             raw = text.encode()
             for c in cs:
                 for n, x in zip(out, (doc, v, c["shard"], c["salt"], c["copies"], c["first"], raw[c["first"]:c["last"] + length])):
                     out[n].append(x)
         return out
 
-    # one row for each document: repeated rows hold the same bytes
     texts = docs.join(per_doc.withColumnRenamed("doc_id", "i").withColumnRenamed("version", "v"),
                       F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")))
     work = map_arrow(texts.select("doc_id", "version", "cs", "text"), cut,
@@ -352,7 +356,7 @@ def cut_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     """doc_id, version, text, starts, ends of every row: merged spans of bytes to remove."""
     docs = text_rows(df, id_col, text_col, "doc_id").withColumn("version", F.xxhash64("text"))
     spans = duplicate_spans(docs, length, shard).groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("first", "end")).alias("spans"))  # bounded by the document
+        F.collect_set(F.struct("first", "end")).alias("spans"))  # bounded by the document: repeated rows have equal spans
     both = docs.join(spans.withColumnRenamed("doc_id", "i").withColumnRenamed("version", "v"),
                      F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left")
     return both.select("doc_id", "version", "text", "spans")
@@ -388,7 +392,7 @@ def replaced(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
     length in characters brought up to date).  Bytes of a character that was cut go with it."""
     docs = text_rows(df, id_col, text_col, "doc_id").withColumn("version", F.xxhash64("text"))
     spans = duplicate_spans(docs, length, shard).groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("first", "end")).alias("spans"))  # bounded by the document
+        F.collect_set(F.struct("first", "end")).alias("spans"))  # bounded by the document: repeated rows have equal spans
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
                      F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("version"))
     both = rows.join(spans.withColumnRenamed("doc_id", "i").withColumnRenamed("version", "v"),
