@@ -11,8 +11,8 @@ word a class.
 The log-bilinear part: each of the two symbols before a position has a vector, scaled by a
 vector for its distance; their sum, multiplied with the vector of a next symbol, plus that
 symbol's bias, is its score.  Every task trains on all tokens of its shard, from a common start,
-and the parameters are averaged in a tree, weighted by tokens.  Shards are made by a hash of the
-text and read in its order, so scores do not depend on how the input is partitioned.  Because a
+and the parameters are averaged in a tree, weighted by tokens.  Shards are made by a hash of
+text and id and read in its order, so scores do not depend on how the input is partitioned.  Because a
 score is a sum of one term for each context position, one matrix product gives the terms of all
 pairs of symbols, and another (of their exponentials) the normalisers of all pairs of context
 symbols; a token's normalised log-probability is then a few look-ups.
@@ -259,15 +259,17 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([trainer.flat.tobytes()], pa.binary())], names=["n", "flat"])
 
-    texts = docs.where("NOT held_out").select("version", "text")
+    texts = docs.where("NOT held_out").select("version", "doc_id", "text")
     shards = max(1, vocabulary.n // SHARD_TOKENS)
-    # by a hash of the text and in its order: the same shards however the input is partitioned
-    texts = texts.repartition(int(shards), "version").sortWithinPartitions("version").select("text")
+    # by a hash of text and id and in its order: the same shards however the input is partitioned, and
+    # copies of one text are spread
+    key = ["version", "doc_id"]
+    texts = texts.repartition(int(shards), *key).sortWithinPartitions(*key).select("text")
     rows = written(texts.mapInArrow(run, "n double, flat binary").withColumn(
         "k", F.monotonically_increasing_id()), "parameters")
     n = rows.count()
-    while n > 64:  # a tree: groups of about 32 are averaged where they are
-        rows = written(rows.withColumn("k", F.pmod(F.xxhash64("k"), F.lit(max(1, n // 32)))).repartition("k")
+    while n > 16:  # a tree: groups of about 16 are averaged where they are
+        rows = written(rows.withColumn("k", F.pmod(F.xxhash64("k"), F.lit(max(1, n // 16)))).repartition("k")
                        .sortWithinPartitions("k").mapInArrow(_averages, "n double, flat binary, k bigint"), "parameters")
         n = rows.count()
     return average([(r["n"], bytes(r["flat"])) for r in rows.collect()])
