@@ -292,6 +292,7 @@ def near_duplicates(df: DataFrame, width: int = 2, percent: int = 80, bands: int
     signed = written(signed_rows(docs, width, bands, rows), "signed")
     classes = written(
         signed.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"),
+                                                              F.min(F.struct("doc_id", "version")).alias("at"),
                                                               F.first("sig").alias("sig"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")  # numbered once, as written
     member = classes.select("cid", F.explode("keys").alias("key"))
@@ -299,7 +300,8 @@ def near_duplicates(df: DataFrame, width: int = 2, percent: int = 80, bands: int
                    .where("hub < top").select("key", "hub"), "hubs")
     shared = written(member.join(hubs, "key"), "shared")  # buckets with two members or more
     nodes = written(shared.select("cid").distinct(), "nodes")
-    sets = _sets(docs, classes.join(nodes, "cid").select("cid", "c1", "c2", "least"), width)
+    sets = _sets(docs, classes.join(nodes, "cid").select("cid", "c1", "c2", F.col("at.doc_id").alias("at_id"),
+                                                         F.col("at.version").alias("at_version")), width)
 
     links = written(star_links(shared.where("cid <> hub").select("hub", "cid").distinct(), sets, percent), "links")
     labels = _labelled(nodes, links)
@@ -343,18 +345,23 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, shingles): the full set of each class that shares a bucket, from the text of the
-    document with its smallest id."""
+    """(cid, shingles): the full set of each class that shares a bucket, from the text of one of its
+    documents (its id and version: null or repeated ids meet no other texts)."""
     # exchanged at every size: a broadcast of the small side at small sizes says nothing of large ones
     d, w = docs.alias("d"), written(wanted, "wanted").hint("merge").alias("w")
-    found = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.least"))).select("cid", "c1", "c2", "text")
+    found = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.at_id")) & (F.col("d.version") == F.col("w.at_version"))).select("cid", "c1", "c2", "text")
+
+    last = {"cid": None}
 
     def one(cols: dict) -> dict:
         hashes = process_cache().setdefault("words", word_hashes())
         out: dict[str, list] = {"cid": [], "shingles": []}
         for cid, c1, c2, text in zip(cols["cid"], cols["c1"], cols["c2"], cols["text"]):
+            if cid == last["cid"]:  # the same row again: the merge join puts repeated rows together
+                continue
+            last["cid"] = cid
             s = shingle_set(text.encode(), width, hashes)
-            if _digest(s) == (c1, c2):  # another row may have the same id
+            if _digest(s) == (c1, c2):
                 out["cid"].append(cid)
                 out["shingles"].append(s.astype("<u8").tobytes())
         return out
