@@ -15,10 +15,8 @@ from __future__ import annotations
 import sys
 from typing import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,63 +27,61 @@ from ..spec import PanelSpec
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _US, _ROW, _EVENT = "us_", "row_", "event_"  # (names with a leading underscore reach the processor renamed)
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 class Cooldown(StatefulProcessor):
-    """Waiting candidates and the last sent time of one entity."""
+    """Waiting candidates, the last sent time and the timer of one entity, as one value: each call to
+    the state is a message to the JVM, so an entity takes one read, one write and at most two timer calls."""
 
-    def __init__(self, entity: str, cooldown: int, tiebreak: list[str], types: list[str]):
-        self.entity, self.cooldown, self.tiebreak, self.types = entity, cooldown, tiebreak, types
+    def __init__(self, entity: str, cooldown: int, types: list[str]):
+        self.entity, self.cooldown, self.types = entity, cooldown, types
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        cols = ", ".join([f"{_US} bigint", f"{_ROW} string", *[f"tie{i}_ {t}" for i, t in enumerate(self.types)]])
-        self.waiting = handle.getListState("waiting", cols)
-        self.last = handle.getValueState("last", "us bigint")
+        row = ", ".join([f"{_US}: bigint", f"{_ROW}: string", *[f"tie{i}_: {t}" for i, t in enumerate(self.types)]])
+        self.last = handle.getValueState("last", f"us bigint, timer bigint, waiting array<struct<{row}>>")
 
-    def _decide(self, key, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        rows = [tuple(r) for r in self.waiting.get()] + new if self.waiting.exists() else new
+    def _decide(self, key, new: list[tuple], watermark_ms: int, fired: int | None = None) -> Iterator[Row]:
+        held = self.last.get()
+        last, timer, waiting = held if held is not None else (None, None, [])
+        rows = [tuple(r) for r in waiting] + new
         rows.sort(key=lambda r: (r[0], *[(v is not None, v) for v in r[2:]], r[1]))
-        times = [r[0] for r in rows]
-        settled = int(np.searchsorted(times, watermark_ms * 1000, side="right"))
-        last = self.last.get()[0] if self.last.exists() else None
-        sent = []
-        for r in rows[:settled]:
+        settled, sent = 0, []
+        for r in rows:
+            if r[0] > watermark_ms * 1000:
+                break
+            settled += 1
             if last is None or r[0] - last >= self.cooldown:
-                last = int(r[0])
+                last = r[0]
                 sent.append(r[1])
-        if settled and last is not None:
-            self.last.update((last,))
-        if rows[settled:]:
-            self.waiting.put(rows[settled:])
-            wake = -(-int(rows[settled][0]) // 1000)
+        rest, wake = rows[settled:], None
+        if rest:
+            wake = max(-(-rest[0][0] // 1000), watermark_ms + 1)
+        elif last is not None:
+            over = -(-(last + self.cooldown) // 1000)  # from here on the last alert holds nothing back
+            last, wake = (None, None) if over <= watermark_ms else (last, over)
+        if timer != wake:
+            if timer is not None and timer != fired:  # a fired one ends by itself
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if wake is None:
+            if held is not None:
+                self.last.clear()
         else:
-            self.waiting.clear()
-            wake = None
-            if last is not None:
-                over = -(-(last + self.cooldown) // 1000)  # from here on the last alert holds nothing back
-                if over <= watermark_ms:
-                    self.last.clear()
-                else:
-                    wake = over
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if wake is not None:
-            self.handle.registerTimer(max(wake, watermark_ms + 1))
-        if sent:
-            yield pd.DataFrame({self.entity: [key[0]] * len(sent), _ROW: sent})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for pdf in rows:
-            ties = [pdf[f"tie{i}_"].astype(object).where(pdf[f"tie{i}_"].notna(), None).tolist() for i in range(len(self.types))]
-            new += list(zip(pdf[_US].tolist(), pdf[_ROW].tolist(), *ties))
+            self.last.update((last, wake, rest))
+        for r in sent:
+            yield Row(**{self.entity: key[0], _ROW: r})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        ties = [f"tie{i}_" for i in range(len(self.types))]
+        new = [(r[_US], r[_ROW], *[None if r[t] != r[t] else r[t] for t in ties]) for r in rows]
         yield from self._decide(key, new, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._decide(key, [], timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._decide(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -103,8 +99,8 @@ def ordered_alerts(stream: DataFrame, spec: PanelSpec, cooldown_minutes: float,
     rows = rows.withColumn(_EVENT, F.timestamp_micros(_US)).withWatermark(_EVENT, late_delay)
     types = [stream.schema[c].dataType.simpleString() for c in spec.tiebreak]
     out_schema = T.StructType([stream.schema[spec.entity], T.StructField(_ROW, T.StringType())])
-    sent = rows.groupBy(spec.entity).transformWithStateInPandas(
-        Cooldown(spec.entity, int(round(cooldown_minutes * 60 * 1_000_000)), list(spec.tiebreak), types), out_schema, "append", "eventTime")
+    sent = rows.groupBy(spec.entity).transformWithState(
+        Cooldown(spec.entity, int(round(cooldown_minutes * 60 * 1_000_000)), types), out_schema, "append", "eventTime")
     inner = T.StructType([f for f in stream.schema.fields if f.name not in (spec.entity, spec.time)])
     at = F.substring_index(_ROW, "|", 1).cast("long")
     time = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
@@ -115,17 +111,20 @@ def ordered_alerts(stream: DataFrame, spec: PanelSpec, cooldown_minutes: float,
 
 
 class with_state_store:
-    """The RocksDB state store for the queries started inside; the session's own setting returns after."""
+    """The RocksDB state store, its commits as changelogs (a batch writes what it changed, snapshots are
+    made beside it), for the queries started inside; the session's own settings return after."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
-        self.before = self.spark.conf.get(_PROVIDER)
-        self.spark.conf.set(_PROVIDER, _ROCKS)
+        self.before = {k: self.spark.conf.get(k, None) for k in _STORE}
+        for k, v in _STORE.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *_):
-        self.spark.conf.set(_PROVIDER, self.before)
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
 
 def replay(spark: SparkSession, source_dir: str, schema, spec: PanelSpec, cooldown_minutes: float, out_dir: str,

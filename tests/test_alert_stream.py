@@ -59,3 +59,36 @@ def test_state_of_silent_entities_ends(spark):
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{base}/ck")
     assert state.filter(F.col("key.serial_number").startswith("d")).count() == 0
     assert state.count() <= 1
+
+
+def test_an_entity_takes_few_state_messages():
+    from types import SimpleNamespace
+
+    from panelwise.streaming.alert_stream import Cooldown
+
+    calls, state, timers = [], {}, set()
+    value = SimpleNamespace(get=lambda: calls.append("get") or state.get(0), update=lambda v: calls.append("update") or state.update({0: v}),
+                            clear=lambda: calls.append("clear") or state.clear())
+    handle = SimpleNamespace(getValueState=lambda *_: value, registerTimer=lambda t: calls.append("register") or timers.add(t),
+                             deleteTimer=lambda t: calls.append("delete") or timers.discard(t))
+    c = Cooldown("serial_number", 60_000_000, [])
+    c.init(handle)
+    at = lambda watermark_ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark_ms)
+    row = lambda us: {"us_": us, "row_": f"{us}|{{}}"}
+    assert list(c.handleInputRows(("a",), [row(90_000_000), row(10_000_000)], at(0))) == [] and timers == {10_000}
+    sent = list(c.handleInputRows(("a",), [row(20_000_000)], at(30_000)))
+    assert [r.row_ for r in sent] == ["10000000|{}"] and timers == {90_000}
+    sent = list(c.handleExpiredTimer(("a",), at(100_000), SimpleNamespace(getExpiryTimeInMs=lambda: 90_000)))
+    assert [r.row_ for r in sent] == ["90000000|{}"] and timers == {90_000, 150_000}  # Spark ends the fired one
+    assert list(c.handleExpiredTimer(("a",), at(200_000), SimpleNamespace(getExpiryTimeInMs=lambda: 150_000))) == [] and not state
+    assert len(calls) <= 4 * 4 and calls.count("get") == 4
+
+
+def test_state_store_settings_return(spark):
+    from panelwise.streaming.alert_stream import with_state_store
+
+    key = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    before = spark.conf.get(key, None)
+    with with_state_store(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
