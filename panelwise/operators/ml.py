@@ -106,18 +106,21 @@ def soft_vote(models: dict[str, PipelineModel], df: DataFrame, keys: list[str],
 def grid_search(train: DataFrame, features: list[str], kind: str = "rf", grid: dict | None = None,
                 folds: int = 5, parallelism: int = 4, label: str = "failure", fold_col: str | None = None,
                 **params):
-    """ML7: ``CrossValidator`` over a parameter grid; reports the best mean AUC."""
+    """ML7: ``CrossValidator`` over a parameter grid; reports the best mean AUC.  The vectors are assembled
+    before the folds are cached, so once a fold and not once for each pass of each fit."""
     est = estimator(kind, label, **params)
-    pipe = pipeline(features, est)
+    vectors = assembler(features)
+    weight = [est.getWeightCol()] if est.isSet("weightCol") else []
+    rows = vectors.transform(train).select(FEATURES, label, *weight, *([fold_col] if fold_col else []))
     builder = ParamGridBuilder()
     for name, values in (grid or {"numTrees": [10, 20], "maxDepth": [3, 5]}).items():
         builder = builder.addGrid(est.getParam(name), values)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=builder.build(), evaluator=evaluator(label),
+    cv = CrossValidator(estimator=est, estimatorParamMaps=builder.build(), evaluator=evaluator(label),
                         numFolds=folds, parallelism=parallelism, seed=42)
     if fold_col:
         cv = cv.setFoldCol(fold_col)
-    model = cv.fit(train)
-    return model.bestModel, max(model.avgMetrics)
+    model = cv.fit(rows)
+    return PipelineModel([vectors, model.bestModel]), max(model.avgMetrics)
 
 
 def random_search(train: DataFrame, features: list[str], n: int = 10, seed: int = 42, parallelism: int = 4,
