@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedMemo, map_arrow, mix64, process_cache, text_rows, words_of, written
+from .common import BoundedMemo, map_arrow, mix64, text_rows, words_of, written
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -115,7 +115,7 @@ def signed_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame
     """doc_id, version, n_shingles, c1, c2 (class), keys (bands), sig (low bytes); nulls for empty
     sets."""
     def one(cols: dict) -> dict:
-        hashes = process_cache().setdefault("words", word_hashes())
+        hashes = word_hashes()  # of this slice: a worker lives on through later stages and would keep it
         sets = [shingle_set(t.encode(), width, hashes) for t in cols["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = signatures([sets[i] for i in full], bands * rows)
@@ -354,7 +354,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     last = {"cid": None}
 
     def one(cols: dict) -> dict:
-        hashes = process_cache().setdefault("words", word_hashes())
+        hashes = word_hashes()  # of this slice: a worker lives on through later stages and would keep it
         out: dict[str, list] = {"cid": [], "shingles": []}
         for cid, c1, c2, text in zip(cols["cid"], cols["c1"], cols["c2"], cols["text"]):
             if cid == last["cid"]:  # the same row again: the merge join puts repeated rows together

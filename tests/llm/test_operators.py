@@ -376,3 +376,17 @@ def test_main_text_edges(spark):
 def test_html_text_pages(spark):
     rows = catalog.op7(spark, SF_SMALL).collect()
     assert rows and all(r.n_chars == len(r.text) > 0 for r in rows)
+
+
+def test_workers_keep_no_word_table_after_near_duplicates(spark, docs):
+    minhash.near_duplicates(docs).count()
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+        for _ in batches:
+            m = sys.modules.get("_panelwise_llm_cache")
+            yield pa.RecordBatch.from_pydict({"held": [m is not None and "words" in m.data]})
+
+    assert not any(r.held for r in spark.range(0, 8, 1, 8).mapInArrow(held, "held boolean").collect())
