@@ -39,19 +39,33 @@ def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         take = np.arange(len(texts))
         take[at] = len(texts) + np.arange(len(at))
         lists = pa.concat_arrays([clear, others]).take(pa.array(take))
-    return _numbered(lists)
+    bounds, codes, words = _numbered(lists)
+    return bounds, codes, words.to_pylist()
 
 
-def split_at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(bounds, codes, distinct) as above, cut at every space and line feed, for tokenizers that
-    drop white space.  Chunks may be empty."""
+def split_at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(bounds, codes, distinct) as above, the distinct chunks as an Arrow array, cut at every
+    space and line feed, for tokenizers that drop white space.  Chunks may be empty."""
     return _numbered(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
 
 
-def _numbered(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _numbered(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     words = lists.flatten().dictionary_encode()
     bounds = np.asarray(lists.offsets).astype(np.int64)
-    return bounds - bounds[0], words.indices.to_numpy(), words.dictionary.to_pylist()
+    return bounds - bounds[0], words.indices.to_numpy(), words.dictionary
+
+
+def strings(values: pa.Array) -> list[str]:
+    """``to_pylist`` of an Arrow array of strings without nulls, several times as fast."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(values: pa.LargeBinaryArray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    """Entry i is ``values[bounds[i]:bounds[i + 1]]`` one after another; no bytes are moved."""
+    if len(values) == 0:
+        return pa.array([b""] * (len(bounds) - 1), values.type)
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset:][bounds]
+    return pa.Array.from_buffers(values.type, len(bounds) - 1, [None, pa.py_buffer(offsets), values.buffers()[2]])
 
 
 def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -24,12 +24,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import slices_of, split_at_spaces
+from .chunks import joined, split_at_spaces, strings
 from .common import BoundedMemo, map_batches, process_cache, text_rows, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,6 +38,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # ---- token ids ---------------------------------------------------------------------------
 
+#: Not plain: a character past Latin-1, or what a special string starts with.
+_HARD = r"<\||[^\x00-\x{ff}]"
+_LETTERS = r"^\p{L}+$"
+
+
 class ChunkIds:
     """Ids of whole texts by a ``tokenizers`` file that splits at white space and drops it.
 
@@ -44,33 +50,42 @@ class ChunkIds:
     chunk is encoded on its own: white space separates words whatever stands beside it, and
     neither normal forms, lower case nor special strings reach over it.  Latin-1 chunks without
     ``<|`` are split further, by the file's own expression, into lower-case words (Latin-1 text is
-    in normal form, and its lower case is letter by letter).  Distinct chunks and words of a batch
-    are numbered once, and numpy carries ids from words to chunks to texts.  Ids of words are kept
-    in a bounded table; words first seen go to the library, many in one text, and are told apart by
-    the ids that end a word."""
+    in normal form, and its lower case is letter by letter); a chunk of letters is one word, where
+    the expression says so.
+    Distinct chunks and words of a batch are numbered once, and Arrow carries ids from words to
+    chunks to texts.  Ids are kept in a bounded table; words first seen go to the library's model,
+    many in one text, and are told apart by the ids that end a word.  They are lower-case and cut
+    already, so the model gets them by a copy of the file that only splits at white space."""
 
     def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pattern = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.words = regex.compile(rf"\n|{pattern}").findall  # (a word holds no white space)
+        letters = "".join(c for c in map(chr, range(256)) if c.isalpha()).lower()
+        self.letters_whole = self.words(letters) == [letters]
         end, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
+        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
+        spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"] = None, [
+            {"type": "WhitespaceSplit"} if s["type"] == "Split" else s for s in steps]
+        self.model = Tokenizer.from_str(json.dumps(spec))
         self.word_ids = BoundedMemo(None, limit, longest)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _words(self, words: list[str], size: int = 256) -> list[bytes]:
         """Ids of single words."""
         out = []
         groups = [words[i:i + size] for i in range(0, len(words), size)]
-        for group, raw in zip(groups, self._library([" ".join(g) for g in groups])):
+        for group, raw in zip(groups, self._library([" ".join(g) for g in groups], self.model)):
             ids = np.frombuffer(raw, "<u4")
             cut = (4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)).tolist()
             if len(cut) == len(group) and cut[-1] == len(raw):
@@ -79,43 +94,38 @@ class ChunkIds:
                 out += self._library(group)
         return out
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        out = list(map(self.word_ids.known, words))
-        new = [i for i, v in enumerate(out) if v is None]
-        for i, v in zip(new, self._words([words[i] for i in new])):
+    def _known(self, keys: list[str], encode) -> pa.LargeBinaryArray:
+        """Ids of each key, from the table or by ``encode``."""
+        out, new = list(map(self.word_ids.get, keys)), []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            out[i] = self.word_ids.known(keys[i])  # (it may lie in the older half)
+            if out[i] is None:
+                new.append(i)
+        for i, v in zip(new, encode([keys[i] for i in new])):
             out[i] = v
-            self.word_ids.keep(words[i], v)
-        return out
+            self.word_ids.keep(keys[i], v)
+        return pa.array(out, pa.large_binary())
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         bounds, codes, chunks = split_at_spaces(texts)
-        longest = self.longest
-        plain = [len(c) <= longest and "<|" not in c and (c.isascii() or max(c) < "\u0100") for c in chunks]
-        # words of all plain chunks, each chunk closed by a line feed
-        found = pa.array(self.words("".join([c + "\n" for c, p in zip(chunks, plain) if p]).lower()), pa.string()).dictionary_encode()
-        words, at = found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
-        close = words.index("\n") if "\n" in words else -1
-        ids = self._known([w for w in words if w != "\n"])
-        if close >= 0:
-            ids.insert(close, b"")
-        ids += self._library([c for c, p in zip(chunks, plain) if not p])  # other chunks are "words" of their own
-        # chunk -> words
-        is_plain = np.array(plain, bool)
-        size, start = np.ones(len(chunks), np.int64), np.empty(len(chunks), np.int64)
-        closed = np.flatnonzero(at == close)
-        size[is_plain] = np.diff(closed, prepend=-1) - 1
-        start[is_plain] = closed - size[is_plain]
-        start[~is_plain] = len(at) + np.arange((~is_plain).sum())
-        at = np.concatenate([at, len(words) + np.arange((~is_plain).sum())])
-        # texts -> chunks -> words -> ids
-        word = at[slices_of(start[codes], size[codes])]
-        text_words = np.concatenate([[0], np.cumsum(size[codes])])[bounds]
-        length = np.array([len(x) for x in ids], np.int64) // 4
-        first = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(ids), "<u4")[slices_of(first[word], length[word])].tobytes()
-        ends = 4 * np.concatenate([[0], np.cumsum(length[word])])[text_words]
-        return [flat[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+        short = pc.less_equal(pc.utf8_length(chunks), self.longest).to_numpy(zero_copy_only=False)
+        hard, letters = (pc.match_substring_regex(chunks, e).to_numpy(zero_copy_only=False) for e in (_HARD, _LETTERS))
+        plain, letters = short & ~hard, letters & self.letters_whole
+        groups = [np.flatnonzero(m) for m in (plain & letters, plain & ~letters, ~plain)]
+        whole, mixed, others = (chunks.take(pa.array(g)) for g in groups)
+        # words of mixed chunks, each chunk closed by a line feed
+        found = pa.array(self.words("".join([c + "\n" for c in strings(mixed)]).lower()), chunks.type)
+        closing = pc.equal(found, "\n")
+        closed = np.flatnonzero(closing.to_numpy(zero_copy_only=False)) - np.arange(len(mixed))
+        words = pa.concat_arrays([pc.utf8_lower(whole), found.filter(pc.invert(closing))]).dictionary_encode()
+        # words -> chunks -> texts
+        ids = self._known(strings(words.dictionary), self._words).take(words.indices)
+        by_chunk = joined(ids, np.concatenate([np.arange(len(whole) + 1), len(whole) + closed]))
+        by_chunk = pa.concat_arrays([by_chunk, self._known(strings(others), self._library)])
+        at = np.empty(len(chunks), np.int64)
+        at[np.concatenate(groups)] = np.arange(len(chunks))
+        return joined(by_chunk.take(pa.array(at[codes])), bounds).to_pylist()
 
 
 def _chunk_ids(path: str) -> ChunkIds:

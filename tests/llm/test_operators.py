@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -162,6 +163,29 @@ def test_chunk_ids_are_the_librarys():
     assert c.encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in tk.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunk_ids_ask_the_library_once():
+    """Words and short chunks of any script are looked up when met again, the library's normal forms
+    run on no plain word, and chunks of letters are not searched for words."""
+    path, r = P.path("word_bpe_49k.json"), random.Random(4)
+    tk, c = Tokenizer.from_file(path), packing.ChunkIds(path)
+    latin = [chr(i) for i in range(256)]
+    texts = ["", "Été naïve", "it's 'sabc \"'s 's's we'LL", "中文 “so” <|endoftext|> <| ÀÉ", "x" * 65 + " " + "é" * 64, " ".join(latin), "".join(latin)]
+    texts += ["".join(r.choice(latin + [" ", "e", "'", "s"] * 40) for _ in range(r.randint(0, 90))) for _ in range(300)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in tk.encode_batch(texts, add_special_tokens=False)]
+    arrow, asked, searched = pa.array(["sliced off", *texts]).slice(1), [], []
+    library, words = c._library, c.words
+    c._library = lambda t, *tokenizer: asked.extend((x, bool(tokenizer)) for x in t) or library(t, *tokenizer)
+    c.words = lambda t: searched.append(t) or words(t)
+    assert c.encode(arrow) == want
+    chunks = {x for t in texts for x in t.replace("\n", " ").split(" ")}
+    hard = {x for x in chunks if len(x) > 64 or "<|" in x or any(y > "\xff" for y in x)}
+    assert {x for x, model in asked if not model} == hard
+    assert not {"été", "naïve"} & set("".join(searched).split("\n"))
+    asked.clear()
+    assert c.encode(arrow) == want
+    assert {x for x, _ in asked} == {x for x in hard if len(x) > 64}
+
+
 # ---- 3, 10, 8: repeats -----------------------------------------------------------------------
 
 def test_minhash(spark, docs, empty):
